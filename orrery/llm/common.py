@@ -43,12 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state(key, build: Callable[[], object]):
-    """What `build` makes, once per Python worker process; workers are reused between tasks."""
+def worker_state(key: str, build: Callable[[], object], version: str = ""):
+    """What `build` makes, once per Python worker process; workers are reused between tasks. The last version stays."""
     store = sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    if store.get(key, (None,))[0] != version:
+        store[key] = (version, build())
+    return store[key][1]
 
 
 class RecentCache(dict):
@@ -94,3 +94,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def word_array(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BLANK_CLASS}+"), "")
+
+
+def text_parts(batches, column: int = 1, most: int = 8 << 20):
+    """The batches' rows in slices of about `most` bytes of text, so memory does not follow the batch size."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = max(1, int(batch.num_rows * most // max(most, batch.column(column).nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.llm import near_duplicates
+from orrery.llm import bpe, language, near_duplicates, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_simhash": near_duplicates.op4_simhash,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_bpe": bpe.op6_bpe,
+        "op10_language": language.op10_language,
     }
 
 
