@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.llm import bpe, language, near_duplicates, secrets
+from orrery.llm import bpe, language, near_duplicates, packing, quality, secrets, urls
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_packing": packing.op1_packing,
         "op4_simhash": near_duplicates.op4_simhash,
         "op5_secrets": secrets.op5_secrets,
         "op6_bpe": bpe.op6_bpe,
+        "op7_quality": quality.op7_quality,
+        "op8_urls": urls.op8_urls,
         "op10_language": language.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_urls": urls.SQL,
+    }
