@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.llm import bpe, language, near_duplicates, packing, quality, secrets, urls
+from orrery.llm import bpe, chat, language, near_duplicates, neighbours, packing, quality, secrets, urls
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_neighbours": neighbours.op2_neighbours,
+        "op3_chat": chat.op3_chat,
         "op4_simhash": near_duplicates.op4_simhash,
         "op5_secrets": secrets.op5_secrets,
         "op6_bpe": bpe.op6_bpe,
