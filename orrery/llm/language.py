@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from orrery.llm.common import RecentCache, materialise, text_parts, tokenizer_path, worker_state
@@ -177,34 +178,49 @@ def fit(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, vocabulary: str
     return Models(languages, {p: tuple(table[lang][p] for lang in languages) for p in known}, tuple(other[lang] for lang in languages))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], sent, version: str) -> Iterator[pa.RecordBatch]:
-    models = sent.value
-    remembered = worker_state("language", lambda: RecentCache(models.log_scores, REMEMBERED), version)
-    for part in text_parts(batches):
-        langs, scores = [], []
-        for text in part.column(1).to_pylist():
-            found = words(text or "")
-            if not found or not models.languages:
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            total = np.zeros(len(models.languages))
-            for start in range(0, len(found), 1 << 16):
-                total += np.array(list(map(remembered.__getitem__, found[start : start + (1 << 16)]))).sum(axis=0)
-            best = int(total.argmax())
-            langs.append(models.languages[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-
-def predict(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, lang_pred and score (the posterior, 0 to 1) of every row, from the text alone.
+def _answers(texts: list[str | None], models: Models, remembered: RecentCache) -> tuple[list[str], list[float]]:
+    langs, scores = [], []
+    for text in texts:
+        found = words(text or "")
+        if not found or not models.languages:
+            langs.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        total = np.zeros(len(models.languages))
+        for start in range(0, len(found), 1 << 16):
+            total += np.array(list(map(remembered.__getitem__, found[start : start + (1 << 16)]))).sum(axis=0)
+        best = int(total.argmax())
+        langs.append(models.languages[best])
+        scores.append(float(1 / np.exp(total - total[best]).sum()))
+    return langs, scores
+
+
+def predict(docs: DataFrame, models: Models, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score (the posterior, 0 to 1) of every row, from the text alone; with `keep`, the rows'
+    own columns with lang_pred and score put before them as __lang and __score.
 
     A null text or one without a letter, or a fit without any language, gives `und` and score 0. Ties go to the
-    language that sorts first. An empty table gives no rows; other columns are ignored.
+    language that sorts first. Null and repeated doc_ids are rows like any other; an empty table gives no rows.
     """
     sent, version = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _scored(batches, sent, version), "doc_id long, lang_pred string, score double")
+    rows = docs if keep else docs.select("doc_id", "text")
+    at = rows.columns.index("text")
+    schema = T.StructType([T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), *rows.schema.fields])
+
+    def scored(batches):
+        remembered = worker_state("language", lambda: RecentCache(sent.value.log_scores, REMEMBERED), version)
+        for part in text_parts(batches, at):
+            langs, scores = _answers(part.column(at).to_pylist(), sent.value, remembered)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *part.columns], names=schema.names)
+
+    found = rows.mapInArrow(scored, schema)
+    return found if keep else found.select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def keep_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows whose language is determined with a posterior of `least` or more, columns unchanged."""
+    found = predict(docs, fit(docs, held_out_fold()), keep=True)
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).drop("__lang", "__score")
 
 
 def held_out_fold() -> Column:

@@ -163,7 +163,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, segment
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of two or fewer differing bits reach.
 
-    doc_id must not be null and repeats of one doc_id are separate rows. An empty table gives no rows. Columns other
+    Rows with a null doc_id get a component too, but never name one; repeats of one doc_id are separate rows. An empty table gives no rows. Columns other
     than doc_id and text are ignored.
     """
     marked = materialise(fingerprints(docs))
@@ -185,6 +185,8 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of its component; columns unchanged."""
-    kept = near_duplicate_components(docs).where("doc_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    """One row of each component, that of the smallest doc_id; columns unchanged. Rows without a doc_id all stay."""
+    named = docs.where(docs["doc_id"].isNotNull())
+    kept = near_duplicate_components(named).where("doc_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
+    one = named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(docs["doc_id"].isNull()))

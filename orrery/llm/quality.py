@@ -136,22 +136,22 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, the statistics, base_failed, score and kept of every row.
+def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, the statistics, base_failed, score and kept of every row; `carry` names a struct of the row's own columns.
 
     A null or empty text has no words and fails the base rules. Without trusted documents the ratio is the same for
-    all texts and only the base rules reject. Rows with equal doc_ids are judged one by one; an empty table gives none.
-    The weights (BUCKETS numbers) and the threshold are read as scalar subqueries; the trusted ids are TRUSTED at most.
+    all texts and only the base rules reject. Rows with equal or null doc_ids are judged one by one; an empty table gives
+    none. The weights (BUCKETS numbers) and the threshold are read as scalar subqueries; trusted ids are TRUSTED at most.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    own = [F.struct(*(docs[c] for c in docs.columns)).alias(carry)] if carry else []
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *own)
     trusted = trusted_ids(labels)
-    weights = materialise(gram_weights(docs, trusted))
+    weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted))
     target = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["__trusted"], "left_semi")
     scores = target.withColumn("__weights", weights.scalar()).select(gram_score(word_array(F.col("text")), F.col("__weights")).alias("score"))
     threshold = materialise(scores.agg(F.round(F.coalesce(F.percentile("score", F.lit(MISSED)), F.lit(float("-inf"))) - MARGIN, 6).alias("threshold")))
     judged = text_statistics(docs).withColumn("__weights", weights.scalar()).select(
         "doc_id",
-        "text",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -159,6 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "n_repeat_words",
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
         F.round(gram_score(F.col("__words"), F.col("__weights")), 6).alias("score"),
+        *([carry] if carry else []),
     )
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold.scalar(), F.lit(False)))
 
@@ -167,10 +168,9 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every row of `documents`."""
     from orrery.llm.common import table
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that judge() keeps, columns unchanged. The verdicts are joined back on doc_id."""
-    kept = judge(docs, labels).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    """The rows that judge() keeps, columns unchanged, without a join or shuffle of texts."""
+    return judge(docs, labels, carry="__row").where("kept").select("__row.*")

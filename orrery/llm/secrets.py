@@ -113,20 +113,25 @@ SPAN = "struct<start:int,kind:int,end:int>"
 CANDIDATE = "struct<start:int,end:int,class:string,bin:int>"
 
 
+def findings(text: str, scan, token: re.Pattern) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """Base spans of a text, and its tested tokens outside of them."""
+    base, own = scan(text), []
+    for m in token.finditer(text):
+        start, end = m.span()
+        if not any(s < end and start < e for s, _, e in base) and (tested := battery(m[0])):
+            own.append({"start": start, "end": end, "class": f"{tested[0]}:{length_class(end - start)}", "bin": min(BINS - 1, int(tested[1] * BINS))})
+    return base, own
+
+
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scan, token = scanner(), re.compile(TOKEN)
+    find, token = scanner(), re.compile(TOKEN)
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     candidate = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.string()), ("bin", pa.int32())]))
     for part in text_parts(batches):
         bases, candidates = [], []
         for text in part.column(1).to_pylist():
-            base = scan(text or "")
+            base, own = findings(text or "", find, token)
             bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            own = []
-            for m in token.finditer(text or ""):
-                start, end = m.span()
-                if not any(s < end and start < e for s, _, e in base) and (tested := battery(m[0])):
-                    own.append({"start": start, "end": end, "class": f"{tested[0]}:{length_class(end - start)}", "bin": min(BINS - 1, int(tested[1] * BINS))})
             candidates.append(own)
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bases, span), pa.array(candidates, candidate)], names=["doc_id", "base", "candidates"])
 
@@ -153,24 +158,32 @@ def lowest_cuts(histogram: dict[str, list[int]], rate: float) -> dict[str, int]:
     return cuts
 
 
+def corpus_cuts(scanned: DataFrame, rate: float) -> dict[str, int]:
+    """lowest_cuts() of the candidates of all documents. The histogram has encodings x length classes x BINS rows at most."""
+    histogram: dict[str, list[int]] = {}
+    for name, b, count in scanned.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count().collect():
+        histogram.setdefault(name, [0] * BINS)[b] = count
+    return lowest_cuts(histogram, rate)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, spans of the base rules, and tested tokens with class and bin of their p-value, of each whole text."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scanned, f"doc_id long, base array<{SPAN}>, candidates array<{CANDIDATE}>")
+
+
 def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """doc_id and spans (start, kind, end) of each whole text, in code points, end exclusive; kind indexes KINDS.
+    """doc_id, base and spans (start, kind, end) of each whole text, in code points, end exclusive; kind indexes KINDS.
 
-    A null text counts as empty and has no spans. Repeated doc_ids are separate rows, an empty table gives none,
-    other columns are ignored. One pass reads the texts; the cuts come from a histogram over all documents, whose
-    size is the number of encodings times that of length classes times BINS, whatever the input.
+    A null text counts as empty and has no spans. Null and repeated doc_ids are rows like any other, an empty table
+    gives none, other columns are ignored. One pass reads the texts; spans and candidates are written, and the cuts
+    come from a histogram over all documents.
     """
-    scanned = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scanned, f"doc_id long, base array<{SPAN}>, candidates array<{CANDIDATE}>"))
-    counted = scanned.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count()
-    histogram: dict[str, list[int]] = {}
-    for name, b, count in counted.collect():  # classes x bins rows at most
-        histogram.setdefault(name, [0] * BINS)[b] = count
-    cuts = lowest_cuts(histogram, rate)
-    passes = F.lit(False)
+    scanned = materialise(scan(docs))
+    cuts = corpus_cuts(scanned, rate)
     if cuts:
         cut = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
-        passes = lambda c: F.coalesce(c["bin"] >= F.element_at(cut, c["class"]), F.lit(False))
-        added = F.transform(F.filter("candidates", passes), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+        passed = F.filter("candidates", lambda c: F.coalesce(c["bin"] >= F.element_at(cut, c["class"]), F.lit(False)))
+        added = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     else:
         added = F.array().cast(f"array<{SPAN}>")
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
@@ -197,24 +210,38 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
-    """The documents with every span of find_secrets() replaced by `mark`, and n_chars as long as the new text.
+    """The documents with what find_secrets() finds replaced by `mark`, and n_chars as long as the new text.
 
-    Overlapping spans are replaced once. Rows, columns and null texts stay. Only documents with a span are joined;
-    doc_id must be unique.
+    Overlapping spans are replaced by one mark. Rows, columns and null texts stay. A first pass over all texts gives
+    the cuts, a second one replaces, so texts are never shuffled or joined.
     """
-    spans = find_secrets(docs, rate).where("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-
-    def step(done, s):
-        kept = F.substr("text", done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        return F.struct(F.concat(done["text"], kept, F.when(s["start"] >= done["at"], mark).otherwise("")).alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
-
-    def finish(done):
-        return F.concat(done["text"], F.substr("text", done["at"] + 1, F.length("text")))
-
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, finish))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cuts = corpus_cuts(materialise(scan(docs).where("size(candidates) > 0")), rate)
+    columns, schema = docs.columns, docs.schema
+    at, length = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def replaced(batches):
+        find, token = scanner(), re.compile(TOKEN)
+        for part in text_parts(batches, at):
+            texts = []
+            for text in part.column(at).to_pylist():
+                base, own = findings(text or "", find, token)
+                spans = sorted([(s, e) for s, _, e in base] + [(c["start"], c["end"]) for c in own if c["bin"] >= cuts.get(c["class"], BINS)])
+                texts.append(with_marks(text, spans, mark) if spans else text)
+            arrays = list(part.columns)
+            arrays[at] = pa.array(texts, pa.string()).cast(arrays[at].type)
+            if length is not None:
+                old = arrays[length].to_pylist()
+                arrays[length] = pa.array([n if t is None else len(t) for n, t in zip(old, texts)]).cast(arrays[length].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return docs.mapInArrow(replaced, schema)
+
+
+def with_marks(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with each of the sorted spans, merged where they overlap, replaced by the mark."""
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
