@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.llm import bpe, chat, language, near_duplicates, neighbours, packing, quality, secrets, urls
+from orrery.llm import bpe, chat, language, near_duplicates, neighbours, packing, quality, secrets, token_files, urls
 
 
 def queries() -> dict[str, Callable]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
         "op6_bpe": bpe.op6_bpe,
         "op7_quality": quality.op7_quality,
         "op8_urls": urls.op8_urls,
+        "op9_token_files": token_files.op9_token_files,
         "op10_language": language.op10_language,
     }
 
