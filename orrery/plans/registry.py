@@ -22,9 +22,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from importlib import import_module
+
+    for module in ("build_queries",):
+        import_module(f"orrery.plans.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
