@@ -89,7 +89,7 @@ def signed_distance(delta, normal, bias: float) -> Column:
 def health(rate: Column, rows: Column) -> Column:
     """Calibration health from the anomaly rate."""
     return (
-        F.when(rows == 0, "poor")
+        F.when(rows == 0, "good")
         .when((rate > 0.30) | (rate < 0.001), "poor")
         .when((rate > 0.20) | (rate < 0.01), "suspect")
         .otherwise("good")
@@ -152,9 +152,26 @@ def severity(norm_column: Column, theta: Column) -> Column:
     return F.when(ratio >= 2.5, "extreme").when(ratio >= 1.5, "high").when(ratio >= 1.1, "medium").otherwise("low")
 
 
+# What distances of entities and of their histories are called.
+DISTANCE_BANDS = ((0.1, "very similar"), (0.5, "similar"), (1.0, "moderately different"))
+HISTORY_BANDS = ((1.0, "similar history"), (3.0, "divergent history"))
+
+
+def band(value: Column, zero: str, bands, rest: str) -> Column:
+    """`zero` at 0, else the name of the first limit above the value, else `rest`."""
+    name = F.when(value == 0, zero)
+    for limit, text in bands:
+        name = name.when(value < limit, text)
+    return name.otherwise(rest)
+
+
 def distance_band(d: Column) -> Column:
     """Verbal band of a distance between two members of one population."""
-    return F.when(d == 0, "identical").when(d < 0.1, "near identical").when(d < 0.5, "similar").when(d < 1.0, "different").otherwise("very different")
+    return band(d, "identical shapes", DISTANCE_BANDS, "very different")
+
+
+def history_band(d: Column) -> Column:
+    return band(d, "identical history", HISTORY_BANDS, "very different history")
 
 
 def fisher_p(p_values: Column) -> Column:

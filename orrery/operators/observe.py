@@ -164,13 +164,14 @@ def data_quality(geo: DataFrame, names: list[str], shapes: list[str], deltas: li
         F.count(F.when(F.abs(recomputed - F.col("norm")) > 0.01, 1)).alias("mismatch"),
         *((F.count(F.when(F.col(s) > 0, 1)) / total).alias(f"c_{n}") for n, s in zip(names, shapes)),
     )
+    check = lambda name, value, issue: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), issue.alias("is_issue"))
     checks = [
-        F.struct(F.lit("anomaly_rate").alias("check"), F.col("rate").alias("value"), (F.col("rate") > HIGH_RATE).alias("is_issue")),
-        F.struct(F.lit("no_anomalies"), F.col("rate"), (F.col("rate") == 0) & (F.col("n") > 1000)),
-        F.struct(F.lit("degenerate"), F.col("zero_norms"), F.col("zero_norms") > 0.10),
-        F.struct(F.lit("ceiling"), F.col("ceiling"), F.col("ceiling") > 0.50),
-        F.struct(F.lit("norm_mismatch"), F.col("mismatch").cast("double"), F.col("mismatch") > 0),
-        *(F.struct(F.lit(f"coverage_{n}"), F.col(f"c_{n}"), F.col(f"c_{n}") < 0.50) for n in names),
+        check("anomaly_rate", F.col("rate"), F.col("rate") > HIGH_RATE),
+        check("no_anomalies", F.col("rate"), (F.col("rate") == 0) & (F.col("n") > 1000)),
+        check("degenerate", F.col("zero_norms"), F.col("zero_norms") > 0.10),
+        check("ceiling", F.col("ceiling"), F.col("ceiling") > 0.50),
+        check("norm_mismatch", F.col("mismatch"), F.col("mismatch") > 0),
+        *(check(f"coverage_{n}", F.col(f"c_{n}"), F.col(f"c_{n}") < 0.50) for n in names),
     ]
     return row.select(F.explode(F.array(*checks)).alias("x")).select("x.check", F.round("x.value", 6).alias("value"), "x.is_issue")
 
@@ -178,12 +179,14 @@ def data_quality(geo: DataFrame, names: list[str], shapes: list[str], deltas: li
 def alerts(now: DataFrame, before: DataFrame) -> DataFrame:
     """Alerts from two rows (total, anomalies): rate spike, size shock, high and zero rate."""
     joined = now.select(F.col("total").alias("n"), (F.col("anomalies") / F.col("total")).alias("r")).join(F.broadcast(before.select(F.col("total").alias("m"), (F.col("anomalies") / F.col("total")).alias("q"))))
+    alert = lambda name, value, raised: F.struct(F.lit(name).alias("alert"), value.alias("value"), raised.alias("raised"))
+    growth = (F.col("n") - F.col("m")) / F.col("m")
     found = [
-        F.struct(F.lit("rate_spike").alias("alert"), (F.col("r") - F.col("q")).alias("value"), (F.col("r") - F.col("q") > RATE_SPIKE).alias("raised")),
-        F.struct(F.lit("size_shock"), (F.col("n") - F.col("m")) / F.col("m"), F.abs(F.col("n") - F.col("m")) / F.col("m") > SIZE_SHOCK),
-        F.struct(F.lit("high_rate"), F.col("r"), F.col("r") > HIGH_RATE),
-        F.struct(F.lit("very_high_rate"), F.col("r"), F.col("r") > VERY_HIGH_RATE),
-        F.struct(F.lit("zero_rate"), F.col("r"), (F.col("r") == 0) & (F.col("n") > 1000)),
+        alert("rate_spike", F.col("r") - F.col("q"), F.col("r") - F.col("q") > RATE_SPIKE),
+        alert("size_shock", growth, F.abs(growth) > SIZE_SHOCK),
+        alert("high_rate", F.col("r"), F.col("r") > HIGH_RATE),
+        alert("very_high_rate", F.col("r"), F.col("r") > VERY_HIGH_RATE),
+        alert("zero_rate", F.col("r"), (F.col("r") == 0) & (F.col("n") > 1000)),
     ]
     return joined.select(F.explode(F.array(*found)).alias("x")).select("x.alert", F.round("x.value", 6).alias("value"), "x.raised")
 
