@@ -5,8 +5,8 @@ that no piece covers; a word's probability under it is the sum over all ways to
 forward pass. Expectation maximisation with forward and backward passes learns the probabilities. A text's score for
 a language is the sum of its words' logarithms; the languages' posterior, with equal priors, gives the answer.
 
-Words are runs of letters, lower-cased, with the mark of a word's beginning. A worker remembers what recent words
-score, so the forward pass runs once for most words however often they occur.
+Words are runs of letters, lower-cased, with the mark of a word's beginning. A worker remembers what recent tokens
+(what blanks separate) score, so the forward pass runs once for most of them however often they occur.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from orrery.llm.common import RecentCache, materialise, text_parts, tokenizer_path, worker_state
+from orrery.llm.common import materialise, text_parts, tokenizer_path, worker_state
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -37,7 +38,7 @@ ROUNDS = 2
 SMOOTHING = 0.1
 #: Words longer than this are scored in stretches of this length.
 STRETCH = 64
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 
 
 def pieces(path: str | None = None) -> dict[str, int]:
@@ -58,30 +59,98 @@ class Models:
 
     def __init__(self, languages: list[str], probabilities: dict[str, tuple[float, ...]], other: tuple[float, ...]):
         self.languages, self.probabilities, self.other = languages, probabilities, other
-        self.longest = max(map(len, probabilities), default=1)
-
-    def log_scores(self, word: str) -> list[float]:
-        """Logarithm of the word's probability under each language, all segmentations summed."""
-        total = [0.0] * len(self.languages)
-        marked = MARK + word
-        for start in range(0, len(marked), STRETCH):
-            for i, p in enumerate(self.forward(marked[start : start + STRETCH])):
-                total[i] += math.log(max(p, 1e-300))
+
+    @cached_property
+    def numbered(self) -> dict[str, int]:
+        """Row of each piece in `table`; -1 for what only begins a piece."""
+        rows = {piece: i for i, piece in enumerate(self.probabilities)}
+        return {piece[:n]: -1 for piece in rows for n in range(1, len(piece))} | rows
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A row of probabilities for each piece, and at last the one of a lone character."""
+        return np.array([*self.probabilities.values(), self.other], dtype=np.float64)
+
+    def log_scores(self, words: list[str]) -> np.ndarray:
+        """Logarithm of each word's probability under each language, all segmentations summed."""
+        stretches, owner = [], []
+        for i, word in enumerate(words):
+            marked = MARK + word
+            for start in range(0, len(marked), STRETCH):
+                stretches.append(marked[start : start + STRETCH])
+                owner.append(i)
+        total = np.zeros((len(words), len(self.languages)))
+        np.add.at(total, np.array(owner, dtype=np.int64), np.log(np.maximum(self.forward(stretches), 1e-300)))
         return total
 
-    def forward(self, text: str) -> tuple[float, ...] | list[float]:
-        get, other, longest, n = self.probabilities.get, self.other, self.longest, len(text)
-        alpha: list = [None] * (n + 1)
-        alpha[0] = [1.0] * len(other)
-        for start in range(n):
-            here = alpha[start]
-            step = other
-            for end in range(start + 1, min(n, start + longest) + 1):
-                p = get(text[start:end]) or (step if end == start + 1 else None)
-                if p is not None:
-                    sofar = alpha[end]
-                    alpha[end] = [a * b for a, b in zip(here, p)] if sofar is None else [s + a * b for s, a, b in zip(sofar, here, p)]
-        return alpha[n]
+    def forward(self, texts: list[str]) -> np.ndarray:
+        """Sum of the probabilities of all segmentations, for each text and language.
+
+        An arc is a piece from one place of a text to a later one; arcs are summed by the place where they end.
+        """
+        get, lone = self.numbered.get, len(self.probabilities)
+        owners, starts, ends, rows = [], [], [], []
+        for i, text in enumerate(texts):
+            n = len(text)
+            for start in range(n):
+                end = start + 1
+                row = get(text[start:end])
+                owners.append(i)
+                starts.append(start)
+                ends.append(end)
+                rows.append(lone if row is None or row < 0 else row)
+                while row is not None and end < n:
+                    end += 1
+                    row = get(text[start:end])
+                    if row is not None and row >= 0:
+                        owners.append(i)
+                        starts.append(start)
+                        ends.append(end)
+                        rows.append(row)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        alpha = np.zeros((len(texts), 1 + int(lengths.max(initial=0)), len(self.languages)))
+        alpha[:, 0] = 1.0
+        owner, start, end, row = (np.array(x, dtype=np.int64) for x in (owners, starts, ends, rows))
+        order = np.lexsort((owner, end))
+        owner, start, end, row = owner[order], start[order], end[order], row[order]
+        edges = np.searchsorted(end, np.arange(1, alpha.shape[1] + 1))
+        for place in range(1, alpha.shape[1]):
+            arcs = slice(edges[place - 1], edges[place])
+            own = owner[arcs]
+            firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            alpha[own[firsts], place] = np.add.reduceat(alpha[own, start[arcs]] * self.table[row[arcs]], firsts)
+        return alpha[np.arange(len(texts)), lengths]
+
+
+class TokenScores(dict):
+    """Rows of a table: for each token, what its words score, and their number. It starts anew when it is full."""
+
+    def __init__(self, models: Models, most: int = REMEMBERED):
+        super().__init__()
+        self.models, self.most = models, most
+        self.table = np.empty((most, 1 + len(models.languages)))
+
+    def learn(self, tokens: set[str]) -> None:
+        new = sorted(tokens - self.keys())
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = sorted(tokens)
+        if len(new) > len(self.table):
+            self.most = len(new)
+            self.table = np.empty((self.most, self.table.shape[1]))
+        found = [WORD.findall(token) for token in new]
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
+        scores = self.models.log_scores(list(place)) if place else np.zeros((0, len(self.models.languages)))
+        counts = np.array([len(ws) for ws in found], dtype=np.int64)
+        rows = np.zeros((len(new), self.table.shape[1]))
+        np.add.at(rows[:, :-1], np.repeat(np.arange(len(new)), counts), scores[[place[w] for ws in found for w in ws]])
+        rows[:, -1] = counts
+        at = len(self)
+        self.table[at : at + len(new)] = rows
+        self.update(zip(new, range(at, at + len(new))))
+
+    def total(self, tokens: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
 
 
 def expected_counts(text: str, count: int, probability: dict[str, float], other: float, longest: int, into: dict[str, float]) -> None:
@@ -178,17 +247,17 @@ def fit(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, vocabulary: str
     return Models(languages, {p: tuple(table[lang][p] for lang in languages) for p in known}, tuple(other[lang] for lang in languages))
 
 
-def _answers(texts: list[str | None], models: Models, remembered: RecentCache) -> tuple[list[str], list[float]]:
+def _answers(texts: list[str | None], models: Models, remembered: TokenScores) -> tuple[list[str], list[float]]:
     langs, scores = [], []
-    for text in texts:
-        found = words(text or "")
-        if not found or not models.languages:
+    tokens = [(text or "").lower().split() for text in texts]
+    remembered.learn(set().union(*tokens))
+    for own in tokens:
+        total = remembered.total(own)
+        if not total[-1] or not models.languages:
             langs.append(UNDETERMINED)
             scores.append(0.0)
             continue
-        total = np.zeros(len(models.languages))
-        for start in range(0, len(found), 1 << 16):
-            total += np.array(list(map(remembered.__getitem__, found[start : start + (1 << 16)]))).sum(axis=0)
+        total = total[:-1]
         best = int(total.argmax())
         langs.append(models.languages[best])
         scores.append(float(1 / np.exp(total - total[best]).sum()))
@@ -208,8 +277,8 @@ def predict(docs: DataFrame, models: Models, keep: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), *rows.schema.fields])
 
     def scored(batches):
-        remembered = worker_state("language", lambda: RecentCache(sent.value.log_scores, REMEMBERED), version)
-        for part in text_parts(batches, at):
+        remembered = worker_state("language", lambda: TokenScores(sent.value), version)
+        for part in text_parts(batches, at, 2 << 20):
             langs, scores = _answers(part.column(at).to_pylist(), sent.value, remembered)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *part.columns], names=schema.names)
 
