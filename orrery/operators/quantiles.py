@@ -19,12 +19,13 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> d
     A sketch brackets each wanted rank, one pass counts what lies below the bracket, and only the bracket's distinct
     values are gathered. A bracket that is still too wide is cut again, so the driver's part stays bounded.
     """
-    names = list(wanted)
-    if not names:
+    if not wanted:
         return {}
-    values = df.select(*(wanted[n][0].cast("double").alias(n) for n in names))
+    own = {f"q{i}": spec for i, spec in enumerate(wanted.values())}
+    names = list(own)
+    values = df.select(*(own[n][0].cast("double").alias(n) for n in names))
     counts = values.agg(*(F.count(n).alias(n) for n in names)).first()
-    rank = {n: (counts[n] - 1) * wanted[n][1] for n in names if counts[n]}
+    rank = {n: (counts[n] - 1) * own[n][1] for n in names if counts[n]}
     below, size, bracket = dict.fromkeys(rank, 0), {n: counts[n] for n in rank}, dict.fromkeys(rank, (-math.inf, math.inf))
     wide = [n for n in rank if size[n] > GATHERED]
     while wide:
@@ -52,7 +53,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> d
     if rank:
         for r in values.select(F.explode(held).alias("x")).groupBy("x.name", "x.v").count().collect():
             found[r[0]].append((r[1], r[2]))
-    return {n: _interpolated(sorted(found[n]), rank[n] - below[n]) if n in rank else None for n in names}
+    return {given: _interpolated(sorted(found[n]), rank[n] - below[n]) if n in rank else None for given, n in zip(wanted, names)}
 
 
 def _interpolated(values: list[tuple[float, int]], rank: float) -> float:
