@@ -3,7 +3,8 @@
 Word and word-pair n-grams are hashed to a fixed number of buckets. A bucket's weight is the logarithm of its share
 among the trusted documents over its share in the whole corpus. A document's score is the mean weight of its n-grams,
 so length does not matter, and a document is kept if its score reaches the score that all but a small share of the
-trusted documents reach.
+trusted documents reach. Half of the trusted documents, by hash, give the weights and the other half the threshold, so
+that documents are not held against scores of texts which the weights have seen.
 """
 
 from __future__ import annotations
@@ -100,9 +101,13 @@ def gram_buckets(words: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """doc_id of labelled documents of quality 1 and not toxic; those of the smallest hashes if there are more than `most`."""
+    """__trusted, the doc_id of documents labelled good and not toxic, and __fits, whether it gives weights or the threshold.
+
+    Of more than `most`, those of the smallest hashes.
+    """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return materialise(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__trusted")))
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return materialise(chosen.select(F.col("doc_id").alias("__trusted"), (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("__fits")))
 
 
 def gram_weights(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
@@ -146,8 +151,8 @@ def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataF
     own = [F.struct(*(docs[c] for c in docs.columns)).alias(carry)] if carry else []
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *own)
     trusted = trusted_ids(labels)
-    weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted))
-    target = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["__trusted"], "left_semi")
+    weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted.where("__fits")))
+    target = docs.join(F.broadcast(trusted.where("not __fits")), docs["doc_id"] == F.col("__trusted"), "left_semi")
     scores = target.withColumn("__weights", weights.scalar()).select(gram_score(word_array(F.col("text")), F.col("__weights")).alias("score"))
     threshold = materialise(scores.agg(F.round(F.coalesce(F.percentile("score", F.lit(MISSED)), F.lit(float("-inf"))) - MARGIN, 6).alias("threshold")))
     judged = text_statistics(docs).withColumn("__weights", weights.scalar()).select(
