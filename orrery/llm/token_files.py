@@ -33,14 +33,14 @@ from orrery.llm.common import materialise, shipped_file, text_parts, tokenizer_p
 
 MAGIC = b"OTF1"
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = BLOCK * LANES
 REMEMBERED = 400_000
 
-SLOTS = 1 << 12
-LEAF_ROWS = 1 << 10
+SLOTS = 1 << 11
+LEAF_ROWS = 1 << 9
 COUNT_STEP, COUNT_LIMIT = 24, 1 << 13
 ONE = 1 << 16
 SHIFT, SETTLED, LEAST_RANGE = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 24)
@@ -106,6 +106,7 @@ class Models:
     def __init__(self, lanes: int, coder: RangeCoder):
         self.coder = coder
         self.lane = np.arange(lanes)
+        self.first = self.lane * 16
         self.order1 = np.full(lanes * SLOTS, 0xFFFF << 4, np.int32)
         self.order2 = self.order1.copy()
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -122,14 +123,15 @@ class Models:
 
     def digit(self, level: int, row: np.ndarray, lanes: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         table = self.digits[level]
-        counts = table[row].astype(np.uint64)
-        cumulated = np.cumsum(counts, axis=1)
-        total, each = cumulated[:, 15], np.arange(len(lanes))
+        counts = table[row]
+        cumulated = counts.cumsum(axis=1, dtype=np.uint16)  # COUNT_LIMIT keeps sums small
+        total, first = cumulated[:, 15], self.first[: len(lanes)]
+        wide = total.astype(np.uint64)
         if value is None:
-            value = (cumulated <= self.coder.target(lanes, total)[:, None]).sum(axis=1)
-        count = counts[each, value]
-        self.coder.narrow(lanes, cumulated[each, value] - count, count, total)
-        table[row, value] += np.uint16(COUNT_STEP)
+            value = np.count_nonzero(cumulated <= self.coder.target(lanes, wide).astype(np.uint16)[:, None], axis=1)
+        count = counts.ravel()[first + value]
+        self.coder.narrow(lanes, (cumulated.ravel()[first + value] - count).astype(np.uint64), count.astype(np.uint64), wide)
+        table[row, value] = count + np.uint16(COUNT_STEP)
         full = row[total > COUNT_LIMIT]
         if len(full):
             table[full] = (table[full] + 1) >> 1
