@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     from importlib import import_module
 
-    for module in ("build_queries", "aggregate_queries", "graph_queries", "space_queries", "time_queries", "source_queries"):
+    for module in ("build_queries", "aggregate_queries", "graph_queries", "space_queries", "time_queries", "source_queries", "helper_queries"):
         import_module(f"orrery.plans.{module}")
 
 
