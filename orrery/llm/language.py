@@ -38,7 +38,7 @@ ROUNDS = 2
 SMOOTHING = 0.1
 #: Words longer than this are scored in stretches of this length.
 STRETCH = 64
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def pieces(path: str | None = None) -> dict[str, int]:
