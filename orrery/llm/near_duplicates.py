@@ -160,6 +160,16 @@ def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, segment
     return dealt.mapInArrow(lambda batches: _links(batches, distance), "u long, v long").distinct()
 
 
+def component_ids(marked: DataFrame, smallest: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of the rows of `marked` (doc_id, fp): the smallest doc_id that links between fps reach."""
+    roots = components(links)
+    rooted = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = rooted.join(least, "root").select("fp", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of two or fewer differing bits reach.
 
@@ -168,12 +178,7 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """
     marked = materialise(fingerprints(docs))
     smallest = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    roots = components(fingerprint_links(smallest.select("fp")))
-    rooted = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return component_ids(marked, smallest, fingerprint_links(smallest.select("fp")))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
@@ -185,8 +190,10 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id; columns unchanged. Rows without a doc_id all stay."""
+    """One row of each component of similar texts, that of the smallest doc_id; columns unchanged. Rows without a doc_id all stay."""
+    from orrery.llm.similar_texts import similar_text_components
+
     named = docs.where(docs["doc_id"].isNotNull())
-    kept = near_duplicate_components(named).where("doc_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
+    kept = similar_text_components(named).where("doc_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
     one = named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(docs["doc_id"].isNull()))

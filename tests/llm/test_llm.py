@@ -243,6 +243,31 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_duplicates.near_duplicate_components(empty).collect() == []
 
 
+def test_pipeline_drops_texts_of_jaccard_from_08(spark, monkeypatch):
+    """Five words and 0.8, against brute force; buckets in one part and in several."""
+    from orrery.llm import similar_texts
+
+    rng = random.Random(5)
+    base, rows = [f"w{rng.randrange(900)}" for _ in range(150)], []
+    for i in range(60):
+        words = (base if i % 3 else [f"v{rng.randrange(900)}" for _ in range(120)])[:]
+        for _ in range(rng.randrange(6) if i % 3 else 0):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9000)}"
+        rows += [(i, " ".join(words))] if i % 3 else [(i, " ".join(words)), (1000 + i, " ".join([*words[:-3], "a", "b", "c"])), (2000 + i, " ".join([*words[:20], "a", *words[21:50], "b", *words[51:80], "c", *words[81:100]]))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 20 < len(set(root.values())) < len(sets)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for unit in (512, 7):
+        monkeypatch.setattr(similar_texts, "UNIT", unit)
+        assert {r.doc_id: r.component_id for r in similar_texts.similar_text_components(frame).collect()} == root
+    assert sorted(r.doc_id for r in near_duplicates.keep_one_of_each_group(frame).collect()) == sorted(set(root.values()))
+
+
 # 5: secrets
 
 
