@@ -4,7 +4,8 @@ Word and word-pair n-grams are hashed to a fixed number of buckets. A bucket's w
 among the trusted documents over its share in the whole corpus. A document's score is the mean weight of its n-grams,
 so length does not matter, and a document is kept if its score reaches the score that all but a small share of the
 trusted documents reach. Half of the trusted documents, by hash, give the weights and the other half the threshold, so
-that documents are not held against scores of texts which the weights have seen.
+that documents are not held against scores of texts which the weights have seen. Those that the base rules reject give
+none: the means of a few n-grams scatter most, and such texts are never decided by their score.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 #: Trusted documents that the target multinomial and the threshold are fitted on, at most; those of the smallest hashes.
 TRUSTED = 20_000
-#: Share of the trusted documents whose scores lie below the threshold.
+#: Share of the held-out trusted documents that pass the base rules whose scores lie below the threshold.
 MISSED = 0.002
 #: Taken off the threshold, so that documents like the trusted ones are not decided by small differences.
 MARGIN = 0.02
@@ -141,6 +142,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    """Whether the base rules reject a row of text_statistics()."""
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
     """doc_id, the statistics, base_failed, score and kept of every row; `carry` names a struct of the row's own columns.
 
@@ -153,7 +159,8 @@ def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataF
     trusted = trusted_ids(labels)
     weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted.where("__fits")))
     target = docs.join(F.broadcast(trusted.where("not __fits")), docs["doc_id"] == F.col("__trusted"), "left_semi")
-    scores = target.withColumn("__weights", weights.scalar()).select(gram_score(word_array(F.col("text")), F.col("__weights")).alias("score"))
+    passing = text_statistics(target).where(~base_failed()).withColumn("__weights", weights.scalar())
+    scores = passing.select(gram_score(F.col("__words"), F.col("__weights")).alias("score"))
     threshold = materialise(scores.agg(F.round(F.coalesce(F.percentile("score", F.lit(MISSED)), F.lit(float("-inf"))) - MARGIN, 6).alias("threshold")))
     judged = text_statistics(docs).withColumn("__weights", weights.scalar()).select(
         "doc_id",
@@ -162,7 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataF
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
+        base_failed().alias("base_failed"),
         F.round(gram_score(F.col("__words"), F.col("__weights")), 6).alias("score"),
         *([carry] if carry else []),
     )

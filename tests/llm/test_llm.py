@@ -391,6 +391,18 @@ def test_ratio_score(spark):
     assert min(judged[i] for i in range(40)) > max(judged[i] for i in range(40, 80))
 
 
+def test_quality_threshold_ignores_what_the_base_rules_reject(spark):
+    """Trusted texts of a word or a single repeated phrase score low, and must not loosen the cut."""
+    rng = random.Random(7)
+    prose = lambda kind: " ".join(f"{kind}{rng.randrange(200)}" for _ in range(80))
+    rows = [(i, prose("good")) for i in range(60)] + [(100 + i, prose("junk")) for i in range(60)]
+    short = [(200 + i, f"junk{i}") for i in range(40)] + [(300 + i, "junk1 junk2 junk3 " * 30) for i in range(20)]
+    docs = spark.createDataFrame(rows + short, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in [*rows[:60], *short]], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
+    assert kept <= set(range(60)) and len(kept) >= 55
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0)):
