@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import expressions as X
+from orrery.sources.store import materialise
 
-#: Rows of the query side that a block of an all-pairs search may broadcast.
+#: Rows of the query side that a block of an all-pairs search broadcasts, on average.
 QUERY_ROWS = 2_000
 BM25_K1, BM25_B = 1.2, 0.75
 
@@ -45,17 +47,24 @@ def nearest(geo: DataFrame, key: str, deltas: list[str], reference, top: int = 5
 
 
 def neighbours_of(geo: DataFrame, queries: DataFrame, key: str, deltas: list[str], top: int = 5) -> DataFrame:
-    """(query, key, distance, rank): the nearest entities of each of a bounded number of queries.
+    """(query, key, distance, rank): the nearest entities of each query.
 
-    The queries, QUERY_ROWS at most, are broadcast; each partition keeps its best before anything is shuffled.
+    Hash blocks of some QUERY_ROWS queries are broadcast one by one; each partition keeps its best before anything is shuffled.
     """
-    held = queries.select(F.col(key).alias("query"), *(F.col(d).alias(f"q_{d}") for d in deltas)).limit(QUERY_ROWS + 1)
-    if held.count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries; search in blocks")
-    pairs = geo.join(F.broadcast(held), F.col(key) != F.col("query"))
-    measured = pairs.select("query", key, X.distance([F.col(d) for d in deltas], [F.col(f"q_{d}") for d in deltas]).alias("distance"))
+    held = queries.select(F.col(key).alias("query"), *(F.col(d).alias(f"q_{d}") for d in deltas))
+    blocks = -(-held.count() // QUERY_ROWS) or 1
+    if blocks > 1:
+        geo, held = materialise(geo), materialise(held)
     order = Window.partitionBy("query").orderBy("distance", key)
-    return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    def block(part: DataFrame) -> DataFrame:
+        pairs = geo.join(F.broadcast(part), F.col(key) != F.col("query"))
+        measured = pairs.select("query", key, X.distance([F.col(d) for d in deltas], [F.col(f"q_{d}") for d in deltas]).alias("distance"))
+        return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    if blocks == 1:
+        return block(held)
+    return reduce(DataFrame.unionByName, (block(held.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)) for i in range(blocks)))
 
 
 def array_distance(a: Column, b: Column) -> Column:

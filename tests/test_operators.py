@@ -137,6 +137,13 @@ def edges(spark, rows):
     return spark.createDataFrame([(f, t, i, float(ts), a) for i, (f, t, ts, a) in enumerate(rows)], "from_key string, to_key string, event_key long, timestamp double, amount double")
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    geo = spark.createDataFrame([(i, float(i * i)) for i in range(12)], "k long, x double")
+    whole = sorted(map(tuple, similar.neighbours_of(geo, geo, "k", ["x"], 2).collect()))
+    monkeypatch.setattr(similar, "QUERY_ROWS", 5)
+    assert sorted(map(tuple, similar.neighbours_of(geo, geo, "k", ["x"], 2).collect())) == whole and len(whole) == 24
+
+
 def test_chains(spark):
     table = edges(spark, [("A", "B", 0, 1.0), ("B", "C", 3600, 2.0), ("C", "A", 7200, 4.0), ("B", "D", 10**9, 1.0)])
     found = {tuple(r["keys"]): r for r in graph.discover_chains(table, ["A"], hops=3).collect()}
