@@ -163,8 +163,8 @@ def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list
     return reached.where("depth > 0").orderBy(F.desc("score"), "key").limit(most)
 
 
-def discover_chains(edges: DataFrame, seeds: list, hops: int = 3, least: int = 2, window_hours: float = 168, direction: str = "forward", beam: int = 200) -> DataFrame:
-    """Simple paths from the seeds in time order, each hop within the window of the last; the earliest `beam` a seed and hop.
+def discover_chains(edges: DataFrame, seeds: list, hops: int = 3, least: int = 2, window_hours: float = 168, direction: str = "forward") -> DataFrame:
+    """All simple paths from the seeds in time order, each hop within the window of the last; each hop is a written table.
 
     Rows: seed, keys, event_keys, amounts, hop_count, span_hours, is_cyclic, amount_decay. A path that returns to its
     seed is cyclic and ends there.
@@ -176,15 +176,14 @@ def discover_chains(edges: DataFrame, seeds: list, hops: int = 3, least: int = 2
     start = step.where(F.col("f").isin(seeds)).select(
         F.col("f").alias("seed"), F.array("f", "t").alias("keys"), F.array("e").alias("event_keys"), F.array("am").alias("amounts"), F.col("ts").alias("first"), F.col("ts").alias("last"), F.col("t").alias("end")
     )
-    order = Window.partitionBy("seed").orderBy("last", "first", F.array_join(F.col("event_keys").cast("array<string>"), ","))
-    paths = materialise(start.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n"))
+    paths = materialise(start)
     found = paths
     for _ in range(hops - 1):
         open_ = paths.where(F.col("end") != F.col("seed"))
         near = (F.col("end") == F.col("f")) & (F.col("ts") >= F.col("last")) & (F.col("ts") - F.col("last") <= window)
         longer = open_.join(step, near).where((F.col("t") == F.col("seed")) | ~F.array_contains("keys", F.col("t"))).where(~F.array_contains("event_keys", F.col("e")))
         longer = longer.select("seed", F.array_append("keys", F.col("t")).alias("keys"), F.array_append("event_keys", F.col("e")).alias("event_keys"), F.array_append("amounts", F.col("am")).alias("amounts"), "first", F.col("ts").alias("last"), F.col("t").alias("end"))
-        paths = materialise(longer.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam).drop("n"))
+        paths = materialise(longer)
         found = found.unionByName(paths)
     kept = found.where(F.size("event_keys") >= least).withColumn("events", F.array_sort("event_keys"))
     one = kept.groupBy("events").agg(F.min_by(F.struct("seed", "keys", "event_keys", "amounts", "first", "last", "end"), F.struct("seed", "event_keys")).alias("p")).select("p.*")

@@ -103,12 +103,12 @@ def graph_influence(spark, sf_dir):
 
 @query("graph_discover_chains")
 def graph_discover_chains(spark, sf_dir):
-    return G.discover_chains(edges(spark, sf_dir), [SEED], hops=3, beam=50)
+    return G.discover_chains(edges(spark, sf_dir), [SEED], hops=3)
 
 
 @query("graph_chain_statistics")
 def graph_chain_statistics(spark, sf_dir):
-    return G.chain_statistics(G.discover_chains(edges(spark, sf_dir), [SEED, OTHER], hops=2, beam=50, direction="backward"))
+    return G.chain_statistics(G.discover_chains(edges(spark, sf_dir), [SEED, OTHER], hops=2, direction="backward"))
 
 
 @query("graph_chain_seeds", f"""WITH {S.EDGES}, o AS (SELECT from_key AS key, count(DISTINCT to_key) AS od, count(*) AS oe FROM edges GROUP BY 1), i AS (SELECT to_key AS key, count(DISTINCT from_key) AS idg, count(*) AS ie FROM edges GROUP BY 1),

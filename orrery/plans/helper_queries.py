@@ -82,7 +82,7 @@ def witness_overlap(spark, sf_dir):
 
 @query("chains_of_entities")
 def chains_of_entities(spark, sf_dir):
-    chains = G.discover_chains(L.hand_overs(spark, sf_dir), [7], hops=2, beam=50).withColumn("chain_id", F.sha2(F.array_join("event_keys", ","), 256))
+    chains = G.discover_chains(L.hand_overs(spark, sf_dir), [7], hops=2).withColumn("chain_id", F.sha2(F.array_join("event_keys", ","), 256))
     return G.chain_members(chains).groupBy("key").agg(F.count_distinct("chain_id").alias("n_chains"))
 
 

@@ -151,6 +151,15 @@ def test_chains(spark):
     assert found["A", "B", "C", "A"].is_cyclic and found["A", "B", "C", "A"].amount_decay == 4.0
 
 
+def test_chains_of_late_starts(spark):
+    """Every start extends, however many are earlier; in both directions."""
+    hour = 3600
+    rows = [x for i in range(300) for x in (("A", f"B{i}", i * 200 * hour, 1.0), (f"B{i}", "C", (i * 200 + 1) * hour, 2.0))]
+    chains = graph.discover_chains(edges(spark, rows), ["A"], hops=2)
+    assert {tuple(r["keys"]) for r in chains.collect()} == {("A", f"B{i}", "C") for i in range(300)}
+    assert graph.discover_chains(edges(spark, rows), ["C"], hops=2, direction="backward").count() == 300
+
+
 def test_paths_and_influence(spark):
     table = edges(spark, [("A", "B", 0, 1.0), ("B", "C", 1, 1.0), ("A", "D", 1, 1.0)])
     geo = spark.createDataFrame([(k, 1.0, float(i)) for i, k in enumerate("ABCD")], "k string, x double, y double")
