@@ -43,6 +43,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_partitions(df: DataFrame, size: int) -> int:
+    """Partitions of about `size` bytes by the optimiser's estimate, which for a scan comes from its files' sizes; no job runs.
+
+    One a core at least, and spark.sql.shuffle.partitions where the optimiser knows nothing of the size.
+    """
+    spark = df.sparkSession
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = estimate < 1 << 60
+    return max(spark.sparkContext.defaultParallelism, -(-estimate // size) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def worker_state(key: str, build: Callable[[], object], version: str = ""):
     """What `build` makes, once per Python worker process; workers are reused between tasks. The last version stays."""
     store = sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__

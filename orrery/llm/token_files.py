@@ -1,25 +1,28 @@
 """Token-id files: adaptive context mixing over order-0 to order-2 predictions drives a range coder in blocks.
 
-A block of BLOCK ids starts from an empty model, has its own length and CRC-32 and can be read alone. Each id is
-coded as up to three kinds of decisions: whether it is the id that the order-2 context predicts, with a probability
-that mixes the order-2 and the order-1 model's confidence in the logistic domain; else whether it is the order-1
-prediction; else its four hexadecimal digits under adaptive order-0 counts. All arithmetic is on integers.
+A block of BLOCK ids starts from an empty model, has its own length and CRC-32 and can be read alone. For each id the
+order-2 context, or else the order-1 context, names a candidate. Three models give the log odds that it comes: order 2
+and order 1 by how often their contexts were right of late, order 0 by the candidate's count in the block. Their sum is
+the mixed prediction, and all three learn from its error at every id. The rest of the range is shared by the ids that
+the block held up to the last of the places in HISTORY, by their order-0 counts, and by new ids, which are coded digit
+by digit. One narrowing of the interval thus codes an id by all three orders. All arithmetic is on integers.
 
 Blocks do not depend on each other, so up to LANES of them are coded in lockstep, a vector operation doing one step
 of all of them. The working memory is that of LANES models, whatever the input.
 
-File format. A record holds the documents of a group in order: "OTF1", three little-endian uint32 (documents, blocks,
-ids), per document an int64 doc_id and a uint32 number of ids, per block three uint32 (ids, words, CRC-32 of the ids
-as little-endian uint16), then the blocks' words (uint32). Records are rows of a table, ordered by shard and group.
+File format. A record holds the documents of a group in order: "OTF2", four little-endian uint32 (documents, blocks,
+ids, bytes of an id: 2 or 4), per document an int64 doc_id, a uint8 that is 1 where it is null and a uint32 number of
+ids, per block three uint32 (ids, words, CRC-32 of the ids as little-endian integers), then the blocks' words (uint32).
+Records are rows of a table, ordered by shard and group.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,67 +31,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.bpe import CHUNK, VOCABULARY
-from orrery.llm.common import materialise, shipped_file, text_parts, tokenizer_path, worker_state
+from orrery.llm.bpe import VOCABULARY
+from orrery.llm.chunks import ChunkTable
+from orrery.llm.common import materialise, planned_partitions, shipped_file, text_parts, tokenizer_path, worker_state
 
-MAGIC = b"OTF1"
-BLOCK = 4096
-LANES = 2048
+MAGIC = b"OTF2"
+BLOCK = 2048
+LANES = 4096
 END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = BLOCK * LANES
+#: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
 REMEMBERED = 400_000
-
-SLOTS = 1 << 11
-LEAF_ROWS = 1 << 9
-COUNT_STEP, COUNT_LIMIT = 24, 1 << 13
-ONE = 1 << 16
-SHIFT, SETTLED, LEAST_RANGE = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 24)
-STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], dtype=np.int64)
-SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.int64)
+TEXT_BYTES = 8 << 20
+ENCODED = 8192
+#: Bytes of the plan's estimate that a range of documents is to have, and groups whose starts are broadcast at most.
+RANGE_BYTES = 10 << 20
+BROADCAST_GROUPS = 500_000
+
+#: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
+HISTORY = (24, 48, 112, 224, 448, 896)
+SLOTS = 1 << 10
+COUNTS = 1 << 11
+WIDTH_BITS, SQUASH_BITS, RATE = 20, 12, 4
+ONE = 1 << WIDTH_BITS
+SHIFT, SETTLED, LEAST_RANGE, WIDTH = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 28), np.uint64(WIDTH_BITS)
+#: Chance, of ONE, of log odds of 1/256 from -8 to 8. The rest has a part for each slot of the history.
+SQUASH = np.array([round(ONE * max(1 / 1024, min(1 - 1 / 256, 1 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.int64)
+#: Log odds that each lane begins with: by order 2's state (4), order 1's state and whether it agrees (8), the candidate's count (16).
+START = np.array([-200, -100, 200, 400] + [-200, -200, -100, 0, 0, 200, 100, 300] + [-300 + 20 * n for n in range(16)], dtype=np.int64)
 
 
 class RangeCoder:
-    """Carry-less range coders with 64-bit intervals and 32-bit words, one a lane."""
+    """Carry-less range coders with 64-bit intervals and 32-bit words, one a lane; totals are ONE."""
 
     def __init__(self, lanes: int, words: np.ndarray | None = None):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
         self.decoding = words is not None
-        self.words = words if self.decoding else np.zeros((lanes, 2 * BLOCK + 4), np.uint32)
+        self.words = words if self.decoding else np.zeros((lanes, 2 * BLOCK + 8), np.uint32)
         self.at = np.full(lanes, 2 if self.decoding else 0, np.int64)
         if self.decoding:
             self.code = words[:, 0].astype(np.uint64) << SHIFT | words[:, 1]
 
-    def target(self, lanes, total: np.ndarray) -> np.ndarray:
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] // total), total - np.uint64(1))
-
-    def narrow(self, lanes: np.ndarray, cumulated: np.ndarray, count: np.ndarray, total) -> None:
-        share = self.range[lanes] // total
-        low, width = self.low[lanes] + share * cumulated, share * count
-        settled = (low ^ (low + width)) < SETTLED
-        short = ~settled & (width < LEAST_RANGE)
-        if short.any():
-            width = np.where(short, (~low + np.uint64(1)) & (LEAST_RANGE - np.uint64(1)), width)
-        moved = np.flatnonzero(settled | short)
-        if len(moved):
-            own = lanes[moved]
-            at = self.at[own]
+    def settle(self, lanes, low: np.ndarray, width: np.ndarray) -> None:
+        """Put lanes (a slice or numbers) on new intervals, and move the words whose bits are known."""
+        few = np.flatnonzero(width < SETTLED)
+        if len(few):
+            a, w = low.take(few), width.take(few)
+            settled = (a ^ (a + w)) < SETTLED
+            if not settled.all():
+                short = ~settled & (w < LEAST_RANGE)
+                w = np.where(short, (~a + np.uint64(1)) & (LEAST_RANGE - np.uint64(1)), w)
+                moved = np.flatnonzero(settled | short)
+                few, a, w = few[moved], a[moved], w[moved]
+            own = few if isinstance(lanes, slice) else lanes[few]
+            at = self.at.take(own)
             if self.decoding:
-                self.code[own] = self.code[own] << SHIFT | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
+                self.code[own] = self.code.take(own) << SHIFT | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
             else:
-                self.words[own, at] = low[moved] >> SHIFT
+                self.words[own, at] = a >> SHIFT
             self.at[own] = at + 1
-            low[moved] <<= SHIFT
-            width[moved] <<= SHIFT
+            low[few] = a << SHIFT
+            width[few] = w << SHIFT
         self.low[lanes], self.range[lanes] = low, width
 
-    def bit(self, lanes: np.ndarray, chance: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Code a decision that is true with probability chance / ONE; gives the decisions."""
-        chance = chance.astype(np.uint64)
-        if value is None:
-            value = self.target(lanes, np.full(len(lanes), ONE, np.uint64)) < chance
-        self.narrow(lanes, np.where(value, np.uint64(0), chance), np.where(value, chance, np.uint64(ONE) - chance), np.uint64(ONE))
+    def digits(self, lanes: np.ndarray, token: np.ndarray | None, count: int) -> np.ndarray:
+        """Code ids as `count` digits of 16 bits, all alike; gives the ids."""
+        value = np.zeros(len(lanes), np.int64)
+        for digit in range(count - 1, -1, -1):
+            low, share = self.low[lanes], self.range[lanes] >> np.uint64(16)
+            if token is None:
+                own = np.minimum((self.code[lanes] - low) // share, np.uint64(0xFFFF))
+            else:
+                own = (token >> 16 * digit & 0xFFFF).view(np.uint64)
+            self.settle(lanes, low + share * own, share)
+            value = value << 16 | own.view(np.int64)
         return value
 
     def finish(self) -> list[np.ndarray]:
@@ -97,218 +115,242 @@ class RangeCoder:
             self.words[lanes, self.at] = self.low >> SHIFT
             self.low <<= SHIFT
             self.at += 1
-        return [row[:n] for row, n in zip(self.words, self.at)]
+        return [row[:n].copy() for row, n in zip(self.words, self.at)]
 
 
 class Models:
     """The adaptive models of all lanes, and one step of coding."""
 
-    def __init__(self, lanes: int, coder: RangeCoder):
-        self.coder = coder
+    def __init__(self, lanes: int, coder: RangeCoder, digits: int):
+        self.coder, self.digits = coder, digits
         self.lane = np.arange(lanes)
-        self.first = self.lane * 16
-        self.order1 = np.full(lanes * SLOTS, 0xFFFF << 4, np.int32)
-        self.order2 = self.order1.copy()
+        self.base1, self.base2, self.base0 = self.lane * SLOTS, self.lane * (3 * SLOTS), self.lane * COUNTS
+        self.order1, self.order2 = np.zeros(lanes * SLOTS, np.int64), np.zeros(lanes * 3 * SLOTS, np.int64)
+        self.counts = np.zeros(lanes * COUNTS, np.uint8)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        start = (np.arange(1, 17) * (ONE // 18)).astype(np.int64)
-        self.chance2, self.chance1 = np.tile(start, lanes), np.tile(np.repeat(start, 2), lanes)
-        self.second = np.tile(start, lanes)
-        self.weight2, self.weight1 = np.full(lanes, 40_000, np.int64), np.full(lanes, 30_000, np.int64)
-        self.digits = [np.ones((lanes * rows, 16), np.uint16) for rows in (1, 16, 256, LEAF_ROWS)]
-
-    @staticmethod
-    def learned(entry: np.ndarray, guess: np.ndarray, sure: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """A slot after its guess met the token: surer, less sure, or with the token as the new guess."""
-        return np.where(guess == token, (guess << 4) | np.minimum(sure + 1, 15), np.where(sure > 2, (guess << 4) | (sure >> 1), (token << 4) | 1))
-
-    def digit(self, level: int, row: np.ndarray, lanes: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        table = self.digits[level]
-        counts = table[row]
-        cumulated = counts.cumsum(axis=1, dtype=np.uint16)  # COUNT_LIMIT keeps sums small
-        total, first = cumulated[:, 15], self.first[: len(lanes)]
-        wide = total.astype(np.uint64)
-        if value is None:
-            value = np.count_nonzero(cumulated <= self.coder.target(lanes, wide).astype(np.uint16)[:, None], axis=1)
-        count = counts.ravel()[first + value]
-        self.coder.narrow(lanes, (cumulated.ravel()[first + value] - count).astype(np.uint64), count.astype(np.uint64), wide)
-        table[row, value] = count + np.uint16(COUNT_STEP)
-        full = row[total > COUNT_LIMIT]
-        if len(full):
-            table[full] = (table[full] + 1) >> 1
-        return value
+        self.odds = np.tile(START, lanes)
+        self.parts = np.array([[0], [4], [12]]) + self.lane * len(START)
+        self.known, self.bits = 0, 0
+
+    def history(self, ids: np.ndarray, index: bool) -> None:
+        """Take the order-0 counts of the ids so far (lanes x places); `index` finds ids in them, for coding."""
+        lanes, self.known = ids.shape
+        self.bits = self.known.bit_length()
+        ordered = np.sort(ids, axis=1, kind="stable").ravel()
+        first = np.empty(len(ordered), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        first[:: self.known] = True
+        starts = np.flatnonzero(first)
+        widths = np.diff(starts, append=len(ordered))
+        entry = ordered[starts].astype(np.int64) << 32 | starts % self.known << 16 | widths
+        self.base = self.lane * self.known
+        if index:
+            # Of ids that meet in a cell, the last stays; the others are coded as new ones.
+            self.cells = 4 << self.bits
+            self.place = self.lane * self.cells
+            self.index = np.full(lanes * self.cells, -1)
+            self.index[starts // self.known * self.cells + cell(ordered[starts].astype(np.int64), self.cells)] = entry
+        else:
+            self.slots = np.repeat(entry, widths)  # id, first slot and number of slots, for each of a lane's slots
 
     def step(self, active: int, token: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first `active` lanes; `token` is None when decoding."""
-        lane, last, before = self.lane[:active], self.last[:active], self.before[:active]
-        slot1 = lane * SLOTS + ((last * 40_503 >> 4) & (SLOTS - 1))
-        slot2 = lane * SLOTS + (((last * 40_503 ^ before * 60_493) >> 3) & (SLOTS - 1))
-        entry1, entry2 = self.order1[slot1], self.order2[slot2]
-        guess1, sure1, guess2, sure2 = entry1 >> 4, entry1 & 15, entry2 >> 4, entry2 & 15
-        same = guess1 == guess2
-        at2, at1 = lane * 16 + sure2, lane * 32 + 2 * sure1 + same
-        chance2, chance1 = self.chance2[at2], self.chance1[at1]
-        stretch2, stretch1 = STRETCH[chance2 >> 4], STRETCH[chance1 >> 4]
-        weight2, weight1 = self.weight2[:active], self.weight1[:active]
-        mixed = SQUASH[np.clip((weight2 * stretch2 + weight1 * stretch1 >> 16) + 2048, 0, 4095)]
-        hit = self.coder.bit(lane, mixed * 16, None if token is None else token == guess2)
-        error = (hit * 4096 - mixed) * 6
-        weight2 += stretch2 * error >> 10
-        weight1 += stretch1 * error >> 10
-        aim = hit * (ONE - 1)
-        self.chance2[at2] = chance2 + (aim - chance2 >> 5)
-        self.chance1[at1] = chance1 + (aim - chance1 >> 5)
-
-        found = np.where(hit, guess2, -1) if token is None else token
-        rest = lane[~hit]
-        two = rest[~same[rest]]
-        left = rest[same[rest]]
-        if len(two):
-            at = two * 16 + sure1[two]
-            chance = self.second[at]
-            second = self.coder.bit(two, np.clip(chance, 64, ONE - 64), None if token is None else token[two] == guess1[two])
-            self.second[at] = chance + (second * (ONE - 1) - chance >> 5)
+        coder, part = self.coder, slice(0, active)
+        slot1 = self.base1[part] + self.last[part]
+        slot2 = self.base2[part] + self.last[part] + self.before[part]
+        # An entry: the id that came last, its count then, and 0 if there is none yet, else how often it was right, from 1 to 3.
+        entry1, entry2 = self.order1.take(slot1), self.order2.take(slot2)
+        sure1, sure2 = entry1 & 3, entry2 & 3
+        entry = np.where(sure2, entry2, entry1)
+        guess = entry >> 6
+        at = self.parts[:, :active].copy()
+        at[0] += sure2
+        at[1] += (sure1 << 1) + (entry1 >> 6 == guess)
+        at[2] += entry >> 2 & 15
+        odds = self.odds.take(at)
+        chance = SQUASH.take(np.add.reduce(odds, axis=0) + 2048, mode="clip")
+
+        # The interval is the candidate's part, then a part for each slot of the history, then that of new ids.
+        low, width = coder.low[part], coder.range[part]
+        share = width >> WIDTH
+        each = ONE - chance >> self.bits
+        if token is None:
+            target = (coder.code[part] - low) // share
+            hit = target < chance.view(np.uint64)
+            slot = (target - chance.view(np.uint64)) // each.view(np.uint64)
+            if self.known:
+                kept = self.slots.take(self.base[part] + np.minimum(slot, np.uint64(self.known - 1)).view(np.int64))
+                new = np.flatnonzero((slot >= self.known) & ~hit)
+            else:
+                kept, new = np.zeros(active, np.int64), np.flatnonzero(~hit)
+            found = np.where(hit, guess, kept >> 32)
+        else:
+            found, hit = token, token == guess
+            if self.known:
+                kept = self.index.take(self.place[part] + cell(token, self.cells))
+                new = np.flatnonzero((kept >> 32 != token) & ~hit)
+            else:
+                kept, new = np.zeros(active, np.int64), np.flatnonzero(~hit)
+        begin, size = np.where(hit, 0, (kept >> 16 & 0xFFFF) * each + chance), np.where(hit, chance, (kept & 0xFFFF) * each)
+        if len(new):
+            begin[new] = edge = each[new] * self.known + chance[new]
+            size[new] = ONE - edge
+        coder.settle(part, low + share * begin.view(np.uint64), share * size.view(np.uint64))
+        if len(new):
+            digits = coder.digits(new, None if token is None else token[new], self.digits)
             if token is None:
-                found[two[second]] = guess1[two[second]]
-            left = np.concatenate([left, two[~second]])
-        if len(left):
-            value = np.zeros(len(left), np.int64)
-            for level, rows in enumerate((1, 16, 256, LEAF_ROWS)):
-                row = left * rows + (value if level < 3 else value * 40_503 >> 2 & (LEAF_ROWS - 1))
-                known = None if token is None else token[left] >> (12 - 4 * level) & 15
-                value = value << 4 | self.digit(level, row, left, known)
-            found[left] = value
-        self.order1[slot1] = self.learned(entry1, guess1, sure1, found)
-        self.order2[slot2] = self.learned(entry2, guess2, sure2, found)
-        self.before[:active] = last
-        self.last[:active] = found
+                found[new] = digits
+
+        self.odds[at] = odds + ((hit << SQUASH_BITS) - (chance >> WIDTH_BITS - SQUASH_BITS) >> RATE)
+        own = self.base0[part] + (found & COUNTS - 1)
+        count = np.minimum(self.counts.take(own) + 1, 15)
+        self.counts[own] = count
+        entry = (found << 4 | count) << 2
+        self.order1[slot1] = entry + np.minimum((entry1 >> 6 == found) * sure1 + 1, 3)
+        self.order2[slot2] = entry + np.minimum((entry2 >> 6 == found) * sure2 + 1, 3)
+        self.before[part] = self.last[part] << 1
+        self.last[part] = cell(found, SLOTS)
         return found
 
 
+def cell(ids: np.ndarray, cells: int) -> np.ndarray:
+    return (ids * 40_503 >> 5) & (cells - 1)
+
+
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(number of ids, CRC-32, words) of each block of BLOCK ids (uint16); the last may be shorter."""
+    """(number of ids, CRC-32, words) of each block of BLOCK ids (uint16 or uint32); the last may be shorter."""
     coded = []
     starts = range(0, len(ids), BLOCK)
     for first in range(0, len(starts), LANES):
         blocks = [ids[s : s + BLOCK] for s in starts[first : first + LANES]]  # from long to short, as decoding needs
-        lengths = np.array([len(b) for b in blocks])
-        coder = RangeCoder(len(blocks))
-        models = Models(len(blocks), coder)
-        rows = np.zeros((len(blocks), BLOCK), np.int64)
+        rows = np.zeros((len(blocks), len(blocks[0])), ids.dtype)
         for row, block in zip(rows, blocks):
             row[: len(block)] = block
+        coder = RangeCoder(len(blocks))
+        models = Models(len(blocks), coder, ids.dtype.itemsize // 2)
         columns = np.ascontiguousarray(rows.T)
-        for t in range(int(lengths[0])):
-            active = len(blocks) if t < lengths[-1] else len(blocks) - 1
-            models.step(active, columns[t, :active])
-        coded += [(len(b), zlib.crc32(b.astype("<u2").tobytes()), w.copy()) for b, w in zip(blocks, coder.finish())]
+        for t in range(len(columns)):
+            if t in HISTORY:
+                models.history(rows[:, :t], index=True)
+            active = len(blocks) if t < len(blocks[-1]) else len(blocks) - 1
+            models.step(active, columns[t, :active].astype(np.int64))
+        coded += [(len(b), zlib.crc32(b.astype(b.dtype.newbyteorder("<"), copy=False).tobytes()), w) for b, w in zip(blocks, coder.finish())]
     return coded
 
 
-def decode_blocks(coded: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """The ids of blocks of which only the last is shorter than BLOCK; raises ValueError on a wrong checksum."""
+def decode_blocks(coded: list[tuple[int, int, np.ndarray]], dtype="<u2") -> np.ndarray:
+    """The ids of blocks of which only the last is shorter than the others; raises ValueError on a wrong checksum."""
     found = []
     for first in range(0, len(coded), LANES):
         part = coded[first : first + LANES]
-        words = np.zeros((len(part), max(len(w) for _, _, w in part)), np.uint32)
+        words = np.zeros((len(part), max(2, *(len(w) for _, _, w in part))), np.uint32)
         for row, (_, _, own) in zip(words, part):
             row[: len(own)] = own
-        models = Models(len(part), RangeCoder(len(part), words))
-        columns = np.zeros((BLOCK, len(part)), np.uint16)
-        for t in range(part[0][0]):
+        models = Models(len(part), RangeCoder(len(part), words), np.dtype(dtype).itemsize // 2)
+        columns = np.zeros((part[0][0], len(part)), dtype)
+        for t in range(len(columns)):
+            if t in HISTORY:
+                models.history(np.ascontiguousarray(columns[:t].T), index=False)
             active = len(part) if t < part[-1][0] else len(part) - 1
             columns[t, :active] = models.step(active, None)
         for (n, crc, _), row in zip(part, columns.T):
-            block = row[:n].astype("<u2")
+            block = row[:n].copy()
             if zlib.crc32(block.tobytes()) != crc:
                 raise ValueError("a block's checksum is wrong")
             found.append(block)
-    return np.concatenate(found) if found else np.empty(0, "<u2")
+    return np.concatenate(found) if found else np.empty(0, dtype)
+
+
+DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 
 
-def write_record(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
+def write_record(doc_ids: list[int | None], counts, ids: np.ndarray) -> bytes:
+    """The record of documents whose ids (uint16 or uint32) follow each other."""
     coded = encode_blocks(ids)
-    docs = np.zeros(len(doc_ids), [("doc_id", "<i8"), ("n", "<u4")])
-    docs["doc_id"], docs["n"] = doc_ids, counts
+    docs = np.zeros(len(doc_ids), DOCUMENT)
+    docs["doc_id"], docs["null"], docs["n"] = [i or 0 for i in doc_ids], [i is None for i in doc_ids], counts
     heads = np.array([(n, len(words), crc) for n, crc, words in coded], "<u4").reshape(-1, 3)
-    return b"".join([MAGIC, np.array([len(docs), len(coded), len(ids)], "<u4").tobytes(), docs.tobytes(), heads.tobytes(), *(w.astype("<u4").tobytes() for _, _, w in coded)])
+    sizes = np.array([len(docs), len(coded), len(ids), ids.dtype.itemsize], "<u4")
+    return b"".join([MAGIC, sizes.tobytes(), docs.tobytes(), heads.tobytes(), *(w.astype("<u4").tobytes() for _, _, w in coded)])
 
 
-def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, numbers of ids and all ids of a record."""
     if record[:4] != MAGIC:
         raise ValueError("not a token-id record")
-    n_docs, n_blocks, n_ids = np.frombuffer(record, "<u4", 3, 4).tolist()
-    docs = np.frombuffer(record, [("doc_id", "<i8"), ("n", "<u4")], n_docs, 16)
-    at = 16 + docs.nbytes
+    n_docs, n_blocks, n_ids, size = np.frombuffer(record, "<u4", 4, 4).tolist()
+    docs = np.frombuffer(record, DOCUMENT, n_docs, 20)
+    at = 20 + docs.nbytes
     heads = np.frombuffer(record, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     words = np.frombuffer(record, "<u4", -1, at + heads.nbytes)
     ends = np.cumsum(heads[:, 1]).tolist()
-    ids = decode_blocks([(int(n), int(crc), words[end - int(size) : end]) for (n, size, crc), end in zip(heads, ends)])
+    ids = decode_blocks([(n, crc, words[end - size : end]) for (n, size, crc), end in zip(heads.tolist(), ends)], f"<u{size}")
     if len(ids) != n_ids:
         raise ValueError("a record lacks ids")
-    return docs["doc_id"], docs["n"], ids
+    return [None if null else i for i, null in zip(docs["doc_id"].tolist(), docs["null"].tolist())], docs["n"], ids
 
 
-class ChunkIds(dict):
-    """What the tokenizers library gives for chunks of text, as little-endian uint16; starts anew when it is full."""
+def chunk_table(file: bytes, end: int) -> ChunkTable:
+    """What the tokenizers library gives for chunks of text; row 0 is the id `end`."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def __init__(self, file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_str(file.decode())
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        if self.tokenizer.get_vocab_size() > ONE:
-            raise ValueError("ids must fit 16 bits")
-        self.chunks = re.compile(CHUNK).findall
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, codes = [], []
+        for start in range(0, len(chunks), ENCODED):
+            ids = [e.ids for e in tokenizer.encode_batch_fast(chunks[start : start + ENCODED], add_special_tokens=False)]
+            lengths += map(len, ids)
+            codes.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))))
+        return np.array(lengths, np.int64), np.concatenate(codes)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [self.chunks(text) for text in texts]
-        needed = set().union(*chunks)
-        if len(self) + len(needed) > REMEMBERED:
-            self.clear()
-        new = list(needed - self.keys())
-        for chunk, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[chunk] = np.array(coded.ids, "<u2").tobytes()
-        return [b"".join(map(self.__getitem__, own)) for own in chunks]
+    return ChunkTable(encode, "<u2" if max(end + 1, tokenizer.get_vocab_size()) <= 1 << 16 else "<u4", REMEMBERED, (end,))
 
 
 def _records(batches: Iterator[pa.RecordBatch], file, end: int) -> Iterator[pa.RecordBatch]:
-    chunk_ids = worker_state("chunk_ids", lambda: ChunkIds(file.value))
+    table = worker_state("chunk_ids", lambda: chunk_table(file.value, end), str(end))
     shard, group, total = TaskContext.get().partitionId(), 0, 0
-    doc_ids, parts = [], []
-    last = np.array([end], "<u2").tobytes()
+    doc_ids, counts, parts = [], [], []
 
     def record() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u2")
-        payload = write_record(doc_ids, [len(p) // 2 for p in parts], ids)
+        ids = np.concatenate(parts)
+        payload = write_record(doc_ids, np.concatenate(counts), ids)
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([group], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "group", "n_ids", "payload"])
 
-    for part in text_parts(batches, 1, 4 << 20):
-        texts = [text or "" for text in part.column(1).to_pylist()]
-        for doc_id, ids in zip(part.column(0).to_pylist(), chunk_ids.encode(texts)):
-            doc_ids.append(doc_id)
-            parts.append(ids + last)
-            total += len(parts[-1]) // 2
+    for part in text_parts(batches, 1, TEXT_BYTES):
+        ids, lengths = table.texts(part.column(1), closing=True)
+        own, ends, done = part.column(0).to_pylist(), np.cumsum(lengths), 0
+        while done < len(own):
+            # up to the document that fills the group
+            before = int(ends[done - 1]) if done else 0
+            upto = min(len(own), int(np.searchsorted(ends, before + GROUP - total)) + 1)
+            doc_ids += own[done:upto]
+            counts.append(lengths[done:upto])
+            parts.append(ids[before : ends[upto - 1]])
+            total += int(ends[upto - 1]) - before
+            done = upto
             if total >= GROUP:
                 yield record()
-                group, total, doc_ids, parts = group + 1, 0, [], []
-    if parts:
+                group, total, doc_ids, counts, parts = group + 1, 0, [], [], []
+    if doc_ids:
         yield record()
 
 
 def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """The written table (shard, group, n_ids, payload) of all documents with a doc_id, in ascending order of it.
+    """The written table (shard, group, n_ids, payload) of all documents, in ascending order of doc_id.
 
     Every document, also a null or empty text, ends with the id `end`. Documents are dealt out by ranges of doc_id and
-    sorted in each; equal doc_ids follow in the order of their texts. Rows without a doc_id have no place in the order
-    and are left out. An empty table gives no rows; other columns are ignored.
+    sorted in each; null doc_ids come first, and equal or null ones follow in the order of the input, over several
+    ranges if they are many. An empty table gives no rows; other columns are ignored.
     """
     file = shipped_file(docs.sparkSession, vocabulary or tokenizer_path(VOCABULARY))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = planned_partitions(rows, RANGE_BYTES)
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(ranges, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     schema = "shard int, group int, n_ids long, payload binary"
     return materialise(ranged.mapInArrow(lambda batches: _records(batches, file, end), schema))
 
@@ -316,23 +358,22 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int =
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            doc_ids, counts, ids = read_record(batch.column(2)[i].as_py())
+            doc_ids, counts, ids = read_record(batch.column(1)[i].as_py())
             ends = np.cumsum(counts, dtype=np.int64)
-            wide = ids.astype("<u4")
-            parts = [wide[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
-            keys = [pa.array(np.full(len(doc_ids), batch.column(c)[i].as_py(), np.int32)) for c in (0, 1)]
-            for a in range(0, len(parts), 256):
-                z = slice(a, a + 256)
-                yield pa.RecordBatch.from_arrays([keys[0][z], keys[1][z], pa.array(doc_ids[z]), pa.array((ends - counts)[z]), pa.array(parts[z], pa.binary())], names=["shard", "group", "doc_id", "offset", "ids"])
+            starts = batch.column(0)[i].as_py() + ends - counts
+            for a in range(0, len(doc_ids), 256):
+                wide = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends[a : a + 256].tolist(), counts[a : a + 256].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 256], pa.int64()), pa.array(starts[a : a + 256]), pa.array(wide, pa.binary())], names=["doc_id", "start", "ids"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (little-endian uint32) of every document in the files."""
     order = Window.orderBy("shard", "group").rowsBetween(Window.unboundedPreceding, -1)
     # One row a group of some millions of ids.
-    starts = files.select("shard", "group", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
-    docs = files.select("shard", "group", "payload").mapInArrow(_documents, "shard int, group int, doc_id long, offset long, ids binary")
-    return docs.join(starts, ["shard", "group"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "ids")
+    starts = materialise(files.select("shard", "group", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first")))
+    small = starts.count() <= BROADCAST_GROUPS
+    placed = files.select("shard", "group", "payload").join(F.broadcast(starts) if small else starts, ["shard", "group"])
+    return placed.select("first", "payload").mapInArrow(_documents, "doc_id long, start long, ids binary")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

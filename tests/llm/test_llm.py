@@ -452,20 +452,46 @@ def test_bloom_has_no_false_negatives(spark):
 # 9: token files
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 4096, 4097, 13_000])
+@pytest.mark.parametrize("n", [0, 1, 5, 23, 24, 25, 2048, 2049, 13_000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 1 << 16, n), rng.zipf(1.2, n) % 50_257, np.zeros(n), np.arange(n) % 3):
-        ids = ids.astype("<u2")
-        assert (token_files.decode_blocks(token_files.encode_blocks(ids)) == ids).all()
+        for wide in ((ids.astype("<u2"), "<u2"), (ids.astype("<u4") * 65_537, "<u4")):
+            assert (token_files.decode_blocks(token_files.encode_blocks(wide[0]), wide[1]) == wide[0]).all()
+
+
+def test_each_order_is_mixed():
+    """Ids that only one order predicts are coded in less than the 16 bits of a plain id; so is what all orders predict."""
+    rng = np.random.default_rng(8)
+    skewed = rng.choice(np.arange(0, 64_000, 1000), 40_000, p=np.arange(64, 0, -1) / 2080)  # order 0 alone
+    walk = [0]
+    for step in rng.random(40_000):
+        walk.append((walk[-1] * 7919 + 13) % 60_013 if step < 0.9 and len(walk) % 512 else int(rng.integers(8)) * 5000)  # order 1 alone
+    bits = lambda ids: 32 * sum(len(w) for _, _, w in token_files.encode_blocks(np.array(ids, "<u2"))) / len(ids)
+    assert bits(skewed) < 7.5 and bits(walk) < 12 and bits(np.tile(np.arange(40), 1000)) < 1
+
+
+def test_chunks_encode_like_whole_texts(library):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    letters = " \n\t\r\x0b\x0c\x85\xa0\x1c\x1f\u200b\u2003\u3000  'stredvml abcXYZéñ漢12٣!?#.,:;)\"\U0001f600\u0301  \n"
+    samples = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)] + ["a<|endoftext|>  b<|endoftext|>.", None, ""]
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as file:
+        table = token_files.chunk_table(file.read(), 2)
+    for _ in range(2):  # with an empty and with a full memory
+        ids, lengths = table.texts(pa.array(samples).slice(7), closing=True)
+        for text, end, n in zip(samples[7:], np.cumsum(lengths).tolist(), lengths.tolist()):
+            assert ids[end - n : end].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        table.most = 100
 
 
 def test_coder_learns_and_checks():
     ids = np.tile(np.arange(50, dtype="<u2"), 200)
-    record = token_files.write_record([1, 2], [4000, 6000], ids)
-    assert len(record) < len(ids) * 2 / 20
+    record = token_files.write_record([None, 2], [4000, 6000], ids)
+    assert len(record) < len(ids) * 2 / 10
     doc_ids, counts, back = token_files.read_record(record)
-    assert doc_ids.tolist() == [1, 2] and counts.tolist() == [4000, 6000] and (back == ids).all()
+    assert doc_ids == [None, 2] and counts.tolist() == [4000, 6000] and (back == ids).all()
     broken = bytearray(record)
     broken[-40] ^= 0x55
     with pytest.raises(ValueError):
@@ -480,10 +506,17 @@ def test_token_files_against_the_library(spark, data, texts, library):
         start += len(ids)
 
 
-def test_token_files_of_odd_rows(odd, empty, library):
-    found = token_files.read_token_files(token_files.write_token_files(odd)).collect()
-    assert sorted(r.doc_id for r in found) == sorted(i for i, *_ in ODD if i is not None)
-    assert {r.doc_id: len(r.ids) // 4 for r in found}[1] == 1
+@pytest.mark.parametrize("group", [token_files.GROUP, 5])
+def test_token_files_of_odd_rows(odd, empty, library, monkeypatch, group):
+    """Null doc_ids come first, equal ones follow each other, and groups of any size give the same starts."""
+    monkeypatch.setattr(token_files, "GROUP", group)
+    found = sorted(token_files.read_token_files(token_files.write_token_files(odd)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, *sorted(i for i, *_ in ODD if i is not None)]
+    start = 0
+    for r, text in zip(found, [t for i, t, *_ in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))]):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert r.start == start and np.frombuffer(r.ids, "<u4").tolist() == ids
+        start += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(empty)).collect() == []
 
 
