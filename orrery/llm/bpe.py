@@ -4,8 +4,8 @@ A piece's symbols are a linked list; leaf i of the tree holds (rank, i) of the p
 is the leftmost pair of the lowest rank. A merge changes three leaves, each in a logarithmic number of steps, so a
 piece of n bytes costs O(n log n), and very long pieces (runs of one letter, encoded blobs) stay cheap.
 
-Merges never cross pieces, and pieces never cross the blank that starts a chunk, so what a chunk encodes to is
-remembered within a worker.
+Merges never cross pieces, and pieces never cross the cuts between chunks, so each distinct chunk is encoded once by a
+worker that remembers it, and texts are gathered from there.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.chunks import ChunkTable, binary, flat_ranges
 from orrery.llm.common import RecentCache, shipped_file, text_parts, tokenizer_path, utf8, worker_state
 
 #: Unicode White_Space, as the content of a character class.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of each generation of a worker's memory of chunks and of pieces.
-REMEMBERED = 150_000
+#: Chunks in a worker's memory, entries of each of the two generations of pieces, and bytes of text worked on at a time.
+REMEMBERED = 700_000
+PIECES = 100_000
+TEXT_BYTES = 8 << 20
 NONE = 1 << 62
 POSITION = (1 << 32) - 1
 
@@ -56,16 +58,15 @@ class ByteBPE:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocabulary[left] << 32 | vocabulary[right]] = rank
             self.merged.append(vocabulary[left + right])
-        self.bytes_of = [b""] * (1 + max([*vocabulary.values(), *self.special.values()]))
+        bytes_of = [b""] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for token, i in vocabulary.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in token)
+            bytes_of[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
+            bytes_of[i] = token.encode()
+        self.all_bytes, self.byte_offsets = np.frombuffer(b"".join(bytes_of), np.uint8), np.cumsum([0, *map(len, bytes_of)])
         self.find_pieces = regex.compile(PIECE).findall
-        self.find_chunks = re.compile(CHUNK).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.pieces = RecentCache(self.encode_piece, REMEMBERED)
-        self.chunks = RecentCache(self._encode_chunk, REMEMBERED)
+        self.pieces = RecentCache(self.encode_piece, PIECES)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost among equals."""
@@ -128,27 +129,41 @@ class ByteBPE:
     def encode_piece(self, piece: str) -> bytes:
         return np.array(self.merge([self.byte_ids[b] for b in piece.encode()]), dtype="<u4").tobytes()
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find_pieces(chunk)))
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; a special token's string is its id."""
+        plain = lambda x: b"".join(map(self.pieces.__getitem__, self.find_pieces(x)))
         if self.split_special and any(token in text for token in self.special):
-            parts = self.split_special(text)
-            return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else b"".join(map(self.chunks.__getitem__, self.find_chunks(x))) for i, x in enumerate(parts))
-        return b"".join(map(self.chunks.__getitem__, self.find_chunks(text)))
+            return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else plain(x) for i, x in enumerate(self.split_special(text)))
+        return plain(text)
+
+    def decode_all(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The texts of ids that follow each other; bytes that are no UTF-8 become U+FFFD."""
+        sizes = self.byte_offsets[ids + 1] - self.byte_offsets[ids]
+        data = self.all_bytes[flat_ranges(self.byte_offsets[ids], sizes)].tobytes()
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(lengths))].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_all(np.frombuffer(ids, "<u4").astype(np.int64), np.array([len(ids) // 4]))[0]
+
+
+def _chunk_table(coder: ByteBPE) -> ChunkTable:
+    def codes(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [coder.encode(chunk) for chunk in chunks]
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+
+    return ChunkTable(codes, "<u4", REMEMBERED)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], file, decode: bool) -> Iterator[pa.RecordBatch]:
     coder = worker_state("byte_bpe", lambda: ByteBPE(file.value))
-    for part in text_parts(batches):
-        ids = [coder.encode(text or "") for text in part.column(1).to_pylist()]
-        columns = [part.column(0), pa.array(ids, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(map(coder.decode, ids), pa.string())] * decode, names=["doc_id", "ids", "decoded"][: 2 + decode])
+    table = worker_state("byte_bpe_chunks", lambda: _chunk_table(coder))
+    for part in text_parts(batches, 1, TEXT_BYTES):
+        ids, lengths = table.texts(part.column(1))
+        columns = [part.column(0), binary(ids.view(np.uint8), 4 * lengths)]
+        if decode:
+            columns.append(pa.array(coder.decode_all(ids, lengths), pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: 2 + decode])
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, decode: bool = False) -> DataFrame:

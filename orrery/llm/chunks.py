@@ -41,6 +41,12 @@ def plain_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of bytes that follow each other."""
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def distinct_slices(data: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Distinct strings between neighbouring cuts of UTF-8 bytes, and for each slice the number of its string."""
     array = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(data))
@@ -90,19 +96,18 @@ class ChunkTable:
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.codes = np.array(self.first, self.dtype)
-        self.starts, self.lengths = np.zeros(1, np.int64), np.array([len(self.first)], np.int64)
+        self.offsets = np.array([0, len(self.first)], np.int64)
 
     def rows_of(self, chunks: list[str]) -> np.ndarray:
-        """Rows of the chunks in starts and lengths."""
+        """Rows of the chunks; row i is codes[offsets[i] : offsets[i + 1]]."""
         new = [c for c in chunks if c not in self.rows]
         if len(self.rows) + len(new) > self.most:
             self.clear()
             new = chunks
         if new:
             lengths, codes = self.encode(new)
-            self.rows.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-            self.starts = np.append(self.starts, len(self.codes) + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
+            self.rows.update(zip(new, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(new))))
+            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(lengths))
             self.codes = np.append(self.codes, codes.astype(self.dtype, copy=False))
         return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
 
@@ -112,7 +117,7 @@ class ChunkTable:
         rows = self.rows_of(distinct)[numbers] if distinct else np.empty(0, np.int64)
         if closing:
             rows, counts = np.insert(rows, np.cumsum(counts), 0), counts + 1
-        lengths = self.lengths[rows]
+        starts, ends = self.offsets[rows], np.cumsum(counts)
+        lengths = self.offsets[rows + 1] - starts
         total = np.append(0, np.cumsum(lengths))
-        ends = np.cumsum(counts)
-        return self.codes[flat_ranges(self.starts[rows], lengths)], total[ends] - total[ends - counts]
+        return self.codes[flat_ranges(starts, lengths)], total[ends] - total[ends - counts]

@@ -40,13 +40,13 @@ BLOCK = 2048
 LANES = 4096
 END = 2
 #: Ids of a group, after which the next document starts another.
-GROUP = BLOCK * LANES
+GROUP = 2 * BLOCK * LANES
 #: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 TEXT_BYTES = 8 << 20
 ENCODED = 8192
 #: Bytes of the plan's estimate that a range of documents is to have, and groups whose starts are broadcast at most.
-RANGE_BYTES = 10 << 20
+RANGE_BYTES = 12 << 20
 BROADCAST_GROUPS = 500_000
 
 #: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
@@ -146,7 +146,7 @@ class Models:
         self.base = self.lane * self.known
         if index:
             # Of ids that meet in a cell, the last stays; the others are coded as new ones.
-            self.cells = 4 << self.bits
+            self.cells = 2 << self.bits
             self.place = self.lane * self.cells
             self.index = np.full(lanes * self.cells, -1)
             self.index[starts // self.known * self.cells + cell(ordered[starts].astype(np.int64), self.cells)] = entry
@@ -217,12 +217,19 @@ def cell(ids: np.ndarray, cells: int) -> np.ndarray:
     return (ids * 40_503 >> 5) & (cells - 1)
 
 
+def even_parts(count: int, most: int) -> list[slice]:
+    """Slices of at most `most` that are about as long as each other."""
+    parts = -(-count // most)
+    each = -(-count // max(1, parts))
+    return [slice(i * each, (i + 1) * each) for i in range(parts)]
+
+
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     """(number of ids, CRC-32, words) of each block of BLOCK ids (uint16 or uint32); the last may be shorter."""
     coded = []
     starts = range(0, len(ids), BLOCK)
-    for first in range(0, len(starts), LANES):
-        blocks = [ids[s : s + BLOCK] for s in starts[first : first + LANES]]  # from long to short, as decoding needs
+    for part in even_parts(len(starts), LANES):
+        blocks = [ids[s : s + BLOCK] for s in starts[part]]  # from long to short, as decoding needs
         rows = np.zeros((len(blocks), len(blocks[0])), ids.dtype)
         for row, block in zip(rows, blocks):
             row[: len(block)] = block
@@ -241,8 +248,7 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 def decode_blocks(coded: list[tuple[int, int, np.ndarray]], dtype="<u2") -> np.ndarray:
     """The ids of blocks of which only the last is shorter than the others; raises ValueError on a wrong checksum."""
     found = []
-    for first in range(0, len(coded), LANES):
-        part = coded[first : first + LANES]
+    for part in map(coded.__getitem__, even_parts(len(coded), LANES)):
         words = np.zeros((len(part), max(2, *(len(w) for _, _, w in part))), np.uint32)
         for row, (_, _, own) in zip(words, part):
             row[: len(own)] = own
