@@ -97,6 +97,14 @@ def shipped_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with more underscores if a column has it (in any case, as Spark compares names)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` with `value` bound as a lambda variable, so a lambda inside it reads the value and never recomputes it."""
     return F.transform(F.array(value), body)[0]

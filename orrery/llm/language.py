@@ -5,40 +5,49 @@ that no piece covers; a word's probability under it is the sum over all ways to
 forward pass. Expectation maximisation with forward and backward passes learns the probabilities. A text's score for
 a language is the sum of its words' logarithms; the languages' posterior, with equal priors, gives the answer.
 
-Words are runs of letters, lower-cased, with the mark of a word's beginning. A worker remembers what recent tokens
-(what blanks separate) score, so the forward pass runs once for most of them however often they occur.
+Words are runs of letters (Unicode category L) with the marks (M) on them, lower-cased, with the mark of a word's
+beginning. A worker remembers what recent chunks of text score, so the forward pass runs once for most of them however
+often they occur.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from orrery.llm.common import materialise, text_parts, tokenizer_path, worker_state
+from orrery.llm.chunks import chunked
+from orrery.llm.common import free_name, materialise, text_parts, tokenizer_path, worker_state
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
-#: Documents of each language that the models are fitted on, and languages at most: both bound what is broadcast.
+#: Documents of each language that the models are fitted on: with the vocabulary it bounds what is broadcast.
 FIT_DOCUMENTS = 500
-MOST_LANGUAGES = 200
 ROUNDS = 2
-SMOOTHING = 0.1
-#: Words longer than this are scored in stretches of this length.
-STRETCH = 64
-REMEMBERED = 300_000
+#: Share of the probability that all pieces have alike in every language, and the chance of an uncovered character.
+SMOOTHING = 0.01
+OTHER = 1e-8
+#: Letters of words that take the forward pass together, places that have their arcs listed together, places between rescalings.
+BATCH_LETTERS = 1 << 18
+SPAN = 1 << 12
+RESCALED = 8
+#: Sums below this are taken on logarithms.
+LEAST_SUM = 1e-250
+#: Numbers that a worker's table of scores holds, and bytes of text worked on at a time.
+TABLE_VALUES = 3_500_000
+TEXT_BYTES = 8 << 20
 
 
 def pieces(path: str | None = None) -> dict[str, int]:
@@ -55,106 +64,146 @@ def words(text: str) -> list[str]:
 
 
 class Models:
-    """Piece probabilities of every language: a tuple per piece, in the languages' order; `other` is for a lone character."""
+    """Piece probabilities of every language: a row for each piece and at last one for a character that no piece covers,
+    the same for all languages, so that such characters tell nothing; a column for each language."""
 
-    def __init__(self, languages: list[str], probabilities: dict[str, tuple[float, ...]], other: tuple[float, ...]):
-        self.languages, self.probabilities, self.other = languages, probabilities, other
+    def __init__(self, languages: list[str], pieces: list[str], probabilities: np.ndarray, other: float):
+        self.languages, self.pieces, self.other = languages, pieces, other
+        self.table = np.vstack([probabilities.reshape(len(pieces), len(languages)), np.full((1, len(languages)), other)])
+        self.longest = max(map(len, pieces), default=1)
 
     @cached_property
     def numbered(self) -> dict[str, int]:
         """Row of each piece in `table`; -1 for what only begins a piece."""
-        rows = {piece: i for i, piece in enumerate(self.probabilities)}
+        rows = {piece: i for i, piece in enumerate(self.pieces)}
         return {piece[:n]: -1 for piece in rows for n in range(1, len(piece))} | rows
 
-    @cached_property
-    def table(self) -> np.ndarray:
-        """A row of probabilities for each piece, and at last the one of a lone character."""
-        return np.array([*self.probabilities.values(), self.other], dtype=np.float64)
-
     def log_scores(self, words: list[str]) -> np.ndarray:
-        """Logarithm of each word's probability under each language, all segmentations summed."""
-        stretches, owner = [], []
-        for i, word in enumerate(words):
-            marked = MARK + word
-            for start in range(0, len(marked), STRETCH):
-                stretches.append(marked[start : start + STRETCH])
-                owner.append(i)
+        """Logarithm of each word's probability under each language, all segmentations of the whole word summed."""
         total = np.zeros((len(words), len(self.languages)))
-        np.add.at(total, np.array(owner, dtype=np.int64), np.log(np.maximum(self.forward(stretches), 1e-300)))
+        order, start = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+        while start < len(order):
+            letters, end = 0, start
+            while end < len(order) and (end == start or letters + len(words[order[end]]) < BATCH_LETTERS):
+                letters += len(words[order[end]]) + 1
+                end += 1
+            total[order[start:end]] = self.forward([MARK + words[i] for i in order[start:end]])
+            start = end
         return total
 
+    def arcs(self, text: str, owner: int, first: int, into: tuple[list, list, list, list]) -> None:
+        """Add the arcs that begin in text (which starts at `first`): owner, start, end, row."""
+        get, lone = self.numbered.get, len(self.pieces)
+        owners, starts, ends, rows = into
+        n = len(text)
+        for start in range(n):
+            end = start + 1
+            row = get(text[start:end])
+            owners.append(owner)
+            starts.append(first + start)
+            ends.append(first + end)
+            rows.append(lone if row is None or row < 0 else row)
+            while row is not None and end < n:
+                end += 1
+                row = get(text[start:end])
+                if row is not None and row >= 0:
+                    owners.append(owner)
+                    starts.append(first + start)
+                    ends.append(first + end)
+                    rows.append(row)
+
     def forward(self, texts: list[str]) -> np.ndarray:
-        """Sum of the probabilities of all segmentations, for each text and language.
+        """Logarithm of the sum of the probabilities of all segmentations, for each text (from short to long) and language.
 
-        An arc is a piece from one place of a text to a later one; arcs are summed by the place where they end.
+        An arc is a piece from one place of a text to a later one; arcs are summed by the place where they end. Only the
+        places that the longest piece can reach back to are held, and they are rescaled before they could underflow.
         """
-        get, lone = self.numbered.get, len(self.probabilities)
-        owners, starts, ends, rows = [], [], [], []
-        for i, text in enumerate(texts):
-            n = len(text)
-            for start in range(n):
-                end = start + 1
-                row = get(text[start:end])
-                owners.append(i)
-                starts.append(start)
-                ends.append(end)
-                rows.append(lone if row is None or row < 0 else row)
-                while row is not None and end < n:
-                    end += 1
-                    row = get(text[start:end])
-                    if row is not None and row >= 0:
-                        owners.append(i)
-                        starts.append(start)
-                        ends.append(end)
-                        rows.append(row)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        alpha = np.zeros((len(texts), 1 + int(lengths.max(initial=0)), len(self.languages)))
-        alpha[:, 0] = 1.0
-        owner, start, end, row = (np.array(x, dtype=np.int64) for x in (owners, starts, ends, rows))
-        order = np.lexsort((owner, end))
-        owner, start, end, row = owner[order], start[order], end[order], row[order]
-        edges = np.searchsorted(end, np.arange(1, alpha.shape[1] + 1))
-        for place in range(1, alpha.shape[1]):
-            arcs = slice(edges[place - 1], edges[place])
-            own = owner[arcs]
-            firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            alpha[own[firsts], place] = np.add.reduceat(alpha[own, start[arcs]] * self.table[row[arcs]], firsts)
-        return alpha[np.arange(len(texts)), lengths]
-
-
-class TokenScores(dict):
-    """Rows of a table: for each token, what its words score, and their number. It starts anew when it is full."""
-
-    def __init__(self, models: Models, most: int = REMEMBERED):
-        super().__init__()
-        self.models, self.most = models, most
-        self.table = np.empty((most, 1 + len(models.languages)))
-
-    def learn(self, tokens: set[str]) -> None:
-        new = sorted(tokens - self.keys())
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = sorted(tokens)
-        if len(new) > len(self.table):
-            self.most = len(new)
-            self.table = np.empty((self.most, self.table.shape[1]))
-        found = [WORD.findall(token) for token in new]
+        ring = self.longest + 1
+        alpha = np.zeros((ring, len(texts), len(self.languages)))
+        alpha[0] = 1.0
+        scale, result = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:])
+        finals = np.searchsorted(lengths, np.arange(lengths[-1] + 2))
+        for begin in range(0, int(lengths[-1]), SPAN):
+            into: tuple[list, list, list, list] = ([], [], [], [])
+            for i in range(int(np.searchsorted(lengths, begin, side="right")), len(texts)):
+                # Arcs that end in this span; they begin up to `longest` places before it.
+                self.arcs(texts[i][max(0, begin - self.longest) : begin + SPAN], i, max(0, begin - self.longest), into)
+            owner, start, end, row = (np.array(x, dtype=np.int64) for x in into)
+            own = np.flatnonzero(end > begin)
+            own = own[np.lexsort((owner[own], end[own]))]
+            owner, start, end, row = owner[own], start[own], end[own], row[own]
+            last = min(begin + SPAN, int(lengths[-1]))
+            edges = np.searchsorted(end, np.arange(begin + 1, last + 2))
+            for place in range(begin + 1, last + 1):
+                arcs = slice(edges[place - begin - 1], edges[place - begin])
+                mine = owner[arcs]
+                firsts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                live = mine[firsts]
+                alpha[place % ring, live] = np.add.reduceat(alpha[start[arcs] % ring, mine] * self.table[row[arcs]], firsts)
+                done = slice(finals[place], finals[place + 1])
+                result[done] = np.log(alpha[place % ring, done]) + scale[done]
+                if place % RESCALED == 0:
+                    most = alpha[:, live].max(axis=0)
+                    alpha[:, live] /= most
+                    scale[live] += np.log(most)
+        return result
+
+
+class TokenScores:
+    """A table of what the words of a chunk of text score under each language, and their number, of the chunks met last.
+
+    It holds TABLE_VALUES numbers and starts anew when it is full.
+    """
+
+    def __init__(self, models: Models, values: int = 0):
+        self.models, self.width = models, 1 + len(models.languages)
+        self.most = max(1, (values or TABLE_VALUES) // self.width)
+        self.table, self.rows = np.empty((self.most, self.width)), {}
+
+    def rows_of(self, chunks: list[str]) -> np.ndarray:
+        """Rows of at most `most` chunks in the table."""
+        new = [c for c in chunks if c not in self.rows]
+        if len(self.rows) + len(new) > self.most:
+            self.rows, new = {}, chunks
+        found = [words(chunk) for chunk in new]
         place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
-        scores = self.models.log_scores(list(place)) if place else np.zeros((0, len(self.models.languages)))
+        scores = self.models.log_scores(list(place)) if place else np.zeros((0, self.width - 1))
         counts = np.array([len(ws) for ws in found], dtype=np.int64)
-        rows = np.zeros((len(new), self.table.shape[1]))
-        np.add.at(rows[:, :-1], np.repeat(np.arange(len(new)), counts), scores[[place[w] for ws in found for w in ws]])
+        at = len(self.rows)
+        rows = self.table[at : at + len(new)]
+        rows[:, :-1] = 0
+        np.add.at(rows, (np.repeat(np.arange(len(new)), counts), slice(0, self.width - 1)), scores[np.array([place[w] for ws in found for w in ws], dtype=np.int64)])
         rows[:, -1] = counts
-        at = len(self)
-        self.table[at : at + len(new)] = rows
-        self.update(zip(new, range(at, at + len(new))))
+        self.rows.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """Scores under each language and number of words of each text."""
+        distinct, numbers, counts = chunked(column)
+        total, ends = np.zeros((len(column), self.width)), np.cumsum(counts)
+        for first in range(0, len(distinct), self.most):
+            rows = self.rows_of(distinct[first : first + self.most])
+            if len(distinct) <= self.most:
+                own, until = rows[numbers], ends
+            else:
+                inside = (numbers >= first) & (numbers < first + self.most)
+                own, until = rows[numbers[inside] - first], np.append(0, np.cumsum(inside))[ends]
+            begin = 0
+            for i, end in enumerate(until.tolist()):
+                for at in range(begin, end, self.most):
+                    total[i] += self.table[own[at : min(end, at + self.most)]].sum(axis=0)
+                begin = end
+        return total
+
 
-    def total(self, tokens: list[str]) -> np.ndarray:
-        return self.table[np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
+def _log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + math.log(sum(math.exp(x - most) for x in values))
 
 
-def expected_counts(text: str, count: int, probability: dict[str, float], other: float, longest: int, into: dict[str, float]) -> None:
-    """Add the expected uses of each piece in `count` occurrences of text under one language."""
+def expected_counts(text: str, count: int, probability: Callable[[str], float | None], other: float, longest: int, into: dict[str, float]) -> None:
+    """Add the expected uses of each piece in `count` occurrences of text under one language; "" is an uncovered character."""
     n = len(text)
     arcs = []
     alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
@@ -163,34 +212,45 @@ def expected_counts(text: str, count: int, probability: dict[str, float], other:
         here = alpha[start]
         for end in range(start + 1, min(n, start + longest) + 1):
             piece = text[start:end]
-            p = probability.get(piece) or (other if end == start + 1 else 0.0)
+            p = probability(piece)
+            if p is None and end == start + 1:
+                piece, p = "", other
             if p:
                 arcs.append((start, end, piece, p))
                 alpha[end] += here * p
-    for start, end, _, p in reversed(arcs):
-        beta[start] += p * beta[end]
-    if alpha[n] <= 0:
+    if alpha[n] > LEAST_SUM:
+        for start, end, _, p in reversed(arcs):
+            beta[start] += p * beta[end]
+        scale = count / alpha[n]
+        for start, end, piece, p in arcs:
+            into[piece] += alpha[start] * p * beta[end] * scale
         return
-    scale = count / alpha[n]
+    # Long words underflow: the same on logarithms.
+    ahead: list[list] = [[] for _ in range(n + 1)]
+    behind: list[list] = [[] for _ in range(n + 1)]
+    for arc in arcs:
+        ahead[arc[0]].append(arc)
+        behind[arc[1]].append(arc)
+    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+    for place in range(1, n + 1):
+        alpha[place] = _log_sum([alpha[start] + math.log(p) for start, _, _, p in behind[place]])
+    for place in range(n - 1, -1, -1):
+        beta[place] = _log_sum([beta[end] + math.log(p) for _, end, _, p in ahead[place]])
     for start, end, piece, p in arcs:
-        into[piece if piece in probability else ""] += alpha[start] * p * beta[end] * scale
+        into[piece] += count * math.exp(alpha[start] + math.log(p) + beta[end] - alpha[n])
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:
     """FIT_DOCUMENTS documents of each language at most, those of the smallest hashes, outside `held_out`."""
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "lang", "text").where(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # A share of the hashes that holds somewhat more than the documents wanted, so that the rest is small to rank.
-    place = F.lit(False)
+    shares = [(r.lang, min(1 << 32, int((2 * FIT_DOCUMENTS + 50) / r["n"] * 2**32))) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    below = spark.createDataFrame(shares, "__of string, __below long")  # a row for each language
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
-    for lang, count in counts:
-        share = min(1.0, (2 * FIT_DOCUMENTS + 50) / count)
-        place = F.when(F.col("lang") == lang, hashed < int(share * 2**32)).otherwise(place)
-    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
-    chosen = rows.where(place).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_DOCUMENTS)
-    chosen = materialise(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")))
+    near = rows.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), hashed.alias("__hash")).join(F.broadcast(below), F.col("__lang") == F.col("__of")).where("__hash < __below")
+    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash", "__id"))).where(F.col("n") <= FIT_DOCUMENTS)
+    chosen = materialise(chosen.select("__id", "__lang").distinct())
     return rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
 
@@ -199,16 +259,15 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         counts: dict[tuple[str, str], int] = defaultdict(int)
         for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             for word in words(text):
-                marked = MARK + word
-                for start in range(0, len(marked), STRETCH):
-                    counts[lang, marked[start : start + STRETCH]] += 1
+                counts[lang, MARK + word] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
 
 def fit(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, vocabulary: str | None = None) -> Models:
     """Models of the languages of the documents outside `held_out`, fitted on a bounded sample of them.
 
-    The models have a probability for each piece of the fixed vocabulary and each language, whatever the input's size.
+    The models have a probability for each piece of the fixed vocabulary and each language, whatever the input's size;
+    rows without a doc_id, a text or a language teach nothing.
     """
     spark = docs.sparkSession
     known = sorted(pieces(vocabulary))
@@ -216,19 +275,19 @@ def fit(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, vocabulary: str
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted.repartition(spark.sparkContext.defaultParallelism, "word"))
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    shared = 1 / (len(known) + 1)
-    table = {lang: dict.fromkeys(known, shared) for lang in languages}
-    other = dict.fromkeys(languages, shared)
-    longest = max(map(len, known), default=1)
+    # What a language has used, with its probability; the rest of the vocabulary shares `base`.
+    used: dict[str, dict[str, float]] = {lang: {} for lang in languages}
+    base, longest = 1 / max(1, len(known)), max(map(len, known), default=1)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((table, other))
+        sent = spark.sparkContext.broadcast((used, dict.fromkeys(known, base)))
 
         def expectation(batches, sent=sent):
-            table, other = sent.value
+            used, shared = sent.value
             into: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
             for batch in batches:
                 for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    expected_counts(word, n, table[lang], other[lang], longest, into[lang])
+                    own = used[lang]
+                    expected_counts(word, n, (lambda piece, own=own: own.get(piece) or shared.get(piece)), OTHER, longest, into[lang])
             rows = [(lang, piece, x) for lang, own in into.items() for piece, x in own.items()]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "piece", "x"])
@@ -236,23 +295,25 @@ def fit(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, vocabulary: str
         # Sums of whole millionths do not depend on the order of partitions.
         expected = counted.mapInArrow(expectation, "lang string, piece string, x double")
         summed = expected.groupBy("lang", "piece").agg(F.sum(F.round(F.col("x") * 1_000_000).cast("long")).alias("x")).collect()
-        uses: dict[str, dict[str, float]] = {lang: {} for lang in languages}
+        used = {lang: {} for lang in languages}
         for lang, piece, x in summed:
-            uses[lang][piece] = x / 1_000_000
-        for lang in languages:
-            total = sum(sorted(uses[lang].values())) + SMOOTHING * (len(known) + 1)
-            table[lang] = {piece: (uses[lang].get(piece, 0.0) + SMOOTHING) / total for piece in known}
-            other[lang] = (uses[lang].get("", 0.0) + SMOOTHING) / total / 100
+            if piece and x:
+                used[lang][piece] = x
+        base = SMOOTHING / max(1, len(known))
+        for lang, own in used.items():
+            total = sum(own.values())
+            used[lang] = {piece: (1 - SMOOTHING) * x / total + base for piece, x in own.items()}
         sent.unpersist()
-    return Models(languages, {p: tuple(table[lang][p] for lang in languages) for p in known}, tuple(other[lang] for lang in languages))
+    table, place = np.full((len(known), len(languages)), base), {piece: i for i, piece in enumerate(known)}
+    for i, lang in enumerate(languages):
+        for piece, p in used[lang].items():
+            table[place[piece], i] = p
+    return Models(languages, known, table, OTHER)
 
 
-def _answers(texts: list[str | None], models: Models, remembered: TokenScores) -> tuple[list[str], list[float]]:
+def _answers(column: pa.Array, models: Models, remembered: TokenScores) -> tuple[list[str], list[float]]:
     langs, scores = [], []
-    tokens = [(text or "").lower().split() for text in texts]
-    remembered.learn(set().union(*tokens))
-    for own in tokens:
-        total = remembered.total(own)
+    for total in remembered.totals(column):
         if not total[-1] or not models.languages:
             langs.append(UNDETERMINED)
             scores.append(0.0)
@@ -266,7 +327,7 @@ def _answers(texts: list[str | None], models: Models, remembered: TokenScores) -
 
 def predict(docs: DataFrame, models: Models, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred and score (the posterior, 0 to 1) of every row, from the text alone; with `keep`, the rows'
-    own columns with lang_pred and score put before them as __lang and __score.
+    own columns with lang_pred and score put before them as __lang and __score, or longer names where those are taken.
 
     A null text or one without a letter, or a fit without any language, gives `und` and score 0. Ties go to the
     language that sorts first. Null and repeated doc_ids are rows like any other; an empty table gives no rows.
@@ -274,26 +335,29 @@ def predict(docs: DataFrame, models: Models, keep: bool = False) -> DataFrame:
     sent, version = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
     rows = docs if keep else docs.select("doc_id", "text")
     at = rows.columns.index("text")
-    schema = T.StructType([T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), *rows.schema.fields])
+    lang, score = (free_name(n, rows.columns) for n in ("__lang", "__score"))
+    schema = T.StructType([T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *rows.schema.fields])
 
     def scored(batches):
         remembered = worker_state("language", lambda: TokenScores(sent.value), version)
-        for part in text_parts(batches, at, 2 << 20):
-            langs, scores = _answers(part.column(at).to_pylist(), sent.value, remembered)
+        for part in text_parts(batches, at, TEXT_BYTES):
+            langs, scores = _answers(part.column(at), sent.value, remembered)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *part.columns], names=schema.names)
 
     found = rows.mapInArrow(scored, schema)
-    return found if keep else found.select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found if keep else found.select("doc_id", F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def keep_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is determined with a posterior of `least` or more, columns unchanged."""
     found = predict(docs, fit(docs, held_out_fold()), keep=True)
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).drop("__lang", "__score")
+    lang, score = found.columns[:2]
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).drop(lang, score)
 
 
 def held_out_fold() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Whether the remainder is 1; a null doc_id has none, so it is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -523,25 +523,71 @@ def test_token_files_of_odd_rows(odd, empty, library, monkeypatch, group):
 # 10: language
 
 
+def small_models(probabilities, other):
+    return language.Models(["a", "b"], list(probabilities), np.array(list(probabilities.values())), other)
+
+
 def test_forward_sums_all_segmentations():
-    models = language.Models(["a", "b"], {"▁a": (0.1, 0.2), "b": (0.2, 0.1), "ab": (0.3, 0.3), "▁ab": (0.05, 0.01), "abc": (0.1, 0.1), "▁": (0.01, 0.02)}, (1e-3, 1e-3))
+    models = small_models(given := {"▁a": (0.1, 0.2), "b": (0.2, 0.1), "ab": (0.3, 0.3), "▁ab": (0.05, 0.01), "abc": (0.1, 0.1), "▁": (0.01, 0.02)}, 1e-3)
 
     def brute(text, i):
         total = 0.0 if text else 1.0
         for n in range(1, len(text) + 1):
-            piece = models.probabilities.get(text[:n])
-            p = piece[i] if piece else models.other[i] if n == 1 else 0.0
+            piece = given.get(text[:n])
+            p = piece[i] if piece else models.other if n == 1 else 0.0
             total += p * brute(text[n:], i) if p else 0.0
         return total
 
     rng = random.Random(7)
     samples = ["▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 8))) for _ in range(200)]
-    assert np.allclose(models.forward(samples), [[brute(s, 0), brute(s, 1)] for s in samples], rtol=1e-10, atol=0)
+    found = models.log_scores([s[1:] for s in samples])
+    assert np.allclose(found, np.log([[brute(s, 0), brute(s, 1)] for s in samples]), rtol=1e-10, atol=0)
+
+
+def test_long_words_neither_underflow_nor_lose_segmentations(monkeypatch):
+    """Against the plain recursion on logarithms, over ends of spans and rescalings."""
+    monkeypatch.setattr(language, "SPAN", 50)
+    models = small_models(given := {"▁a": (0.1, 0.2), "b": (0.2, 0.1), "ab": (0.3, 0.3), "abcab": (1e-7, 1e-9), "c": (1e-9, 1e-3)}, 1e-8)
+    rng = random.Random(8)
+    samples = ["".join(rng.choice("abcd") for _ in range(n)) for n in (3, 49, 50, 51, 500, 2000)]
+    samples += ["d" * 500, "漢" * 700]
+    for word, scores in zip(samples, models.log_scores(samples)):
+        text = "▁" + word
+        for i in range(2):
+            alpha = [0.0]
+            for end in range(1, len(text) + 1):
+                arcs = [(start, text[start:end]) for start in range(max(0, end - 5), end)]
+                alpha.append(np.logaddexp.reduce([alpha[start] + math.log(given[p][i] if p in given else models.other) for start, p in arcs if p in given or len(p) == 1]))
+            assert math.isclose(scores[i], alpha[-1], rel_tol=1e-9)
+    assert models.log_scores(["d" * 500])[0, 0] == models.log_scores(["d" * 500])[0, 1]
+    into = Counter()
+    language.expected_counts("▁" + "abd" * 400, 2, {p: x[0] for p, x in given.items()}.get, models.other, 5, into)
+    assert math.isclose(sum(len(p or "x") * x for p, x in into.items()), 2 * 1201, rel_tol=1e-9)
+
+
+def test_letters_and_many_languages(spark, monkeypatch):
+    """What is no letter gives `und`; scripts that no language has seen give none an advantage; 1,200 languages are no error."""
+    monkeypatch.setattr(language, "TABLE_VALUES", 50_000)
+    rows = [(i, f"l{i % 1200}", "the cat sat on the mat" if i % 1200 else "der hund lag auf dem teppich") for i in range(3600)]
+    models = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(False), rounds=1)
+    odd = ["²", "½", "Ⅷ", "١٢", "สวัสดีครับ", "漢字" * 300, "der hund", "the cat " * 3000, "\u0301"]
+    found = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), models).collect()}
+    assert [found[i].lang_pred for i in (0, 1, 2, 3, 8)] == ["und"] * 5 and found[6].lang_pred == "l0"
+    assert all(math.isclose(found[i].score, 1 / 1200, rel_tol=1e-3) for i in (4, 5)) and found[7].lang_pred != "l0"
+
+
+def test_language_answers_do_not_depend_on_the_table(monkeypatch):
+    import pyarrow as pa
+
+    models = small_models({"▁a": (0.1, 0.2), "b": (0.2, 0.1), "ab": (0.3, 0.3), "c": (0.01, 0.3)}, 1e-8)
+    rng = random.Random(9)
+    texts = pa.array([" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, ""])
+    assert np.allclose(language.TokenScores(models, 12).totals(texts), language.TokenScores(models).totals(texts))
 
 
 def test_expectations_sum_to_the_pieces_used():
     into = Counter()
-    language.expected_counts("▁abab", 3, {"▁": 0.2, "a": 0.2, "b": 0.2, "ab": 0.3}, 1e-4, 2, into)
+    language.expected_counts("▁abab", 3, {"▁": 0.2, "a": 0.2, "b": 0.2, "ab": 0.3}.get, 1e-4, 2, into)
     assert math.isclose(sum(len(p or "x") * x for p, x in into.items()), 3 * 5, rel_tol=1e-9)
 
 
@@ -554,11 +600,13 @@ def test_held_out_accuracy(spark, data, docs):
 
 def test_language_of_odd_rows(spark, docs, odd, empty):
     models = language.fit(docs, language.held_out_fold())
+    odd = odd.withColumns({"__lang": F.lit("x"), "__score": F.lit("x")})
     found = language.predict(odd, models).collect()
     assert len(found) == len(ODD) and {r.lang_pred for r in found if r.doc_id in (1, 2, 3, 4)} == {"und"}
     assert language.predict(empty, models).collect() == []
     assert language.keep_languages(odd).columns == odd.columns
     assert {r.lang_pred for r in language.predict(odd, language.fit(empty, language.held_out_fold())).collect()} == {"und"}
+    assert {r.h for r in odd.select(language.held_out_fold().alias("h")).collect()} <= {True, False}
 
 
 # the pipeline
