@@ -49,79 +49,110 @@ def argument_error(name: Column, arguments: Column, tools=None) -> Column:
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    """The calls of assistant messages: conv_id, turn, message, place, id, name, arguments, after; malformed JSON gives a null id."""
+    """The calls of assistant messages: conv, turn, message, place, id, name, arguments, after; malformed JSON gives a null id."""
     found = messages.where((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"))
-    exploded = found.select("conv_id", "turn", "message", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("place", "json"))
-    return exploded.withColumn("c", F.from_json("json", CALL_SCHEMA)).select("conv_id", "turn", "message", "place", "c.id", "c.name", "c.arguments", F.array_distinct(F.coalesce("c.after", F.array().cast("array<string>"))).alias("after")).distinct()
+    exploded = found.select("conv", "turn", "message", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("place", "json"))
+    return exploded.withColumn("c", F.from_json("json", CALL_SCHEMA)).select("conv", "turn", "message", "place", "c.id", "c.name", "c.arguments", F.array_distinct(F.coalesce("c.after", F.array().cast("array<string>"))).alias("after")).distinct()
+
+
+def chain_ends(arcs: DataFrame) -> DataFrame:
+    """(conv, id, end, steps) of each call that waits for exactly one other: the first call up its chain that waits for none
+    or for several, and how many steps it is away. Pointers double each round; those that go round a cycle are left out.
+    """
+    single = materialise(arcs.groupBy("conv", "id").agg(F.min("before").alias("end"), F.count(F.lit(1)).alias("n")).where("n = 1").select("conv", "id", "end", F.lit(1).cast("long").alias("steps")))
+    pointers, rounds = single, single.count().bit_length()
+    for _ in range(rounds):
+        further = pointers.select("conv", F.col("id").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"))
+        joined = pointers.join(further, ["conv", "end"], "left")
+        pointers = materialise(joined.select("conv", "id", F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        if not pointers.where("moved").take(1):
+            break
+    return pointers.join(single.select("conv", F.col("id").alias("end")), ["conv", "end"], "left_anti").select("conv", "id", "end", "steps")
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of each identified call: 0 without known predecessors, else one more than the highest of them.
+    """(conv, id, level) of each identified call: 0 without known predecessors, else one more than the highest of them.
 
-    Rounds go on while levels are found, one more than the longest chain; calls on a cycle, or behind one, get none.
-    Only calls that name a predecessor take part in the rounds.
+    Chains in which each call waits for one other take a logarithmic number of rounds. Calls that wait for several take a
+    round for each such call on the longest path. Calls on a cycle, or behind one, get no level.
     """
-    known = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min_by("after", F.struct("turn", "place")).alias("after"))
-    arcs = known.select("conv_id", "id", F.explode("after").alias("before")).join(known.select("conv_id", F.col("id").alias("before")), ["conv_id", "before"], "left_semi")
-    arcs = materialise(arcs)
-    levels = known.join(arcs, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"))
+    known = calls.where("id is not null").groupBy("conv", "id").agg(F.min_by("after", F.struct("turn", "place")).alias("after"))
+    arcs = known.select("conv", "id", F.explode("after").alias("before")).join(known.select("conv", F.col("id").alias("before")), ["conv", "before"], "left_semi")
+    arcs = materialise(arcs.select("conv", "id", "before"))
+    levels = known.join(arcs, ["conv", "id"], "left_anti").select("conv", "id", F.lit(0).cast("long").alias("level"))
     if not arcs.take(1):
         return levels
+    ends = materialise(chain_ends(arcs))
+    several = arcs.groupBy("conv", "id").count().where("count > 1").select("conv", "id")
+    # What each of them waits for, as the end of its chain and the steps from there.
+    upward = arcs.join(several, ["conv", "id"], "left_semi").join(ends.select("conv", F.col("id").alias("before"), "end", "steps"), ["conv", "before"], "left")
+    waiting = materialise(upward.select("conv", "id", F.coalesce("end", "before").alias("end"), F.coalesce("steps", F.lit(0)).alias("steps")))
     levels = materialise(levels)
-    waiting, done = arcs, levels.count()
-    while True:
-        placed = waiting.join(levels.select("conv_id", F.col("id").alias("before"), "level"), ["conv_id", "before"], "left")
-        ready = placed.groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.count("level").alias("n"), F.count(F.lit(1)).alias("all")).where("n = all")
-        levels = materialise(levels.union(ready.select("conv_id", "id", (F.col("level") + 1).alias("level"))))
-        last, done = done, levels.count()
-        if last == done:
-            return levels
-        waiting = waiting.join(levels, ["conv_id", "id"], "left_anti")
+    while waiting.take(1):
+        placed = waiting.join(levels.select("conv", F.col("id").alias("end"), "level"), ["conv", "end"], "left")
+        ready = placed.groupBy("conv", "id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count("level").alias("n"), F.count(F.lit(1)).alias("all")).where("n = all")
+        ready = materialise(ready.select("conv", "id", (F.col("level") + 1).alias("level")))
+        if not ready.take(1):
+            break
+        levels = levels.union(ready)
+        waiting = materialise(waiting.join(ready, ["conv", "id"], "left_anti"))
+    on_chains = ends.join(levels.select("conv", F.col("id").alias("end"), "level"), ["conv", "end"]).select("conv", "id", F.col("level") + F.col("steps"))
+    return levels.union(on_chains)
+
+
+def _canonical(json: Column) -> Column:
+    """JSON text as a variant, whose objects have their keys in order; text that is no JSON as a string."""
+    return F.coalesce(F.try_parse_json(json), F.variant_get(F.parse_json(F.to_json(F.array(json))), "$[0]", "variant"))
 
 
 def format_messages(messages: DataFrame, tools=None) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_invalid, level and message (canonical JSON) of every row.
 
+    The JSON has sorted keys and no blanks outside strings: content (without the text's call blocks), role, tool_calls if
+    there are any, in topological order, and turn. A call has its arguments as an object with sorted keys, what is wrong
+    with them, its id and name, and its result with the turn; the result's own message stays as it is.
+
     A call is linked if a result with its identifier stands at a later turn of its conversation; of several results
-    the first counts, and a repeated identifier's calls share it. `level` is the highest of the message's calls, null
-    without calls or on a cycle. A null text is written as null; rows with equal values stay separate, as does every
-    turn of a conversation; an empty table gives no rows. Other columns are ignored.
+    the first counts, and a repeated identifier's calls share it. Rows with a null conv_id are one conversation; a null turn
+    is neither earlier nor later. `level` is the highest of the message's calls, null without calls or on a cycle. A null
+    text is written as null; rows with equal values stay separate; an empty table gives no rows. Other columns are ignored.
     """
-    messages = messages.select("conv_id", "turn", "role", "text").withColumn("message", F.xxhash64("role", "text"))
-    base = lambda calls: F.to_json(F.struct(F.col("text").alias("content"), F.col("role"), *calls, F.col("turn")), {"ignoreNullFields": "false"})
+    conv = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    messages = messages.select("conv_id", "turn", "role", "text").withColumns({"message": F.xxhash64("role", "text"), "conv": conv})
     has_calls = F.coalesce((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"), F.lit(False))
     zero = F.lit(0).cast("long")
-    plain = messages.where(~has_calls).select("conv_id", "turn", "role", zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_invalid"), F.lit(None).cast("int").alias("level"), base([]).alias("message"))
 
+    def written(rows: DataFrame, content: Column, *calls: Column) -> DataFrame:
+        json = F.to_json(F.struct(content.alias("content"), F.col("role"), *calls, F.col("turn")), {"ignoreNullFields": "false"})
+        numbers = [F.coalesce(F.col(c), zero).alias(c) if c in rows.columns else zero.alias(c) for c in ("n_calls", "n_linked", "n_invalid")]
+        level = F.col("level") if "level" in rows.columns else F.lit(None)
+        return rows.select("conv_id", "turn", "role", *numbers, level.cast("int").alias("level"), json.alias("message"))
+
+    plain = written(messages.where(~has_calls), F.col("text"))
     calls = materialise(calls_of(messages))
     if not calls.take(1):
-        empty = messages.where(has_calls).select("conv_id", "turn", "role", zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_invalid"), F.lit(None).cast("int").alias("level"), base([]).alias("message"))
-        return plain.unionByName(empty)
-    results = messages.where("role = 'tool'").select("conv_id", F.col("turn").alias("result_turn"), F.from_json("text", RESULT_SCHEMA).alias("r"))
-    results = results.select("conv_id", "result_turn", F.col("r.tool_call_id").alias("id"), F.col("r.content").alias("result")).where("id is not null")
-    first = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
-    matched = first.join(results, ["conv_id", "id"]).where("result_turn > call_turn").groupBy("conv_id", "id").agg(F.min(F.struct("result_turn", "result")).alias("first"))
-    linked = calls.join(matched, ["conv_id", "id"], "left").join(call_levels(calls), ["conv_id", "id"], "left")
+        return plain.unionByName(written(messages.where(has_calls), F.col("text")))
+    results = messages.where("role = 'tool'").select("conv", F.col("turn").alias("result_turn"), F.from_json("text", RESULT_SCHEMA).alias("r"))
+    results = results.select("conv", "result_turn", F.col("r.tool_call_id").alias("id"), F.col("r.content").alias("result")).where("id is not null")
+    first = calls.where("id is not null").groupBy("conv", "id").agg(F.min("turn").alias("call_turn"))
+    matched = first.join(results, ["conv", "id"]).where("result_turn > call_turn").groupBy("conv", "id").agg(F.min(F.struct("result_turn", "result")).alias("first"))
+    linked = calls.join(matched, ["conv", "id"], "left").join(call_levels(calls), ["conv", "id"], "left")
     checked = linked.withColumn("error", argument_error(F.col("name"), F.col("arguments"), tools))
-    sorted_arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.col("arguments"))
-    one = F.struct(
-        "level", "place",
-        F.struct(sorted_arguments.alias("arguments"), F.col("error"), F.col("id"), F.col("name"), F.col("first.result").alias("result"), F.col("first.result_turn").alias("result_turn")).alias("call"),
-    )
+    call = F.struct("arguments", "error", "id", "name", F.col("first.result").alias("result"), F.col("first.result_turn").alias("result_turn"))
     # A message's own calls: as many as its text holds.
-    grouped = checked.groupBy("conv_id", "turn", "message").agg(
-        F.array_sort(F.collect_list(one)).alias("calls"),
+    grouped = checked.groupBy("conv", "turn", "message").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(1 << 40)).alias("level"), "place", call.alias("call")))).alias("calls"),
         F.count(F.lit(1)).alias("n_calls"),
         F.count("first").alias("n_linked"),
         F.count("error").alias("n_invalid"),
         F.when(F.count("level") == F.count(F.lit(1)), F.max("level")).alias("level"),
     )
     own = messages.where(has_calls)
-    same = (own["conv_id"].eqNullSafe(grouped["conv_id"])) & (own["turn"].eqNullSafe(grouped["turn"])) & (own["message"] == grouped["message"])
+    same = (own["conv"] == grouped["conv"]) & (own["turn"].eqNullSafe(grouped["turn"])) & (own["message"] == grouped["message"])
     joined = own.join(grouped, same, "left").select(own["conv_id"], own["turn"], "role", "text", "calls", "n_calls", "n_linked", "n_invalid", "level")
-    ordered = F.transform(F.coalesce("calls", F.array().cast(grouped.schema["calls"].dataType)), lambda c: c["call"]).alias("tool_calls")
-    formatted = joined.select("conv_id", "turn", "role", *(F.coalesce(c, zero).alias(c) for c in ("n_calls", "n_linked", "n_invalid")), "level", base([ordered]).alias("message"))
-    return plain.unionByName(formatted)
+    in_order = F.transform("calls", lambda c: c["call"].withField("arguments", _canonical(c["call"]["arguments"])))
+    with_calls = F.col("calls").isNotNull()
+    return plain.unionByName(written(joined.where(~with_calls), F.col("text"))).unionByName(written(joined.where(with_calls), F.regexp_replace("text", CALL, ""), in_order.alias("tool_calls")))
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:

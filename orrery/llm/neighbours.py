@@ -2,8 +2,9 @@
 
 A vector is represented by its PREFIX nearest pivots in order. Each block of an index partition posts its rows in
 inverted files, one a pivot, with the pivot's place in the row's order. A query adds up, over the files of its own
-pivots, how far the places differ (Spearman's footrule; a pivot that a row lacks counts as place PREFIX), and the
-share of the block with the smallest footrule, ties included, is ranked again by the exact cosine.
+pivots, how far the places differ (Spearman's footrule; a pivot that a row lacks counts as place PREFIX). Rows in none
+of its files are looked at only where too few others are; of those, at most the share of the block with the smallest footrule, ties
+included, is ranked again by the exact cosine. All of this is alike at every size of table and block.
 
 Queries go out in blocks of bounded size and meet every index partition where it lies, so no vector is shuffled and
 no key is hot: a vector that a third of the rows repeat makes some files of a block longer, and no task larger.
@@ -18,20 +19,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.chunks import flat_ranges
 from orrery.llm.common import materialise
 
-PIVOTS = 256
-PREFIX = 64
+PIVOTS = 1024
+PREFIX = 22
 #: Rows, those of the smallest hashes, that pivots are chosen from; pivots closer than ALIKE to another are left out.
-PIVOT_SAMPLE = 2048
+PIVOT_SAMPLE = 4096
 ALIKE = 0.95
-#: Share of a block's rows that the exact measure ranks again, and their least number.
-RERANKED = 0.25
-LEAST_RERANKED = 512
+#: Share of a block's rows that the exact measure ranks again at most; never less than a few times the rows wanted.
+RERANKED = 0.3
+FLOOR = 4
 BLOCK = 8192
-#: Queries broadcast at a time, on average.
-QUERY_BLOCK = 8192
+#: Bytes of queries broadcast at a time, about.
+QUERY_BYTES = 32 << 20
 NEAREST = 5
+#: By how much scores of the quick product and of the exact measure may differ.
+ROUNDING = 1e-9
 
 
 def usable(embedding: Column) -> Column:
@@ -46,8 +50,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(rows, -1 if rows else 0)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest components near 1, so that squares neither overflow nor vanish."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    half = -exponents // 2
+    return np.ldexp(np.ldexp(vectors, half), -exponents - half)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -72,35 +83,44 @@ class InvertedFiles:
         self.rows, self.prefix = orders.shape
         flat = orders.ravel()
         order = np.argsort(flat, kind="stable")
-        self.ends = np.searchsorted(flat[order], np.arange(pivots + 1))
-        self.row, self.place = order // self.prefix, (order % self.prefix).astype(np.int32)
+        ends = np.searchsorted(flat[order], np.arange(pivots + 1))
+        self.starts, self.lengths = ends[:-1], np.diff(ends)
+        self.row, self.place = order // self.prefix, order % self.prefix
 
-    def footrule(self, query: np.ndarray) -> np.ndarray:
-        total = np.full(self.rows, sum(self.prefix - i for i in range(len(query))), dtype=np.int32)
-        for place, pivot in enumerate(query):
-            a, b = self.ends[pivot], self.ends[pivot + 1]
-            total[self.row[a:b]] += np.abs(self.place[a:b] - place) - (self.prefix - place)
-        return total
+    def footrule(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows in the files of the query's pivots, and by how much their footrule is below that of rows in none."""
+        lengths = self.lengths[query]
+        posted = flat_ranges(self.starts[query], lengths)
+        gains = self.prefix - np.abs(self.place[posted] - np.repeat(np.arange(len(query)), lengths))
+        total = np.bincount(self.row[posted], weights=gains, minlength=self.rows)
+        rows = np.flatnonzero(total)
+        return rows, total[rows]
 
 
-def _exact(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-    return (vectors * query).sum(axis=1) / (norms * norm)
+def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The exact measure, of scaled vectors."""
+    return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
 def search_block(ids, vectors, orders, queries, pivots: int, nearest: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (id, vector, order), the ids and cosines of the nearest rows of the block, its own id left out."""
+    """For each query (id, scaled vector, order), the ids and cosines of the nearest rows found, its own id left out."""
     files = InvertedFiles(orders, pivots)
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    reranked = max(LEAST_RERANKED, int(share * len(ids)), 2 * nearest)
+    vectors = scaled(vectors)
+    units = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    reranked = max(int(share * len(ids)), FLOOR * nearest)
     found = []
     for own, vector, order in zip(*queries):
-        if reranked < len(ids):
-            distance = files.footrule(order)
-            rows = np.flatnonzero(distance <= np.partition(distance, reranked)[reranked])
-        else:
-            rows = np.arange(len(ids))
+        rows, gains = files.footrule(order)
+        if len(rows) < FLOOR * nearest:
+            rows = np.arange(len(ids))  # the rest of the block shares the largest footrule
+        elif len(rows) > reranked:
+            rows = rows[gains >= np.partition(gains, -reranked)[-reranked]]
         rows = rows[ids[rows] != own]
-        scores = _exact(vectors[rows], norms[rows], vector, np.sqrt((vector * vector).sum()))
+        quick = units[rows] @ (vector / np.sqrt((vector * vector).sum()))
+        if len(rows) > nearest:
+            near = quick >= np.partition(quick, -nearest)[-nearest] - ROUNDING
+            rows = rows[near]
+        scores = cosines(vectors[rows], vector)
         best = np.lexsort((ids[rows], -scores))[:nearest]
         found.append((ids[rows][best], scores[best]))
     return found
@@ -132,17 +152,18 @@ def _searched(batches: Iterator[pa.RecordBatch], sent, nearest: int, share: floa
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
-def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray] | None:
-    """The index table (vec_id, embedding, nearest pivots) of all usable rows, and the pivots; None without any row.
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding, in doubles, of the rows that take part."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+
+
+def build_index(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The index table (vec_id, embedding, nearest pivots) of usable rows of one length, all of them, and the pivots.
 
-    Rows whose length is not the commonest one take no part. Pivots come from PIVOT_SAMPLE rows at most.
+    Pivots come from PIVOT_SAMPLE rows at most.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if sizes is None:
-        return None
-    rows = rows.where(F.size("embedding") == sizes["size"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("embedding").collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(PIVOT_SAMPLE).select("embedding").collect()
     pivots = choose_pivots(np.array([r[0] for r in sample], dtype=np.float64))
     prefix = min(PREFIX, len(pivots))
 
@@ -161,24 +182,25 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     """query_id, rank, vec_id and score (cosine) of each query's nearest rows found, ties to the smaller vec_id.
 
     Queries are the usable rows where `is_query` (over vec_id) holds, candidates all usable rows of another vec_id.
-    Null, zero and non-finite vectors take no part; null vec_ids neither. An empty table gives no rows.
+    Null, zero and non-finite vectors take no part; null vec_ids neither. Vectors of different lengths have no cosine:
+    each length has an index of its own. Rows that repeat a vec_id are candidates one by one; of those that repeat a
+    query's, the least vector is the query. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
-    built = build_index(vectors.where("vec_id is not null"))
-    if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, pivots = built
-    queries = index.where(is_query)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        # A block of the stated queries, QUERY_BLOCK on average: the one thing that is gathered and broadcast.
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).distinct().collect()
-        arrays = (np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64), np.array([r.nearest for r in rows], np.int16))
-        sent = spark.sparkContext.broadcast((arrays, len(pivots)))
-        own = index.mapInArrow(lambda batches, sent=sent: _searched(batches, sent, nearest, share), schema)
-        found = own if found is None else found.union(own)
+    rows = usable_rows(vectors)
+    found = spark.createDataFrame([], schema)
+    for (size,) in sorted(rows.select(F.size("embedding")).distinct().collect()):
+        index, pivots = build_index(rows.where(F.size("embedding") == size))
+        queries = index.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "nearest")).alias("q")).select("vec_id", "q.*")
+        blocks = max(1, -(-queries.count() * 8 * (size + PREFIX) // QUERY_BYTES))
+        for block in range(blocks):
+            # A block of the stated queries: the one thing that is gathered and broadcast.
+            own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
+            if own:
+                arrays = (np.array([r.vec_id for r in own], np.int64), scaled(np.array([r.embedding for r in own], np.float64)), np.array([r.nearest for r in own], np.int64))
+                sent = spark.sparkContext.broadcast((arrays, len(pivots)))
+                found = found.union(index.mapInArrow(lambda batches, sent=sent: _searched(batches, sent, nearest, share), schema))
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
     # `nearest` rows a query and index partition.
     ranked = found.groupBy("query_id").agg(F.slice(best, 1, nearest).alias("best"))

@@ -89,36 +89,51 @@ def test_length_steps(spark):
 # 2: neighbours
 
 
-def test_neighbours_against_brute_force(spark, data):
-    rows = table(spark, data, "embeddings")
-    found = neighbours.op2_neighbours(spark, data).collect()
-    pdf = rows.toPandas()
-    vectors, ids = np.array(pdf.embedding.tolist(), float), pdf.vec_id.to_numpy()
+def recall(ids, vectors, found):
+    """Share of the five nearest by brute force that the search found; its scores and order are checked on the way."""
+    hits = wanted = 0
     norms = np.linalg.norm(vectors, axis=1)
     for i in np.flatnonzero(ids % 50 == 0):
-        scores = (vectors * vectors[i]).sum(1) / (norms * norms[i])
-        scores[i] = -9
-        best = np.lexsort((ids, -scores))[:5]
+        scores = vectors @ vectors[i] / (norms * norms[i])
         own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == ids[i])
-        assert [o[1] for o in own] == ids[best].tolist() and np.allclose([o[2] for o in own], scores[best])
+        by_id = dict(zip(ids.tolist(), scores.tolist()))
+        assert [o[0] for o in own] == list(range(1, 6)) and np.allclose([by_id[o[1]] for o in own], [o[2] for o in own], rtol=1e-12)
+        assert own == sorted(own, key=lambda o: (-o[2], o[1]))
+        scores[i] = -9
+        least = np.sort(scores)[-5]
+        hits += sum(o[2] >= least - 1e-9 for o in own)
+        wanted += 5
+    return hits / wanted
 
 
-def test_recall_with_reranking(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAST_RERANKED", 50)
+def test_neighbours_against_brute_force(spark, data):
+    pdf = table(spark, data, "embeddings").toPandas()
+    found = neighbours.op2_neighbours(spark, data).collect()
+    assert recall(pdf.vec_id.to_numpy(), np.array(pdf.embedding.tolist(), float), found) >= 0.9
+
+
+def test_recall_with_a_very_common_direction(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(4000, 32))
-    vectors[::3] = vectors[0] + rng.normal(size=(1334, 32)) * 1e-3  # one very common direction
+    vectors[::3] = vectors[0] + rng.normal(size=(1334, 32)) * 1e-3
     vectors[10:15] = vectors[5]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>").repartition(3)
     found = neighbours.nearest_neighbours(rows, F.col("vec_id") % 50 == 0).collect()
-    norms, hits, wanted = np.linalg.norm(vectors, axis=1), 0, 0
-    for i in range(0, 4000, 50):
-        scores = vectors @ vectors[i] / (norms * norms[i])
-        scores[i] = -9
-        least = np.sort(scores)[-5]
-        hits += sum(r.score >= least - 1e-9 for r in found if r.query_id == i)
-        wanted += 5
-    assert hits / wanted >= 0.9
+    assert recall(np.arange(4000), vectors, found) >= 0.9
+
+
+def test_postings_prune(monkeypatch):
+    """A query looks at rows in the files of its own pivots only, and ranks the given share of a block again."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 16))
+    pivots = neighbours.choose_pivots(vectors[:1500])
+    orders = neighbours.permutations(vectors, pivots, 8)
+    rows, gains = neighbours.InvertedFiles(orders, len(pivots)).footrule(orders[0])
+    brute = np.zeros(3000)
+    for r, order in enumerate(orders.tolist()):
+        places = {p: i for i, p in enumerate(order)}
+        brute[r] = sum(8 - abs(places[p] - i) for i, p in enumerate(orders[0].tolist()) if p in places)
+    assert 0 < len(rows) < 1500 and rows.tolist() == np.flatnonzero(brute).tolist() and (gains == brute[rows]).all()
 
 
 def test_odd_vectors(spark):
@@ -126,6 +141,12 @@ def test_odd_vectors(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("score", F.lit("x"))
     found = sorted(tuple(r) for r in neighbours.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect())
     assert found == [(0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 7, 0.0)]
+    # Very large and very small components, another length with an index of its own, repeated rows.
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3e300, 3e300]), (3, [5e-324, 5e-324]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (51, [1.0, 1.0, 0.0]), (100, [2.0] * 300_000), (101, [1.0] * 300_000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in neighbours.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect())
+    half = round(0.5**0.5, 12)
+    assert found == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 1, half), (50, 1, 51, half), (50, 2, 51, half), (100, 1, 101, 1.0)]
     assert neighbours.nearest_neighbours(frame.limit(0), F.col("vec_id") == 0).collect() == []
 
 
@@ -145,13 +166,84 @@ def test_tool_calls(spark):
 
     first = found[1, 1]
     calls = json.loads(first.message)["tool_calls"]
-    assert [c["id"] for c in calls] == ["a", "b"] and calls[0]["result"] == "first" and calls[0]["arguments"] == '{"limit":3,"query":"q"}'
+    assert [c["id"] for c in calls] == ["a", "b"] and calls[0]["result"] == "first" and '"arguments":{"limit":3,"query":"q"}' in first.message and json.loads(first.message)["content"] == "x"
     assert (first.n_calls, first.n_linked, first.n_invalid, first.level) == (2, 1, 1, 1) and calls[1]["error"] == "type: days"
     assert found[2, 0].n_invalid == 1 and found[2, 1].message == '{"content":null,"role":null,"turn":1}'
     assert found[3, 0].level is None and {c["error"] for c in json.loads(found[3, 0].message)["tool_calls"]} == {"unknown tool", "missing: query"}
     assert chat.format_messages(frame).count() == len(rows) and chat.format_messages(frame.limit(0)).collect() == []
 
 
+def brute_levels(after):
+    """Level of each identifier, None on or behind a cycle."""
+
+    def level(i, path=()):
+        if i in path:
+            return None
+        own = [level(p, (*path, i)) for p in after[i] if p in after]
+        return None if None in own else 1 + max(own) if own else 0
+
+    return {i: level(i) for i in after}
+
+
+def test_levels_against_brute_force(spark):
+    """Chains, calls that wait for several, cycles and what is behind them, in many conversations and in none."""
+    rng = random.Random(11)
+    expected, rows = {}, []
+    for conv in [None, *range(1, 12)]:
+        n = 9
+        after = {f"c{i}": [f"c{j}" for j in sorted(rng.sample(range(n), rng.choice([0, 1, 1, 1, 2]))) if j < i or rng.random() < 0.15] for i in range(n)}
+        expected |= {(conv, i): x for i, x in brute_levels(after).items()}
+        rows += [(conv, 1, "assistant", "".join(f'<tool_call>{{"id":"{i}","name":"search","arguments":{{"query":"q"}},"after":{json_list(a)}}}</tool_call>' for i, a in after.items()))]
+    rows.append((99, 1, "assistant", "".join(f'<tool_call>{{"id":"c{i}","name":"search","arguments":{{"query":"q"}},"after":["c{i - 1}"]}}</tool_call>' for i in range(300))))
+    expected |= {(99, f"c{i}"): i for i in range(300)}
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    keyed = frame.withColumns({"message": F.lit(0), "conv": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))})
+    found = {(int(r.conv) if r.conv else None, r.id): r.level for r in chat.call_levels(chat.calls_of(keyed)).collect()}
+    assert found == {k: x for k, x in expected.items() if x is not None}
+    messages = {r.conv_id: r for r in chat.format_messages(frame).collect()}
+    for conv in messages:
+        own = [x for (c, _), x in expected.items() if c == conv]
+        assert messages[conv].level == (None if None in own else max(own)) and messages[conv].n_calls == len(own)
+
+
+def json_list(values):
+    import json
+
+    return json.dumps(values)
+
+
+def test_links_against_brute_force(spark):
+    """Every call and result of random conversations, null conversations, repeated identifiers and rows among them."""
+    import json
+
+    rng = random.Random(13)
+    rows = []
+    for conv in (None, 1, 2, 3):
+        for turn in range(12):
+            if rng.random() < 0.5:
+                rows.append((conv, turn, "assistant", "say " + "".join('<tool_call>{"id":"%s","name":"search","arguments":{"query":"%s"}}</tool_call>' % (rng.choice("abcde"), rng.choice(["x", "y z"])) for _ in range(rng.randint(1, 3)))))
+            else:
+                rows.append((conv, turn, "tool", '{"tool_call_id":"%s","content":"r%d"}' % (rng.choice("abcdef"), turn)))
+    rows += [rows[0], (1, 50, "assistant", "<tool_call></tool_call>"), (1, 51, "assistant", "x" * 300_000 + "<tool_call>{}"), (1, None, "assistant", '<tool_call>{"id":"a","name":"search","arguments":{"query":"q"}}</tool_call>')]
+    of = lambda t: [json.loads(x) if x else {} for x in re.findall(r"(?s)<tool_call>(.*?)</tool_call>", t)]
+    first = {}
+    for conv, turn, role, text in rows:
+        for call in of(text) if role == "assistant" else []:
+            if "id" in call and turn is not None:
+                first[conv, call["id"]] = min(turn, first.get((conv, call["id"]), turn))
+    linked = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0)):
+        if role == "tool" and (key := (conv, json.loads(text)["tool_call_id"])) in first and turn > first[key]:
+            linked.setdefault(key, turn)
+    expected = Counter((conv, turn, len(of(text)) if role == "assistant" else 0, sum((conv, c.get("id")) in linked for c in of(text)) if role == "assistant" else 0) for conv, turn, role, text in rows)
+    found = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert Counter((r.conv_id, r.turn, r.n_calls, r.n_linked) for r in found) == expected
+    for r in found:
+        for call in json.loads(r.message).get("tool_calls", []):
+            assert call["result_turn"] == linked.get((r.conv_id, call["id"]))
+        assert r.message == json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_chat_query_keeps_all_rows(spark, data):
     import json
 
