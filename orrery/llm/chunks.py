@@ -111,6 +111,14 @@ class ChunkTable:
             self.codes = np.append(self.codes, codes.astype(self.dtype, copy=False))
         return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
 
+    def sizes(self, column: pa.Array) -> np.ndarray:
+        """How many codes each text has."""
+        distinct, numbers, counts = chunked(column)
+        rows = self.rows_of(distinct) if distinct else np.empty(0, np.int64)
+        lengths = (self.offsets[rows + 1] - self.offsets[rows])[numbers]
+        total, ends = np.append(0, np.cumsum(lengths)), np.cumsum(counts)
+        return total[ends] - total[ends - counts]
+
     def texts(self, column: pa.Array, closing: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all texts, joined, and the length of each; with `closing`, row 0 stands at each text's end."""
         distinct, numbers, counts = chunked(column)

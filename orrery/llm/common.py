@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new folder for written intermediates below spark.checkpoint.dir, which driver and executors share.
+
+    Where the setting is unset, only a session in local mode gets a folder of its own; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/orrery-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, utf8
+from orrery.llm.common import materialise, planned_partitions, text_parts, utf8
 from orrery.llm.components import components
 
 BITS = 64
@@ -30,6 +30,8 @@ SEED = 42
 MAX_DISTANCE = 2
 #: Shingles hashed at a time, which bounds memory on very long texts.
 CHUNK = 1 << 16
+#: Bytes of distinct fingerprints whose postings one task makes.
+DISTINCT_BYTES = 1 << 20
 #: Longer runs of a cell are linked through common neighbours, which is linear, and not pair by pair.
 LONG_RUN = 64
 
@@ -52,9 +54,9 @@ def simhash64(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter((simhash64(text or b"") for text in utf8(batch.column(1))), dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+    for part in text_parts(batches):
+        found = np.fromiter((simhash64(text or b"") for text in utf8(part.column(1))), dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def _linked(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     lengths = np.diff(np.r_[starts, len(cell)])
     for start, length in zip(starts[lengths > LONG_RUN], lengths[lengths > LONG_RUN]):
-        a, b = ball_links(fp[start : start + length])
+        a, b = ball_links(fp[start : start + length], distance)
         firsts.append(a)
         seconds.append(b)
     short = np.repeat((lengths > 1) & (lengths <= LONG_RUN), lengths)
@@ -99,17 +101,24 @@ def _linked(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray
     return join(firsts), join(seconds)
 
 
-def ball_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of distance two or less that keep components, without pairs: rows meet at common one-bit neighbours."""
+def ball_links(fp: np.ndarray, distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links of at most `distance` bits (0 to 2) that keep components, without pairs: rows meet at one-bit neighbours.
+
+    Two rows at distance two or less have a neighbour in common; at distance one, one of them is the other's neighbour.
+    """
     masks = np.r_[np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64)]
-    firsts, seconds = [], []
+    if distance == 0:
+        masks = masks[:1]
     meeting = (fp[:, None] ^ masks).ravel()
-    order = np.argsort(meeting, kind="stable")
-    meeting, owner = meeting[order], np.repeat(fp, BITS + 1)[order]
+    owner, itself = np.repeat(fp, len(masks)), np.tile(masks == 0, len(fp))
+    order = np.lexsort((~itself, meeting))
+    meeting, owner, itself = meeting[order], owner[order], itself[order]
     same = meeting[1:] == meeting[:-1]
-    firsts.append(owner[:-1][same])
-    seconds.append(owner[1:][same])
-    return np.concatenate(firsts), np.concatenate(seconds)
+    if distance == 1:
+        first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(meeting)), 0))
+        with_itself = itself[first[1:]] & same
+        return owner[first[1:]][with_itself], owner[1:][with_itself]
+    return owner[:-1][same], owner[1:][same]
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -155,6 +164,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, segment
     """(u, v): links between distinct fingerprints that keep the components of all links of at most `distance` bits."""
     if distance > 2:
         raise ValueError("the grid's one-step postings cover distances up to 2")
+    # Each row becomes some 30 postings of 16 bytes, so rows are dealt out first.
+    distinct = distinct.repartition(planned_partitions(distinct, DISTINCT_BYTES), "fp")
     postings = distinct.select(F.explode(grid_cells(F.col("fp"), segments)).alias("cell"), "fp")
     dealt = postings.repartition("cell").sortWithinPartitions("cell", "fp")
     return dealt.mapInArrow(lambda batches: _links(batches, distance), "u long, v long").distinct()
@@ -190,10 +201,17 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """One row of each component of similar texts, that of the smallest doc_id; columns unchanged. Rows without a doc_id all stay."""
+    """One row of each component of similar texts, that of the smallest doc_id; columns unchanged.
+
+    Of rows that share this doc_id, the one with the least text stays, and of equal texts the least hash of what columns
+    can be hashed, so the result does not differ between runs. Rows without a doc_id all stay.
+    """
     from orrery.llm.similar_texts import similar_text_components
 
     named = docs.where(docs["doc_id"].isNotNull())
     kept = similar_text_components(named).where("doc_id = component_id").select(F.col("component_id").alias("__kept")).distinct()
-    one = named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    hashed = [docs[f.name] for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    # Partial aggregation, so rows that share a doc_id, however many, do not meet in one task.
+    rows = named.join(kept, named["doc_id"].cast("long") == kept["__kept"], "left_semi").select(named["doc_id"].alias("__id"), F.struct(*(named[c] for c in docs.columns)).alias("__row"), named["text"].alias("__text"), F.xxhash64(*hashed).alias("__hash"))
+    one = rows.groupBy("__id").agg(F.min_by("__row", F.struct("__text", "__hash")).alias("__row")).select("__row.*")
     return one.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -4,32 +4,31 @@ The global histogram of lengths goes to a dynamic programme that chooses at most
 padding of all rows up to their bucket's bound is least. Inside a bucket, as many rows share a batch as fit the token
 budget at the bucket's bound.
 
-The histogram has every length up to 1024 and, beyond, 1024 steps a doubling, so it has some 50,000 rows at most
-whatever the input; padding is counted from exact lengths. Positions inside a bucket come from counts of small
-cells of rows, never from a sort of a whole bucket, so a bucket with most of the rows is many tasks.
+The histogram has a row for each length that occurs: T tokens have less than the square root of 2 T of them, so what the
+driver holds grows far slower than the input. Positions inside a bucket come from counts of small cells of rows, never
+from a sort of a whole bucket, so a bucket with most of the rows is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import materialise, word_array
+from orrery.llm.bpe import VOCABULARY
+from orrery.llm.common import materialise, shipped_file, text_parts, tokenizer_path, word_array, worker_state
+from orrery.llm.token_files import chunk_table
 
 BUCKETS = 16
 BUDGET = 32_768
-EXACT_BITS = 10
+TEXT_BYTES = 8 << 20
 #: Rows of a bucket that are numbered together.
 CELL_ROWS = 4096
 
 
-def step_up(length: Column) -> Column:
-    """The length itself up to 2 ** EXACT_BITS, else the next of 2 ** EXACT_BITS steps in its power of two."""
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(length)) - (EXACT_BITS + 1), F.lit(0)))
-    return length + F.pmod(-length, step)
-
-
 def least_padding(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Upper bounds, at most `buckets`, that make the padding of all rows least.
 
@@ -81,23 +80,23 @@ def pack(rows: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataF
     """doc_id, n_tokens, bucket, bucket_length, batch and slot of every row (doc_id, n_tokens).
 
     Buckets count from 0 by length, batches from 0 in each bucket, slots from 0 in each batch. A row longer than the
-    budget has a batch of its own; an empty one is in the first bucket. Null lengths count as 0. Repeated rows are packed
-    one by one, ties by doc_id; an empty table gives no rows.
+    budget has a batch of its own; an empty one is in the first bucket. Null lengths count as 0. Repeated and null doc_ids
+    are packed row by row, each in a place of its own, over many tasks; an empty table gives no rows.
     """
-    rows = materialise(rows.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")))
-    histogram = rows.groupBy(step_up(F.col("n_tokens")).alias("bound")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"))
-    cells = sorted(tuple(r) for r in histogram.collect())  # see the module's docstring for its bound
+    rows = materialise(rows.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    cells = sorted((length, n, length * n) for length, n in histogram.collect())  # see the module's docstring for its bound
     bounds = least_padding(cells, buckets) or [0]
     bucket, length = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for i in range(len(bounds) - 2, -1, -1):
         inside = F.col("n_tokens") <= bounds[i]
         bucket, length = F.when(inside, i).otherwise(bucket), F.when(inside, bounds[i]).otherwise(length)
     salts = max(1, -(-sum(c[1] for c in cells) // CELL_ROWS))
-    placed = rows.select("*", bucket.cast("int").alias("bucket"), length.cast("long").alias("bucket_length"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(salts)).alias("cell"))
+    placed = rows.select("*", bucket.cast("int").alias("bucket"), length.cast("long").alias("bucket_length"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("cell"))
     counts = placed.groupBy("bucket", "cell").count()
     before = F.sum("count").over(Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "cell", F.coalesce(before, F.lit(0)).alias("offset"))
-    own = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("n_tokens", "doc_id")) - 1
+    own = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("n_tokens", "doc_id", "row")) - 1
     numbered = placed.withColumn("own", own).join(offsets, ["bucket", "cell"]).withColumn("position", F.col("own") + F.col("offset"))
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
     return numbered.select(
@@ -110,8 +109,21 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.size(word_array(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+def _token_counts(batches: Iterator[pa.RecordBatch], file) -> Iterator[pa.RecordBatch]:
+    table = worker_state("token_counts", lambda: chunk_table(file.value, 0))
+    for part in text_parts(batches, 1, TEXT_BYTES):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(table.sizes(part.column(1)))], names=["doc_id", "n_tokens"])
+
+
+def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id and n_tokens, its number of ids in a public vocabulary; null and empty texts have 0."""
+    file = shipped_file(docs.sparkSession, vocabulary or tokenizer_path(VOCABULARY))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(lambda batches: _token_counts(batches, file), "doc_id long, n_tokens long")
+
+
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every row of `documents`, by words."""
+    """Bucket, batch and slot of every row of `documents`, by ids of the public byte-level vocabulary."""
     from orrery.llm.common import table
 
-    return pack(word_lengths(table(spark, sf_dir, "documents")))
+    return pack(token_lengths(table(spark, sf_dir, "documents")))

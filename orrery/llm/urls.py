@@ -119,10 +119,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
-    """The canonical URLs of the pages of listed hosts."""
+    """The default list: the canonical URLs of the pages of hosts with listed names."""
     return pages.select(host(F.col("url")).alias("host"), canonical(F.col("url")).alias("listed")).where(F.col("host").rlike(LISTED_HOSTS)).select("listed")
 
 
+def list_of_urls(urls: DataFrame) -> DataFrame:
+    """The list of judge_urls() from any table with a column `url`, such as a published block list; repeats are one."""
+    return urls.select(canonical(F.col("url")).alias("listed")).where("listed is not null").distinct()
+
+
 def op8_urls(spark, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every row of `pages`."""
     pages = table(spark, sf_dir, "pages")

@@ -77,13 +77,30 @@ def test_packing_fills_batches(spark, docs, texts):
 
 def test_packing_of_odd_rows(odd, empty, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 2)
-    assert packing.pack(packing.word_lengths(odd)).count() == len(ODD)
+    rows = packing.pack(packing.token_lengths(odd)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in ODD) and len({(r.bucket, r.batch, r.slot) for r in rows}) == len(ODD)
+    hot = odd.sparkSession.range(50).select(F.lit(None).cast("long").alias("doc_id"), F.lit(3).alias("n_tokens"))
+    assert sorted((r.batch, r.slot) for r in packing.pack(hot, budget=30).collect()) == [(b, s) for b in range(5) for s in range(10)]
     assert packing.pack(packing.word_lengths(empty)).collect() == []
 
 
-def test_length_steps(spark):
-    got = spark.range(0, 40_000, 7).select("id", packing.step_up(F.col("id")).alias("s")).collect()
-    assert all(r.id <= r.s <= r.id * (1 + 2**-10) + 1 for r in got) and len({r.s for r in got if r.id > 4096}) < 5000
+def test_packing_query_against_brute_force(spark, data, texts, library):
+    """Lengths by the library; no other choice of 16 bounds pads less, by the plain quadratic programme."""
+    rows = packing.op1_packing(spark, data).collect()
+    lengths = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in rows} == lengths
+    counts = sorted(Counter(lengths.values()).items())
+    values = np.array([v for v, _ in counts])
+    n, s = np.append(0, np.cumsum([c for _, c in counts])), np.append(0, np.cumsum([v * c for v, c in counts]))
+    best = np.r_[0, np.full(len(values), np.inf)]
+    for _ in range(packing.BUCKETS):
+        best = np.r_[0, [min(best[i] + values[j - 1] * (n[j] - n[i]) - (s[j] - s[i]) for i in range(j)) for j in range(1, len(values) + 1)]]
+    assert sum(r.bucket_length - r.n_tokens for r in rows) == best[-1]
+    assert len({r.bucket for r in rows}) <= packing.BUCKETS and len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
+    for bucket in {r.bucket for r in rows}:
+        own = [r for r in rows if r.bucket == bucket]
+        capacity = max(1, packing.BUDGET // max(1, own[0].bucket_length))
+        assert sorted(r.batch * capacity + r.slot for r in own) == list(range(len(own))) and max(r.n_tokens for r in own) == own[0].bucket_length
 
 
 # 2: neighbours
@@ -317,6 +334,26 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch):
         assert {i: find(i) for i in root} == expected
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_links_of_each_distance(spark, monkeypatch, distance):
+    rng = random.Random(14)
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(12), 2)} | {centre} | {centre ^ 1 << a for a in range(0, 64, 5)})
+    expected = {frozenset(p) for p in itertools.combinations(prints, 2) if (p[0] ^ p[1]).bit_count() <= distance}
+    for run in (64, 2):
+        monkeypatch.setattr(near_duplicates, "LONG_RUN", run)
+        frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+        links = [(r.u % (1 << 64), r.v % (1 << 64)) for r in near_duplicates.fingerprint_links(frame, distance).collect()]
+        groups = []
+        for pairs in (expected, links):
+            root = {p: p for p in prints}
+            for _ in prints:
+                for a, b in map(tuple, pairs):
+                    root[a] = root[b] = min(root[a], root[b])
+            groups.append(root)
+        assert groups[0] == groups[1] and all((a ^ b).bit_count() <= distance for a, b in links)
+
+
 def test_components_of_chains_and_stars(spark):
     from orrery.llm.components import components
 
@@ -332,6 +369,8 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert {r.doc_id: r.component_id for r in found if r.doc_id in (1, 2, 3, 5, 6)} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
     kept = near_duplicates.keep_one_of_each_group(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 8, 9]
+    twice = odd.sparkSession.createDataFrame([(1, "b " * 40, {1: 2}), (1, "a " * 40, {1: 3}), (2, "a " * 40, None)], "doc_id long, text string, __kept map<int,int>")
+    assert [(r.doc_id, r.text) for r in near_duplicates.keep_one_of_each_group(twice).collect()] == [(1, "a " * 40)]
     assert near_duplicates.near_duplicate_components(empty).collect() == []
 
 
@@ -533,6 +572,12 @@ def test_rules_and_odd_urls(spark):
     assert urls.judge_urls(frame.limit(0), listed).collect() == []
 
 
+def test_a_list_given_as_a_table(spark):
+    pages = spark.createDataFrame([(1, "https://A.org/x/?b=1&utm_q=2"), (2, "https://a.org/y"), (3, None)], "page_id long, url string")
+    listed = urls.list_of_urls(spark.createDataFrame([("http://a.org/x?b=1",), ("http://a.org/x?b=1",), (None,), ("junk",)], "url string"))
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, listed).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(500).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("listed"))
     keys = spark.range(2000).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("k"))
