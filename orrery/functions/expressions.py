@@ -186,5 +186,13 @@ def fisher_p(p_values: Column) -> Column:
     return F.when(F.size(p_values) > 0, F.transform(F.array(half), tail)[0]).otherwise(F.lit(1.0))
 
 
+def iso(micros: Column) -> Column:
+    """Microseconds since 1970 as ISO 8601 in UTC, with microseconds where there are any."""
+    whole = F.timestamp_micros(micros.cast("long"))
+    text = F.date_format(F.to_utc_timestamp(whole, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    rest = F.pmod(micros.cast("long"), F.lit(1_000_000))
+    return F.concat(text, F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
 def reliability(slices: Column, r_squared: Column) -> Column:
     return F.when((slices >= 10) & (r_squared >= 0.7), "high").when((slices >= 5) | (r_squared >= 0.4), "medium").otherwise("low")

@@ -132,6 +132,11 @@ def needed(metric: str) -> str | None:
     return metric.partition(":")[2] or None
 
 
+def sample_hash(key: str, seed: int) -> Column:
+    """What samples order rows by: MD5 of the key and the seed, so that any engine draws the same sample."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def filtered(line: EventLine, *, event_filters=None, time_from=None, time_to=None, key_filters=None, filter_by_keys=None, geometry_filter: Column | None = None, missing_edge_to=None, sample_size=None, sample_pct=None, seed=0) -> DataFrame:
     """The events after all filters and sampling, before grouping."""
     events = event_filter(line.frame, event_filters or {})
@@ -161,9 +166,9 @@ def filtered(line: EventLine, *, event_filters=None, time_from=None, time_to=Non
     if sample_size is not None and sample_pct is not None:
         raise ValueError("give sample_size or sample_pct")
     if sample_pct is not None:
-        events = events.where(F.pmod(F.xxhash64(F.col(line.key), F.lit(seed)), F.lit(1_000_000)) < int(sample_pct * 1_000_000))
+        events = events.where(F.conv(F.substring(sample_hash(line.key, seed), 1, 8), 16, 10).cast("long") < int(sample_pct * 2**32))
     if sample_size is not None:
-        events = events.orderBy(F.xxhash64(F.col(line.key), F.lit(seed)), line.key).limit(sample_size)
+        events = events.orderBy(sample_hash(line.key, seed), line.key).limit(sample_size)
     return events
 
 

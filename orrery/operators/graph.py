@@ -120,6 +120,10 @@ def anomalous_edges(edges: DataFrame, a, b, events: DataFrame, event_key: str, t
     return between.join(events.select(F.col(event_key).alias("event_key"), "norm", "is_anomaly"), "event_key").orderBy(F.desc("norm"), "event_key").limit(top)
 
 
+# Weights of the cosine, of shared high dimensions and of the norms' ratio in a hop's score.
+HOP_WEIGHTS = (0.4, 0.3, 0.3)
+
+
 def hop_score(scoring: str, a: list[Column], b: list[Column], theta: list[float] | float, amount: Column | None = None, most: Column | None = None) -> Column:
     """Score of a hop between two points: geometric, amount, anomaly or shortest."""
     limits = theta if isinstance(theta, list) else [theta] * len(a)
@@ -133,7 +137,7 @@ def hop_score(scoring: str, a: list[Column], b: list[Column], theta: list[float]
     both = X.total([(p & q).cast("int") for p, q in zip(high_a, high_b)])
     either = X.total([(p | q).cast("int") for p, q in zip(high_a, high_b)])
     ratio = F.when(F.greatest(na, nb) > 0, F.least(na, nb) / F.greatest(na, nb)).otherwise(0.0)
-    geometric = 0.4 * cosine + 0.3 * F.when(either > 0, both / either).otherwise(0.0) + 0.3 * ratio
+    geometric = HOP_WEIGHTS[0] * cosine + HOP_WEIGHTS[1] * F.when(either > 0, both / either).otherwise(0.0) + HOP_WEIGHTS[2] * ratio
     if scoring == "geometric":
         return geometric
     if scoring == "amount":
@@ -141,26 +145,35 @@ def hop_score(scoring: str, a: list[Column], b: list[Column], theta: list[float]
     raise ValueError(f"unknown scoring: {scoring}")
 
 
-def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], seeds: list, depth: int = 3, decay: float = 0.7, least: float = 0.001, most: int = 10_000) -> DataFrame:
-    """Entities that seeds influence: the best score over paths, and the depth at which it was first reached.
+def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, seeds: list, depth: int = 3, decay: float = 0.7, least: float = 0.001, most: int = 10_000) -> DataFrame:
+    """key, score, depth and tx_count of the entities that seeds influence: the best score over paths of at most `depth`
+    steps, and of the path that gives it the length and the events of its last step.
 
-    A step multiplies the score by decay, by the ends' cosine (0.01 at least) and by 1 + ln(events between them).
+    A step multiplies the score by decay, by the geometric hop score (0.01 at least) and by 1 + ln(events between its
+    ends). An entity whose score a later path improves is carried on from again; seeds are never reached. Each step is a
+    written table of one row an entity.
     """
     pairs = edges.where("from_key <> to_key").select(F.col("from_key").alias("a"), F.col("to_key").alias("b"), "event_key")
     linked = pairs.union(pairs.select("b", "a", "event_key")).groupBy("a", "b").agg(F.count_distinct("event_key").alias("n"))
     left = geo.select(F.col(key).alias("a"), *(F.col(d).alias(f"x{i}") for i, d in enumerate(deltas)))
     right = geo.select(F.col(key).alias("b"), *(F.col(d).alias(f"y{i}") for i, d in enumerate(deltas)))
     xs, ys = [[F.col(f"{s}{i}") for i in range(len(deltas))] for s in "xy"]
-    cosine = X.dot(xs, ys) / F.greatest(X.norm(xs) * X.norm(ys), F.lit(1e-12))
-    factors = materialise(linked.join(left, "a").join(right, "b").select("a", "b", (F.greatest(cosine, F.lit(0.01)) * (1 + F.log("n")) * decay).alias("factor")))
-    reached = materialise(geo.where(F.col(key).isin(seeds)).select(F.col(key).alias("key"), F.lit(1.0).alias("score"), F.lit(0).alias("depth")))
-    frontier = reached
+    hop = F.greatest(hop_score("geometric", xs, ys, theta / len(deltas) ** 0.5), F.lit(0.01))
+    steps = linked.where(~F.col("b").isin(seeds)).join(left, "a").join(right, "b")
+    factors = materialise(steps.select("a", F.col("b").alias("key"), "n", (hop * (1 + F.log("n")) * decay).alias("factor")))
+    frontier = materialise(geo.where(F.col(key).isin(seeds)).select(F.col(key).alias("a"), F.lit(1.0).alias("score")).distinct())
+    reached = None
     for step in range(1, depth + 1):
-        pushed = frontier.join(factors, frontier["key"] == factors["a"]).select(F.col("b").alias("key"), (F.col("score") * F.col("factor")).alias("score"), F.lit(step).alias("depth"))
-        new = pushed.where(F.col("score") >= least).groupBy("key").agg(F.max("score").alias("score"), F.min("depth").alias("depth"))
-        frontier = materialise(new.join(reached.select("key"), "key", "left_anti"))
-        reached = reached.unionByName(frontier)
-    return reached.where("depth > 0").orderBy(F.desc("score"), "key").limit(most)
+        pushed = frontier.join(factors, "a").select("key", (F.col("score") * F.col("factor")).alias("score"), F.lit(step).alias("depth"), F.col("n").alias("tx_count"))
+        found = pushed.where(F.col("score") >= least).groupBy("key").agg(F.max(F.struct("score", "depth", "tx_count")).alias("best")).select("key", "best.*")
+        if reached is None:
+            reached = better = materialise(found)
+        else:
+            old = reached.select("key", F.col("score").alias("old"))
+            better = materialise(found.join(old, "key", "left").where("old is null or score > old").drop("old"))
+            reached = materialise(reached.join(better.select("key"), "key", "left_anti").unionByName(better))
+        frontier = better.select(F.col("key").alias("a"), "score")
+    return reached.orderBy(F.desc("score"), "key").limit(most)
 
 
 def discover_chains(edges: DataFrame, seeds: list, hops: int = 3, least: int = 2, window_hours: float = 168, direction: str = "forward") -> DataFrame:
@@ -220,8 +233,8 @@ def chain_seeds(edges: DataFrame, percentile: float = 0.95, least_in: int = 2, l
     return joined.select("key", "out_degree", "in_degree", (F.col("out_degree") >= limit).alias("is_fan_out"), passing.alias("is_pass_through")).where("is_fan_out or is_pass_through")
 
 
-def geometric_path(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, source, target, depth: int = 5, beam: int = 10, scoring: str = "geometric") -> DataFrame:
-    """Paths of the first depth that reaches the target, best mean hop score first; `beam` paths go on at each depth."""
+def geometric_path(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, source, target, depth: int = 5, beam: int | None = 10, scoring: str = "geometric") -> DataFrame:
+    """Paths of the first depth that reaches the target, best mean hop score first; `beam` paths go on at each depth, all if it is None."""
     left = geo.select(F.col(key).alias("key"), *(F.col(d).alias(f"x{i}") for i, d in enumerate(deltas)))
     right = geo.select(F.col(key).alias("other"), *(F.col(d).alias(f"y{i}") for i, d in enumerate(deltas)))
     xs, ys = [[F.col(f"{s}{i}") for i in range(len(deltas))] for s in "xy"]
@@ -232,7 +245,7 @@ def geometric_path(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str]
         done = paths.where(F.col("end") == target)
         if done.take(1) or step == depth:
             return done.select("path", F.lit(step).alias("n_hops"), (F.col("total") / step).alias("score")).orderBy(F.desc("score"), F.array_join(F.col("path").cast("array<string>"), ","))
-        best = paths.orderBy(F.desc("total"), F.array_join(F.col("path").cast("array<string>"), ",")).limit(beam)
+        best = paths if beam is None else paths.orderBy(F.desc("total"), F.array_join(F.col("path").cast("array<string>"), ",")).limit(beam)
         longer = best.join(hops, best["end"] == hops["key"]).where(~F.array_contains("path", F.col("other")))
         paths = materialise(longer.select(F.array_append("path", F.col("other")).alias("path"), (F.col("total") + F.col("hop")).alias("total"), F.col("other").alias("end")))
     return done
@@ -256,3 +269,37 @@ def cluster_bridges(edges: DataFrame, clusters: DataFrame, top: int = 10) -> Dat
     across = a.where("ca <> cb").select(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high"), "from_key", "to_key")
     ends = across.select("low", "high", F.explode(F.array("from_key", "to_key")).alias("key"), F.lit(0.5).alias("half"))
     return ends.groupBy("low", "high").agg(F.sum("half").cast("long").alias("n_edges"), F.count_distinct("key").alias("n_entities")).orderBy(F.desc("n_edges"), "low", "high").limit(top)
+
+
+def edge_columns(events: DataFrame, relations: dict[str, str], explicit: dict | None = None, graph_features: dict | None = None, disabled: bool = False) -> dict | None:
+    """Which columns make an event line's edges: source, target, time and amount; None if there are none.
+
+    The first that applies of: edges are disabled; a declaration; the columns of declared graph features; the first two of
+    the event line's foreign keys (column to line) that refer to one line. Time and amount are inferred where not given.
+    """
+    if disabled:
+        return None
+    time, amount = infer_columns(events.schema)
+    if explicit:
+        return {"time": time, "amount": amount} | explicit
+    if graph_features:
+        return {"source": graph_features["source"], "target": graph_features["target"], "time": time, "amount": amount}
+    by_line: dict[str, list[str]] = {}
+    for column, line in relations.items():
+        by_line.setdefault(line, []).append(column)
+    ends = next((columns for columns in by_line.values() if len(columns) >= 2), None)
+    return {"source": ends[0], "target": ends[1], "time": time, "amount": amount} if ends else None
+
+
+#: Features of a chain and what divides them, so that they are shares of a cap.
+CHAIN_FEATURES = {"hop_count": 10.0, "is_cyclic": 1.0, "n_keys": 10.0, "amount_decay": 2.0}
+
+
+def chain_line(chains: DataFrame, features: dict[str, float] | None = None) -> DataFrame:
+    """An anchor table of chains: primary_key (a hash of the events), chain_keys and chain_events comma-joined, and features
+    from 0 to 1, capped at the values of `features`; a null one is 0."""
+    caps = CHAIN_FEATURES if features is None else features
+    counted = chains.withColumn("n_keys", F.size(F.array_distinct("keys")))
+    events = F.array_join(F.col("event_keys").cast("array<string>"), ",")
+    shares = [F.coalesce(F.least(F.greatest(F.col(n).cast("double") / cap, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias(n) for n, cap in caps.items()]
+    return counted.select(F.sha2(events, 256).alias("primary_key"), F.array_join(F.col("keys").cast("array<string>"), ",").alias("chain_keys"), events.alias("chain_events"), *shares)

@@ -89,9 +89,12 @@ def sphere_overview(geos: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def geometry_mode(geo: DataFrame, column: str, rows: int = 200) -> str:
-    """binary, continuous or mixed, by the number of values of a dimension in the first rows."""
-    distinct = geo.limit(rows).select(F.round(column, 6)).distinct().count()
+def geometry_mode(geo: DataFrame, column: str) -> str:
+    """binary, continuous or mixed, by the number of a dimension's values (at six digits) in all rows.
+
+    Few values meet in one small aggregate; of many, partial aggregates keep a sketch, which tells 5 from more.
+    """
+    distinct = geo.agg(F.approx_count_distinct(F.round(column, 6), 0.01)).first()[0]
     return "binary" if distinct <= 3 else "continuous" if distinct > 5 else "mixed"
 
 
@@ -191,10 +194,35 @@ def alerts(now: DataFrame, before: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.array(*found)).alias("x")).select("x.alert", F.round("x.value", 6).alias("value"), "x.raised")
 
 
-def segment_shifts(geo: DataFrame, columns: list[str], most_values: int = 50, least_ratio: float = 2.0) -> DataFrame:
-    """Segments (column, value) whose anomaly rate is at least `least_ratio` times the population's."""
-    counts = geo.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
-    kept = [c for c in columns if counts[c] <= most_values]
+def regime_alert(changes: DataFrame, now: float, days: int = 90) -> DataFrame:
+    """The alert that a regime change (timestamp in seconds) lies in the last `days` before `now`; value is their number."""
+    recent = changes.where((F.col("timestamp") >= now - days * 86_400) & (F.col("timestamp") <= now)).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return recent.select(F.lit("regime_changepoint").alias("alert"), "value", (F.col("value") > 0).alias("raised"))
+
+
+def staleness_alerts(drift: float, soft: float = DRIFT_SOFT, hard: float = DRIFT_HARD) -> list[tuple[str, float, bool]]:
+    """Alerts of a calibration that has drifted: blocked beyond `hard`, else stale beyond `soft`."""
+    return [("calibration_blocked", round(drift, 6), drift > hard), ("calibration_stale", round(drift, 6), soft < drift <= hard)]
+
+
+def temporal_hint(slices: DataFrame, key: str, entity, time: str = "window_start") -> DataFrame:
+    """Number of an entity's slices and the time of the last; no row without any."""
+    own = slices.where(F.col(key) == entity).agg(F.count(F.lit(1)).alias("num_slices"), F.max(time).alias("last"))
+    return own.where("num_slices > 0").select("num_slices", X.iso(F.col("last") * 1_000_000).alias("last_timestamp"))
+
+
+def effective_sample_size(population: int, share: float) -> int:
+    """Rows of a sample that is a share of the population, 1 at least."""
+    return max(1, int(population * share))
+
+
+def segment_shifts(geo: DataFrame, columns: list[str], most_values: int | None = 50, least_ratio: float = 2.0) -> DataFrame:
+    """Segments (column, value) whose anomaly rate is at least `least_ratio` times the population's; columns of more than
+    `most_values` values are names rather than segments and left out, unless it is None."""
+    kept = columns
+    if most_values is not None:
+        counts = geo.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
+        kept = [c for c in columns if counts[c] <= most_values]
     overall = geo.agg((F.count(F.when(F.col("is_anomaly"), 1)) / F.count(F.lit(1))).alias("overall"))
     listed = geo.select("is_anomaly", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in kept))).alias("s"))
     rates = listed.where("s.value is not null").groupBy("s.column", "s.value").agg(F.count(F.lit(1)).alias("size"), (F.count(F.when(F.col("is_anomaly"), 1)) / F.count(F.lit(1))).alias("rate"))

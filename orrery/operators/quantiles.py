@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +69,20 @@ def _interpolated(values: list[tuple[float, int]], rank: float) -> float:
     return lower + (upper - lower) * (rank - math.floor(rank))
 
 
+#: Tasks over which the rows of a frequent value are dealt out, in each range.
+SALTS = 256
+
+
 def with_global_rank(df: DataFrame, value: str, rank: str = "rank_below", rows: str | None = None, parts: int = 64) -> DataFrame:
     """`df` with the number of rows whose `value` is smaller, and optionally the number of all rows.
 
     Values are cut into `parts` ranges of about equal size; a window ranks inside a range, and the sizes of the ranges
-    before it, which are `parts` numbers, are added. No task sees more than its range.
+    before it, which are `parts` numbers, are added. A value that fills ranges of its own (inactive entities often share
+    one) needs no window: what lies below it is counted, and its rows are dealt out. So no task sees much more than a range.
     """
     bounds = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], ACCURACY).alias("b")).first()["b"] or []
+    frequent = sorted(v for v, n in Counter(bounds).items() if n > 1)
+    below = df.agg(*(F.count(F.when(F.col(value) < v, 1)).alias(f"b{i}") for i, v in enumerate(frequent))).first() if frequent else ()
     bounds = sorted(set(bounds))
     part = F.lit(0)
     if bounds:
@@ -87,8 +95,12 @@ def with_global_rank(df: DataFrame, value: str, rank: str = "rank_below", rows:
         n += sizes[p]
     for p, b in before:
         offset = F.when(F.col("__part") == p, F.lit(b).cast("long")).otherwise(offset)
-    own = F.rank().over(Window.partitionBy("__part").orderBy(value)) - 1
-    ranked = placed.withColumn(rank, own + offset)
+    is_frequent, known = F.lit(False), F.lit(None).cast("long")
+    for v, count in zip(frequent, below):
+        is_frequent, known = is_frequent | (F.col(value) == v), F.when(F.col(value) == v, F.lit(count).cast("long")).otherwise(known)
+    dealt = F.when(is_frequent, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0)
+    own = F.rank().over(Window.partitionBy("__part", "__dealt").orderBy(value)) - 1
+    ranked = placed.withColumn("__dealt", dealt).withColumn(rank, F.coalesce(known, own + offset)).drop("__dealt")
     if rows:
         ranked = ranked.withColumn(rows, F.lit(n).cast("long"))
     return ranked.drop("__part")

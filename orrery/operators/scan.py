@@ -123,12 +123,13 @@ def co_dispersion(a: DataFrame, b: DataFrame, key: str, least: int = 5) -> DataF
     """
     from orrery.operators.quantiles import with_global_rank
 
-    joined = a.select(key, F.col("norm").alias("na")).join(b.select(key, F.col("norm").alias("nb")), key)
+    joined = a.select(key, F.round("norm", 9).alias("na")).join(b.select(key, F.round("norm", 9).alias("nb")), key)
     ra = with_global_rank(joined, "na", "ra")
     rb = with_global_rank(ra, "nb", "rb")
-    tie_a = F.row_number().over(Window.partitionBy("ra").orderBy(key))
-    tie_b = F.row_number().over(Window.partitionBy("rb").orderBy(key))
-    exact = rb.select((F.col("ra") + tie_a).alias("x"), (F.col("rb") + tie_b).alias("y"))
+    # Rows of one value are put in order of key; a value that many rows share is one task.
+    exact = rb
+    for rank, x in (("ra", "x"), ("rb", "y")):
+        exact = exact.withColumn(x, F.col(rank) + F.row_number().over(Window.partitionBy(rank).orderBy(key)))
     return exact.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).select("n", F.when(F.col("n") >= least, F.col("r")).alias("spearman"))
 
 

@@ -200,7 +200,7 @@ def hybrid(near: DataFrame, text: DataFrame, key: str, alpha: float = 0.7, top:
 
 def contaminated(geo: DataFrame, key: str, deltas: list[str], k: int = 10, sample: int = 20, threshold: float = 0.5) -> DataFrame:
     """Normal neighbours of a hash-ordered sample of anomalies whose own neighbours are mostly anomalous."""
-    seeds = geo.where("is_anomaly").orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample)
+    seeds = geo.where("is_anomaly").orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(sample)
     around = neighbours_of(geo, seeds, key, deltas, k).select(F.col(key)).distinct()
     suspects = geo.where("not is_anomaly").join(around, key, "left_semi")
     shares = neighbours_of(geo, suspects, key, deltas, k).join(geo.select(key, "is_anomaly"), key).groupBy(F.col("query").alias(key)).agg(F.avg(F.col("is_anomaly").cast("int")).alias("contamination"))

@@ -142,6 +142,12 @@ def forecast(slices: DataFrame, key: str, deltas: list[str], theta: float, horiz
     return scored.withColumn("crosses", F.col("predicted_norm") >= theta).withColumn("reliability", X.reliability(F.col("num_slices"), F.col("r_squared")))
 
 
+def emerging(slices: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, horizon: int = 1) -> DataFrame:
+    """Entities that are no anomalies and whose forecast crosses theta."""
+    calm = geo.where("not is_anomaly").select(key)
+    return forecast(slices, key, deltas, theta, horizon).where("crosses").join(calm, key, "left_semi")
+
+
 def segment_crossing(slices: DataFrame, key: str, deltas: list[str], normal, bias: float, theta: float = math.inf) -> DataFrame:
     """Slices until an entity's signed distance from a hyperplane is predicted to change its sign; null if it never does."""
     signed = slices.withColumn("signed", X.signed_distance([F.col(d) for d in deltas], normal, bias))

@@ -95,20 +95,68 @@ def graph_neighborhood(spark, sf_dir):
     return G.neighborhood(edges(spark, sf_dir), SEED)
 
 
-@query("graph_influence")
+def _hop_sql() -> str:
+    dot = " + ".join("x.delta_{0} * y.delta_{0}".format(d) for d in S.SUPPLIER_DIMS)
+    either = " + ".join(f"(abs(x.delta_{d}) > x.theta / 2 OR abs(y.delta_{d}) > x.theta / 2)::INT" for d in S.SUPPLIER_DIMS)
+    both = " + ".join(f"(abs(x.delta_{d}) > x.theta / 2 AND abs(y.delta_{d}) > x.theta / 2)::INT" for d in S.SUPPLIER_DIMS)
+    return f"""(0.4 * CASE WHEN x.norm > 0 AND y.norm > 0 THEN ({dot}) / (x.norm * y.norm) ELSE 0 END
+ + 0.3 * CASE WHEN {either} > 0 THEN ({both})::DOUBLE / ({either}) ELSE 0 END
+ + 0.3 * CASE WHEN greatest(x.norm, y.norm) > 0 THEN least(x.norm, y.norm) / greatest(x.norm, y.norm) ELSE 0 END)"""
+
+
+HOP = _hop_sql()
+
+
+def _step_sql(step: int) -> str:
+    """The best score of each entity over paths of `step` steps, of which the last has tx_count events."""
+    return f"w{step} AS (SELECT key, max(s) AS score, arg_max(n, s) AS tx_count FROM (SELECT f.b AS key, w{step - 1}.score * f.f AS s, n FROM w{step - 1} JOIN f ON f.a = w{step - 1}.key) WHERE s >= 0.001 GROUP BY 1)"
+
+
+@query("graph_influence", f"""WITH {S.SUPPLIER_GEO}, {S.EDGES}, pairs AS (SELECT a, b, count(DISTINCT event_key) AS n FROM (SELECT from_key AS a, to_key AS b, event_key FROM edges WHERE from_key <> to_key UNION ALL SELECT to_key, from_key, event_key FROM edges WHERE from_key <> to_key) GROUP BY 1, 2),
+f AS (SELECT a, b, n, greatest({HOP}, 0.01) * (1 + ln(n)) * 0.7e0 AS f FROM pairs JOIN sgeo x ON x.s_suppkey = a JOIN sgeo y ON y.s_suppkey = b WHERE b <> {SEED}), w0 AS (SELECT {SEED} AS key, 1.0e0 AS score), {', '.join(map(_step_sql, (1, 2, 3)))},
+w AS (SELECT *, 1 AS depth FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, depth) AS r FROM w) SELECT key, round(score, 5) AS score, depth, tx_count FROM k WHERE r = 1""")
 def graph_influence(spark, sf_dir):
-    rows, _ = geo(spark, sf_dir)
-    return G.propagate_influence(edges(spark, sf_dir), rows, "s_suppkey", L.SUPPLIERS.deltas, [SEED])
+    rows, calibration = geo(spark, sf_dir)
+    found = G.propagate_influence(edges(spark, sf_dir), rows, "s_suppkey", L.SUPPLIERS.deltas, calibration.theta, [SEED])
+    return found.select("key", F.round("score", 5).alias("score"), F.col("depth").cast("int").alias("depth"), "tx_count")
+
+
+def _chains_sql(seeds: str, hops: int, backward: bool = False) -> str:
+    """CTEs up to `chains`: all simple paths in time order, one for each set of events."""
+    ways = "to_key AS f, from_key AS t, event_key AS e, -timestamp AS ts, amount AS am" if backward else "from_key AS f, to_key AS t, event_key AS e, timestamp AS ts, amount AS am"
+    return f"""WITH RECURSIVE {S.EDGES}, st AS (SELECT {ways} FROM edges WHERE from_key <> to_key),
+p AS (SELECT f AS seed, [f, t] AS keys, [e] AS ev, [am] AS ams, ts AS first, ts AS last, t AS tip FROM st WHERE f IN ({seeds})
+UNION ALL SELECT p.seed, list_append(p.keys, st.t), list_append(p.ev, st.e), list_append(p.ams, st.am), p.first, st.ts, st.t FROM p JOIN st ON st.f = p.tip AND st.ts >= p.last AND st.ts - p.last <= 604800
+WHERE p.tip <> p.seed AND (st.t = p.seed OR NOT list_contains(p.keys, st.t)) AND NOT list_contains(p.ev, st.e) AND len(p.ev) < {hops}),
+chains AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_sort(ev) ORDER BY seed, ev) AS r FROM p WHERE len(ev) >= 2) WHERE r = 1)"""
 
 
-@query("graph_discover_chains")
+_CHAIN = "array_to_string(keys, ',') AS keys, array_to_string(ev, ',') AS event_keys, len(ev)::INT AS hop_count, round((last - first) / 3600, 4) AS span_hours, tip = seed AS is_cyclic, round(CASE WHEN ams[1] <> 0 THEN ams[-1] / ams[1] END, 6) AS amount_decay"
+
+
+def _chain_columns() -> list:
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("keys", "event_keys")]
+    return ["seed", *joined, "hop_count", F.round("span_hours", 4).alias("span_hours"), "is_cyclic", F.round("amount_decay", 6).alias("amount_decay")]
+
+
+@query("graph_discover_chains", f"{_chains_sql(str(SEED), 3)} SELECT seed, {_CHAIN} FROM chains")
 def graph_discover_chains(spark, sf_dir):
-    return G.discover_chains(edges(spark, sf_dir), [SEED], hops=3)
+    return G.discover_chains(edges(spark, sf_dir), [SEED], hops=3).select(*_chain_columns())
 
 
-@query("graph_chain_statistics")
+@query("graph_chain_statistics", f"""{_chains_sql(f'{SEED}, {OTHER}', 2, True)} SELECT seed, {_CHAIN}, round(list_avg(ams), 4) AS amount_mean, round(list_stddev_pop(ams), 4) AS amount_std, round(CASE WHEN list_avg(ams) <> 0 THEN list_stddev_pop(ams) / list_avg(ams) ELSE 0 END, 6) AS amount_cv,
+list_min(ams) AS amount_min, list_max(ams) AS amount_max, len(list_distinct(keys))::INT AS n_keys FROM chains""")
 def graph_chain_statistics(spark, sf_dir):
-    return G.chain_statistics(G.discover_chains(edges(spark, sf_dir), [SEED, OTHER], hops=2, direction="backward"))
+    found = G.chain_statistics(G.discover_chains(edges(spark, sf_dir), [SEED, OTHER], hops=2, direction="backward"))
+    return found.select(*_chain_columns(), *(F.round(c, n).alias(c) for c, n in (("amount_mean", 4), ("amount_std", 4), ("amount_cv", 6))), "amount_min", "amount_max", "n_keys")
+
+
+_CAPPED = ", ".join(f"least(greatest({c}, 0), 1) AS {n}" for n, c in (("hop_count", "len(ev) / 10.0e0"), ("is_cyclic", "(tip = seed)::INT::DOUBLE"), ("n_keys", "len(list_distinct(keys)) / 10.0e0"), ("amount_decay", "coalesce(round(CASE WHEN ams[1] <> 0 THEN ams[-1] / ams[1] / 2 END, 6), 0)")))
+
+
+@query("graph_chain_line", f"{_chains_sql(str(SEED), 2)} SELECT sha256(array_to_string(ev, ',')) AS primary_key, array_to_string(keys, ',') AS chain_keys, array_to_string(ev, ',') AS chain_events, {_CAPPED} FROM chains")
+def graph_chain_line(spark, sf_dir):
+    return G.chain_line(G.discover_chains(edges(spark, sf_dir), [SEED], hops=2)).withColumn("amount_decay", F.round("amount_decay", 6))
 
 
 @query("graph_chain_seeds", f"""WITH {S.EDGES}, o AS (SELECT from_key AS key, count(DISTINCT to_key) AS od, count(*) AS oe FROM edges GROUP BY 1), i AS (SELECT to_key AS key, count(DISTINCT from_key) AS idg, count(*) AS ie FROM edges GROUP BY 1),
@@ -118,10 +166,14 @@ def graph_chain_seeds(spark, sf_dir):
     return G.chain_seeds(edges(spark, sf_dir))
 
 
-@query("graph_geometric_path")
+@query("graph_geometric_path", f"""WITH {S.SUPPLIER_GEO}, {S.EDGES}, {BOTH}, h AS (SELECT key, other, {HOP} AS hop FROM nb JOIN sgeo x ON x.s_suppkey = key JOIN sgeo y ON y.s_suppkey = other),
+one AS (SELECT [key, other] AS path, hop AS score FROM h WHERE key = {SEED} AND other = {OTHER}),
+two AS (SELECT [a.key, a.other, b.other] AS path, (a.hop + b.hop) / 2 AS score FROM h a JOIN h b ON a.other = b.key WHERE a.key = {SEED} AND b.other = {OTHER} AND a.other <> {OTHER} AND NOT EXISTS (SELECT 1 FROM one))
+SELECT array_to_string(path, ',') AS path, len(path)::INT - 1 AS n_hops, round(score, 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""")
 def graph_geometric_path(spark, sf_dir):
     rows, calibration = geo(spark, sf_dir)
-    return G.geometric_path(edges(spark, sf_dir), rows, "s_suppkey", L.SUPPLIERS.deltas, calibration.theta, SEED, OTHER)
+    found = G.geometric_path(edges(spark, sf_dir), rows, "s_suppkey", L.SUPPLIERS.deltas, calibration.theta, SEED, OTHER, beam=None, depth=2)
+    return found.select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "n_hops", F.round("score", 6).alias("score"))
 
 
 _P = " + ".join("x.delta_{0} * y.delta_{0}".format(d) for d in S.SUPPLIER_DIMS)

@@ -9,6 +9,7 @@ from orrery.operators import graph as G
 from orrery.operators import observe, similar, temporal
 from orrery.plans import lines as L
 from orrery.plans import sql as S
+from orrery.plans import graph_queries as GR
 from orrery.plans import time_queries as T
 from orrery.plans.registry import query
 
@@ -80,13 +81,13 @@ def witness_overlap(spark, sf_dir):
     return rows.select(K, F.round(X.jaccard(F.col("witness"), F.array(F.lit("order_sum"), F.lit("order_count"))), 6).alias("overlap"))
 
 
-@query("chains_of_entities")
+@query("chains_of_entities", f"{GR._chains_sql('7', 2)} SELECT key, count(*) AS n_chains FROM (SELECT DISTINCT ev, unnest(keys) AS key FROM chains) GROUP BY 1")
 def chains_of_entities(spark, sf_dir):
     chains = G.discover_chains(L.hand_overs(spark, sf_dir), [7], hops=2).withColumn("chain_id", F.sha2(F.array_join("event_keys", ","), 256))
     return G.chain_members(chains).groupBy("key").agg(F.count_distinct("chain_id").alias("n_chains"))
 
 
-@query("geometry_mode")
+@query("geometry_mode", f"{GEO} " + " UNION ALL ".join(f"SELECT 'shape_{d}' AS dimension, CASE WHEN count(DISTINCT round(shape_{d}, 6)) <= 3 THEN 'binary' WHEN count(DISTINCT round(shape_{d}, 6)) > 5 THEN 'continuous' ELSE 'mixed' END AS mode FROM geo" for d in DIMS))
 def geometry_mode(spark, sf_dir):
     rows = geo(spark, sf_dir)
     return spark.createDataFrame([(d, observe.geometry_mode(rows, d)) for d in L.CUSTOMERS.shapes], "dimension string, mode string")

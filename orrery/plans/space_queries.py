@@ -213,18 +213,36 @@ def find_witness_cohort(spark, sf_dir):
     return similar.cohort(rows, "s_suppkey", L.SUPPLIERS.names, L.SUPPLIERS.deltas, 7, c.theta, connected)
 
 
-@query("neighbor_contamination")
+def _knn(name: str, queries: str, k: int = 10) -> str:
+    """CTE: the k nearest of each row of `queries` (c_custkey and deltas), ties to the smaller key."""
+    distance = "sqrt(" + " + ".join(f"pow(g.delta_{d} - q.delta_{d}, 2)" for d in DIMS) + ")"
+    return f"{name} AS (SELECT * FROM (SELECT q.c_custkey AS query, g.c_custkey, g.is_anomaly, row_number() OVER (PARTITION BY q.c_custkey ORDER BY {distance}, g.c_custkey) AS rank FROM {queries} q JOIN geo g ON g.c_custkey <> q.c_custkey) WHERE rank <= {k})"
+
+
+def _next_sql(step: int) -> str:
+    """CTE: the nearest anomaly to the one met in the step before, among those not met."""
+    distance = "sqrt(" + " + ".join(f"pow(g.delta_{d} - q.delta_{d}, 2)" for d in DIMS) + ")"
+    met = " UNION ALL ".join(f"SELECT c_custkey FROM s{i}" for i in range(step))
+    return f"s{step} AS (SELECT g.* FROM geo g, s{step - 1} q WHERE g.is_anomaly AND g.c_custkey NOT IN ({met}) ORDER BY {distance}, g.c_custkey LIMIT 1)"
+
+
+@query("neighbor_contamination", f"""{GEO}, seeds AS (SELECT * FROM geo WHERE is_anomaly ORDER BY md5(c_custkey::VARCHAR), c_custkey LIMIT 20), {_knn('around', 'seeds')}, suspects AS (SELECT * FROM geo WHERE NOT is_anomaly AND c_custkey IN (SELECT c_custkey FROM around)), {_knn('own', 'suspects')}
+SELECT query AS c_custkey, round(avg(is_anomaly::INT), 6) AS contamination FROM own GROUP BY 1 HAVING avg(is_anomaly::INT) >= 0.5""")
 def neighbor_contamination(spark, sf_dir):
-    return similar.contaminated(geo(spark, sf_dir), K, DELTAS)
+    return similar.contaminated(geo(spark, sf_dir), K, DELTAS).withColumn("contamination", F.round("contamination", 6))
 
 
-@query("hub_anomaly_concentration")
+_HUB = " + ".join(f"least(greatest(shape_{d}, 0), 1) * em_{d}" for d in DIMS)
+
+
+@query("hub_anomaly_concentration", f"""{GEO}, hubs AS (SELECT geo.* FROM geo, geo_em ORDER BY {_HUB} DESC, c_custkey LIMIT 20), {_knn('own', 'hubs')} SELECT query AS c_custkey, round(avg(is_anomaly::INT), 6) AS anomalous_share FROM own GROUP BY 1 HAVING avg(is_anomaly::INT) >= 0.5""")
 def hub_anomaly_concentration(spark, sf_dir):
     rows, c = L.customer_geometry(spark, sf_dir)
-    return similar.hub_concentration(rows, O.hubs(rows, K, SHAPES, [c.edge_max[d] for d in DIMS], 20), K, DELTAS)
+    found = similar.hub_concentration(rows, O.hubs(rows, K, SHAPES, [c.edge_max[d] for d in DIMS], 20), K, DELTAS)
+    return found.withColumn("anomalous_share", F.round("anomalous_share", 6))
 
 
-@query("explain_anomaly_chain")
+@query("explain_anomaly_chain", f"{GEO}, s0 AS (SELECT * FROM geo WHERE c_custkey = {REF}), {', '.join(map(_next_sql, (1, 2, 3)))} " + " UNION ALL ".join(f"SELECT {i} AS step, c_custkey FROM s{i}" for i in range(4)))
 def explain_anomaly_chain(spark, sf_dir):
     keys = similar.explanation_chain(geo(spark, sf_dir), K, DELTAS, REF)
     return spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "step int, c_custkey long")
@@ -254,7 +272,12 @@ def embedding_neighbours(spark, sf_dir):
     return got.select("query", "vec_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("search_hybrid")
+_NEAR = "sqrt(list_sum(list_transform(list_zip(a.embedding, e.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))))"
+
+
+@query("search_hybrid", f"""WITH {FTS}, near AS (SELECT e.vec_id AS doc_id, {_NEAR} AS distance FROM embeddings a, embeddings e WHERE a.vec_id = 0 AND e.vec_id <> 0 ORDER BY distance, e.vec_id LIMIT 20), tx AS (SELECT doc_id, score AS bm25 FROM b WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50),
+j AS (SELECT doc_id, distance, bm25 FROM near FULL JOIN tx USING (doc_id)), m AS (SELECT max(distance) AS md, max(bm25) AS ms FROM j), v AS (SELECT doc_id, coalesce(CASE WHEN md > 0 THEN 1 - distance / md WHEN distance IS NOT NULL THEN 1 END, 0) AS v, coalesce(CASE WHEN ms > 0 THEN bm25 / ms END, 0) AS w FROM j, m)
+SELECT doc_id, round(v, 4) AS vector_score, round(w, 4) AS text_score, round(0.7 * v + 0.3 * w, 4) AS final_score FROM v ORDER BY final_score DESC, doc_id LIMIT 10""")
 def search_hybrid(spark, sf_dir):
     rows = embedding_rows(spark, sf_dir)
     near = similar.nearest(rows, "vec_id", EMBEDDED, 0, 20).select(F.col("vec_id").alias("doc_id"), "distance")
@@ -314,10 +337,11 @@ def scan_graph(spark, sf_dir):
     return scan.contagious(stats, "contagion", "key", 0.05).withColumn("intensity", F.round("intensity", 6))
 
 
-@query("co_dispersion")
+@query("co_dispersion", f"""{GEO}, {S.SALES_GEO}, j AS (SELECT geo.c_custkey, round(geo.norm, 9) AS na, round(e.norm, 9) AS nb FROM geo JOIN (SELECT o_custkey, max(norm) AS norm FROM egeo GROUP BY 1) e ON o_custkey = geo.c_custkey),
+x AS (SELECT row_number() OVER (ORDER BY na, c_custkey) AS x, row_number() OVER (ORDER BY nb, c_custkey) AS y FROM j) SELECT count(*) AS n, round(corr(x, y), 5) AS spearman FROM x""")
 def co_dispersion(spark, sf_dir):
     events = L.sales_geometry(spark, sf_dir)[0].groupBy(F.col("o_custkey").alias(K)).agg(F.max("norm").alias("norm"))
-    return scan.co_dispersion(geo(spark, sf_dir), events, K)
+    return scan.co_dispersion(geo(spark, sf_dir), events, K).withColumn("spearman", F.round("spearman", 5))
 
 
 @query("subgroup_inflation", f"{GEO}, o AS (SELECT avg(conformal_p) AS overall FROM geo) SELECT c_nationkey AS group_key, count(*) AS size, round(avg(conformal_p), 6) AS mean_p, round(any_value(overall) / avg(conformal_p), 6) AS inflation FROM geo, o GROUP BY 1 HAVING any_value(overall) / avg(conformal_p) >= 1.1")

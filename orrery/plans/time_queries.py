@@ -101,37 +101,52 @@ def temporal_quality_summary(spark, sf_dir):
     return temporal.temporal_quality(slices(spark, sf_dir)[0], K).select("transitions", "persisted", *r("persistence"), "signal")
 
 
-def _forecast_sql() -> str:
-    sums = ", ".join(f"sum(w * delta_{d}) AS sy_{d}, sum(w * i * delta_{d}) AS sty_{d}" for d in DIMS)
+def _forecast_sql(select: str) -> str:
+    """`select` over `q`: each customer's slices, predicted norm, mean fit and theta."""
+    sums = ", ".join(f"sum(w * delta_{d}) AS sy_{d}, sum(w * i * delta_{d}) AS sty_{d}, sum(w * delta_{d} * delta_{d}) AS syy_{d}" for d in DIMS)
     slope = {d: f"CASE WHEN abs(sw * stt - st * st) > 1e-12 THEN (sw * sty_{d} - st * sy_{d}) / (sw * stt - st * st) ELSE 0 END" for d in DIMS}
     point = " + ".join(f"pow((sy_{d} - {slope[d]} * st) / sw + {slope[d]} * (n + 1), 2)" for d in DIMS)
+    whole = {d: f"(syy_{d} - sy_{d} * sy_{d} / sw)" for d in DIMS}
+    fits = " + ".join(f"CASE WHEN {whole[d]} > 1e-12 THEN least(greatest(pow({slope[d]}, 2) * (stt - st * st / sw) / {whole[d]}, 0), 1) ELSE 1 END" for d in DIMS)
     return f"""{WITH}, p AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY slice)::DOUBLE AS i, count(*) OVER (PARTITION BY c_custkey)::DOUBLE AS n FROM slices), w AS (SELECT *, exp(-0.3e0 * (n - i)) AS w FROM p),
-a AS (SELECT c_custkey, max(n) AS n, sum(w) AS sw, sum(w * i) AS st, sum(w * i * i) AS stt, {sums} FROM w GROUP BY 1 HAVING max(n) >= 3) SELECT c_custkey, n::BIGINT AS num_slices, round(sqrt({point}), 5) AS predicted_norm FROM a"""
+a AS (SELECT c_custkey, max(n) AS n, sum(w) AS sw, sum(w * i) AS st, sum(w * i * i) AS stt, {sums} FROM w GROUP BY 1 HAVING max(n) >= 3), q AS (SELECT c_custkey, n::BIGINT AS num_slices, sqrt({point}) AS predicted_norm, ({fits}) / {len(DIMS)} AS fit, theta FROM a, geo_theta) {select}"""
 
 
-@query("solid_forecast", _forecast_sql())
+@query("solid_forecast", _forecast_sql("SELECT c_custkey, num_slices, round(predicted_norm, 5) AS predicted_norm FROM q"))
 def solid_forecast(spark, sf_dir):
     rows, calibration = slices(spark, sf_dir)
     return temporal.forecast(rows, K, DELTAS, calibration.theta).select(K, "num_slices", *r("predicted_norm", digits=5))
 
 
-@query("forecast_reliability")
+_BAND = "CASE WHEN num_slices >= 10 AND fit >= 0.7 THEN 'high' WHEN num_slices >= 5 OR fit >= 0.4 THEN 'medium' ELSE 'low' END"
+
+
+@query("forecast_reliability", _forecast_sql(f"SELECT {_BAND} AS reliability, predicted_norm >= theta AS crosses, count(*) AS count FROM q GROUP BY 1, 2"))
 def forecast_reliability(spark, sf_dir):
     rows, calibration = slices(spark, sf_dir)
     return temporal.forecast(rows, K, DELTAS, calibration.theta).groupBy("reliability", "crosses").count()
 
 
-@query("emerging_anomalies")
+@query("emerging_anomalies", _forecast_sql("SELECT c_custkey, round(predicted_norm, 5) AS predicted_norm FROM q JOIN geo USING (c_custkey) WHERE predicted_norm >= q.theta AND NOT is_anomaly"))
 def emerging_anomalies(spark, sf_dir):
     rows, calibration = slices(spark, sf_dir)
-    calm = L.customer_geometry(spark, sf_dir)[0].where("not is_anomaly").select(K)
-    return temporal.forecast(rows, K, DELTAS, calibration.theta).where("crosses").join(calm, K, "left_semi").select(K, *r("predicted_norm"))
+    return temporal.emerging(rows, L.customer_geometry(spark, sf_dir)[0], K, DELTAS, calibration.theta).select(K, *r("predicted_norm", digits=5))
 
 
-@query("forecast_segment_crossing")
+@query("forecast_segment_crossing", f"""{WITH}, sx AS (SELECT c_custkey, delta_order_sum + 2.0e0 AS signed, row_number() OVER (PARTITION BY c_custkey ORDER BY slice)::DOUBLE AS i FROM slices),
+fx AS (SELECT c_custkey, count(*) AS n, regr_slope(signed, i) AS b, regr_intercept(signed, i) AS a, arg_max(signed, i) AS now FROM sx GROUP BY 1 HAVING count(*) >= 3), zx AS (SELECT *, -a / b AS zero FROM fx WHERE b <> 0)
+SELECT c_custkey, n, round(now, 6) AS now, ceil(zero - n)::BIGINT AS slices_to_crossing FROM zx WHERE zero > n AND sign(now) <> sign(a + b * (zero + 1))""")
 def forecast_segment_crossing(spark, sf_dir):
     rows, _ = slices(spark, sf_dir)
-    return temporal.segment_crossing(rows, K, DELTAS, (0.0, 1.0, 0.0, 0.0), -2.0).where("slices_to_crossing is not null")
+    found = temporal.segment_crossing(rows, K, DELTAS, (0.0, 1.0, 0.0, 0.0), -2.0).where("slices_to_crossing is not null")
+    return found.select(K, "n", *r("now"), F.col("slices_to_crossing").cast("long").alias("slices_to_crossing"))
+
+
+@query("temporal_hint", f"{WITH} SELECT count(*) AS num_slices, strftime(to_timestamp(max(window_start)), '%Y-%m-%dT%H:%M:%S+00:00') AS last_timestamp FROM slices WHERE c_custkey = 17 HAVING count(*) > 0")
+def temporal_hint(spark, sf_dir):
+    from orrery.operators import observe
+
+    return observe.temporal_hint(slices(spark, sf_dir)[0], K, 17)
 
 
 @query("temporal_burst", """WITH m AS (SELECT user_id, max(n) AS max_events FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS n FROM events WHERE user_id IS NOT NULL) GROUP BY 1), s AS (SELECT avg(max_events) AS m, stddev_pop(max_events) AS s FROM m)
