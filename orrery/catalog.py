@@ -118,6 +118,37 @@ class Navigator:
         own = self._of(pattern_id)
         return observe.data_quality(own.geometry, own.pattern.names, own.pattern.shapes, own.pattern.deltas)
 
+    def discover(self, pattern_id: str, borderline: bool = False, contagion: DataFrame | None = None, rank: float = 80.0) -> list[DataFrame]:
+        """Sources that say something about the entities of a population: itself and others with its key, populations of
+        composite keys and of chains, and the contagion statistics of a graph (key, neighbor_count, ...) if given."""
+        home, sources = self._of(pattern_id), []
+        for n, p in sorted(self.populations.items()):
+            kind = "direct" if p.pattern.key == home.pattern.key else scan.key_type(p.geometry, p.pattern.key)
+            if kind == "chain":
+                sources.append(scan.chains(p.geometry.withColumn("__chain", F.split("chain_keys", ",")), n, "__chain"))
+            elif kind == "composite":
+                sources.append(scan.composite(p.geometry, n, p.pattern.key))
+            elif p.pattern.key == home.pattern.key:
+                sources.append(scan.direct(p.geometry, n, p.pattern.key))
+                if borderline:
+                    sources.append(scan.borderline(p.geometry, f"{n}-borderline", p.pattern.key, rank))
+        if contagion is not None:
+            sources.append(scan.contagious(contagion, "graph", "key"))
+        return sources
+
+    def edge_pattern_of(self, pattern_id: str) -> str | None:
+        """The event population whose relations name the anchor population's line most often; None if none does."""
+        own = self._of(pattern_id)
+        counts = {n: sum(d.line == own.pattern.pattern_id or d.line == own.pattern.key for d in p.pattern.dimensions) for n, p in sorted(self.populations.items()) if p.pattern.pattern_type == "event"}
+        best = max(counts, key=counts.get, default=None)
+        return best if best and counts[best] else None
+
+    def anchor_pattern_of(self, event_pattern: str) -> str | None:
+        """The anchor population that an event population's relations name most often; None if they name none."""
+        lines = [d.line for d in self._of(event_pattern).pattern.dimensions if d.line]
+        found = [n for n, p in sorted(self.populations.items()) if p.pattern.pattern_type != "event" and (n in lines or p.pattern.key in lines)]
+        return max(found, key=lambda n: lines.count(n) + lines.count(self.populations[n].pattern.key), default=None)
+
     def passive_scan(self, key: str, threshold: int = 2, top: int = 100, borderline: bool = False) -> DataFrame:
         """Entities that several populations with the key flag."""
         own = [(n, p) for n, p in sorted(self.populations.items()) if p.pattern.key == key]

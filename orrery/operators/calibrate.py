@@ -6,6 +6,8 @@ inside generated code. The array form is put together at the end only.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +141,24 @@ def group_statistics(shaped: DataFrame, pattern: Pattern, share: float) -> dict[
     }
 
 
+def component_calibration(df: DataFrame, pattern: Pattern, components: int = 5, seed: int = 42, rounds: int = 30) -> tuple[DataFrame, Calibration]:
+    """k-means components of the shapes, each with its own mean, spread and threshold: the rows with `component`, and a
+    calibration by that group, which score() takes with pattern.group_by = "component"."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    edge_max = resolve_edge_maxima(df, pattern)
+    shaped = df.select("*", *shape_columns(pattern, edge_max))
+    vectors = VectorAssembler(inputCols=pattern.shapes, outputCol="__v").transform(shaped)
+    model = KMeans(k=components, seed=seed, maxIter=rounds, featuresCol="__v", predictionCol="component").fit(vectors)
+    placed = model.transform(vectors).drop("__v")
+    own = replace(pattern, group_by="component")
+    mu, sigma, _, rows = _moments(placed, own)
+    calibration = Calibration(edge_max, mu, sigma, 0.0, rows)
+    calibration.groups = group_statistics(placed, own, pattern.anomaly_percentile / 100)
+    return placed.drop(*pattern.shapes), calibration
+
+
 def group_deltas(df: DataFrame, pattern: Pattern, calibration: Calibration) -> DataFrame:
     """Deltas and `theta` of each row by its group's statistics, joined from a table of groups."""
     spark = df.sparkSession

@@ -194,9 +194,9 @@ def alerts(now: DataFrame, before: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.array(*found)).alias("x")).select("x.alert", F.round("x.value", 6).alias("value"), "x.raised")
 
 
-def regime_alert(changes: DataFrame, now: float, days: int = 90) -> DataFrame:
-    """The alert that a regime change (timestamp in seconds) lies in the last `days` before `now`; value is their number."""
-    recent = changes.where((F.col("timestamp") >= now - days * 86_400) & (F.col("timestamp") <= now)).agg(F.count(F.lit(1)).cast("double").alias("value"))
+def regime_alert(changes: DataFrame, now: float, days: int = 90, time: str = "window_start") -> DataFrame:
+    """The alert that a regime change (`time` in seconds) lies in the last `days` before `now`; value is their number."""
+    recent = changes.where((F.col(time) >= now - days * 86_400) & (F.col(time) <= now)).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return recent.select(F.lit("regime_changepoint").alias("alert"), "value", (F.col("value") > 0).alias("raised"))
 
 

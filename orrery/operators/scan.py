@@ -109,13 +109,31 @@ def risk_profile(hits: list[DataFrame]) -> DataFrame:
     return all_.groupBy("key").agg(F.sum(F.col("anomalous") / F.col("related")).alias("risk_score"), F.count_distinct("source").alias("source_count"))
 
 
-def connected_risk(geo: DataFrame, key: str, entity: str, ranks: DataFrame, rank_key: str, separator: str = "→", most: int = 50) -> DataFrame:
-    """Mean rank of an entity's counterparties in anomalous composite keys."""
+def connected_risk(geo: DataFrame, key: str, entity: str, ranks: DataFrame, rank_key: str, separator: str = "→", most: int | None = 50) -> DataFrame:
+    """Mean rank of an entity's counterparties in anomalous composite keys; of the first `most`, or of all if it is None."""
     parts = F.split(F.col(key), F.lit(separator))
-    held = geo.where(F.col("is_anomaly") & F.array_contains(parts, entity)).select(F.explode(parts).alias("other")).where(F.col("other") != entity).distinct().orderBy("other").limit(most)
+    held = geo.where(F.col("is_anomaly") & F.array_contains(parts, entity)).select(F.explode(parts).alias("other")).where(F.col("other") != entity).distinct()
+    if most is not None:
+        held = held.orderBy("other").limit(most)
     return held.join(ranks.select(F.col(rank_key).cast("string").alias("other"), "delta_rank_pct"), "other").agg(F.count(F.lit(1)).alias("counterparties"), F.avg("delta_rank_pct").alias("mean_rank"))
 
 
+def composite_profile(geo: DataFrame, key: str, entity: str, separator: str = "→", most: int = 20) -> DataFrame:
+    """Of the composite keys that an entity begins or ends: their number, the anomalous ones, their largest norm and the
+    first `most` anomalous keys in order; no row without any."""
+    own = geo.where(F.col(key).startswith(f"{entity}{separator}") | F.col(key).endswith(f"{separator}{entity}"))
+    worst = own.where("is_anomaly").orderBy(key).limit(most).agg(F.array_sort(F.collect_list(key)).alias("anomalous_keys"))
+    counted = own.agg(F.count(F.lit(1)).alias("related"), F.count(F.when(F.col("is_anomaly"), 1)).alias("anomalous"), F.round(F.coalesce(F.max(F.when(F.col("is_anomaly"), F.col("norm"))), F.lit(0.0)), 4).alias("max_norm"))
+    return counted.where("related > 0").join(F.broadcast(worst))
+
+
+def key_type(geo: DataFrame, key: str, separator: str = "→") -> str:
+    """How a population's keys name entities: chain, if it has chain_keys; composite, if a key holds the separator; else direct."""
+    if "chain_keys" in geo.columns:
+        return "chain"
+    return "composite" if dict(geo.dtypes)[key] == "string" and geo.where(F.col(key).contains(separator)).take(1) else "direct"
+
+
 def co_dispersion(a: DataFrame, b: DataFrame, key: str, least: int = 5) -> DataFrame:
     """Spearman correlation of two populations' norms over the entities of both; null for fewer than `least`.
 

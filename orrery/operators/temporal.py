@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,6 +144,55 @@ def forecast(slices: DataFrame, key: str, deltas: list[str], theta: float, horiz
     return scored.withColumn("crosses", F.col("predicted_norm") >= theta).withColumn("reliability", X.reliability(F.col("num_slices"), F.col("r_squared")))
 
 
+class ForecastProvider(Protocol):
+    """A forecaster of one's own: of an entity's history (slices x dimensions, in order) and of a population's series."""
+
+    def forecast_entity(self, key, history: np.ndarray, horizon: int) -> np.ndarray | None: ...
+
+    def forecast_population(self, series: list[float], horizon: int) -> float | None: ...
+
+
+class Extrapolation:
+    """The engine's own provider: weighted linear regression of each dimension and of a population's series."""
+
+    def _ahead(self, values: np.ndarray, horizon: int) -> np.ndarray:
+        n = len(values)
+        at = np.arange(1, n + 1)
+        weights = np.exp(-X.FORECAST_DECAY * (n - at))
+        slope, start = np.polyfit(at, values, 1, w=np.sqrt(weights))
+        return start + slope * (n + horizon)
+
+    def forecast_entity(self, key, history: np.ndarray, horizon: int) -> np.ndarray | None:
+        return self._ahead(history, horizon) if len(history) >= 3 else None
+
+    def forecast_population(self, series: list[float], horizon: int) -> float | None:
+        return float(self._ahead(np.asarray(series, float), horizon)) if len(series) >= 3 else None
+
+
+def forecast_with(slices: DataFrame, key: str, deltas: list[str], provider: ForecastProvider, horizon: int = 1) -> DataFrame:
+    """key, num_slices and predicted_norm of each entity that the provider has a forecast for.
+
+    An entity's slices are as many as its time windows; they meet in one Python group.
+    """
+    kind = dict(slices.dtypes)[key]
+
+    def one(pdf):
+        import pandas as pd
+
+        own = pdf.sort_values("slice")
+        found = provider.forecast_entity(own[key].iloc[0], own[deltas].to_numpy(), horizon)
+        rows = [] if found is None else [(own[key].iloc[0], len(own), float(np.linalg.norm(found)))]
+        return pd.DataFrame(rows, columns=[key, "num_slices", "predicted_norm"])
+
+    return slices.select(key, "slice", *deltas).groupBy(key).applyInPandas(one, f"`{key}` {kind}, num_slices long, predicted_norm double")
+
+
+def forecast_population(slices: DataFrame, provider: ForecastProvider, horizon: int = 1) -> DataFrame:
+    """The anomaly rate that the provider expects `horizon` windows ahead, from the rates of all windows, a row each."""
+    series = [r.rate for r in slices.groupBy("slice").agg(F.avg(F.col("is_anomaly").cast("int")).alias("rate")).orderBy("slice").collect()]
+    return slices.sparkSession.createDataFrame([(len(series), provider.forecast_population(series, horizon))], "windows int, expected_rate double")
+
+
 def emerging(slices: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, horizon: int = 1) -> DataFrame:
     """Entities that are no anomalies and whose forecast crosses theta."""
     calm = geo.where("not is_anomaly").select(key)

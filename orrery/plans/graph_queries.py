@@ -82,11 +82,14 @@ def graph_coverage(spark, sf_dir):
     return G.investigation_coverage(edges(spark, sf_dir), SEED, explored, geo(spark, sf_dir)[0], "s_suppkey").withColumn("coverage", F.round("coverage", 6))
 
 
-@query("graph_anomalous_edges", f"WITH {S.EDGES}, a AS (SELECT event_key, amount FROM edges WHERE (from_key = {SEED} AND to_key = {OTHER}) OR (from_key = {OTHER} AND to_key = {SEED})) SELECT event_key, amount AS norm FROM a ORDER BY amount DESC, event_key LIMIT 10")
+_ORDERS = "hand AS (SELECT o_custkey AS from_key, o_orderstatus AS to_key, o_orderkey AS event_key FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderstatus <> '')"
+
+
+@query("graph_anomalous_edges", f"WITH {S.SALES_GEO}, {_ORDERS} SELECT event_key, round(norm, 6) AS norm, is_anomaly FROM hand JOIN egeo ON o_orderkey = event_key WHERE from_key = {SEED} AND to_key = 'O' ORDER BY egeo.norm DESC, event_key LIMIT 10")
 def graph_anomalous_edges(spark, sf_dir):
-    table = edges(spark, sf_dir)
-    events = table.select(F.col("event_key").alias("key"), F.col("amount").alias("norm"), F.lit(False).alias("is_anomaly"))
-    return G.anomalous_edges(table, SEED, OTHER, events, "key").select("event_key", "norm")
+    """Orders of a customer in one state, by the norms of the population of orders."""
+    table = G.extract_edges(L.table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string")), "o_custkey", "o_orderstatus", "o_orderkey")
+    return G.anomalous_edges(table, str(SEED), "O", L.sales_geometry(spark, sf_dir)[0], "o_orderkey").select("event_key", F.round("norm", 6).alias("norm"), "is_anomaly")
 
 
 @query("graph_neighborhood", f"""WITH {S.EDGES}, {BOTH}, one AS (SELECT DISTINCT other AS key FROM nb WHERE key = {SEED}), two AS (SELECT DISTINCT nb.other AS key FROM one JOIN nb ON nb.key = one.key WHERE nb.other <> {SEED} AND nb.other NOT IN (SELECT key FROM one))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from orrery.operators import calibrate
+from orrery.operators import calibrate, similar
 from orrery.plans import lines as L
 from orrery.plans import sql as S
 from orrery.plans.registry import query
@@ -55,9 +57,11 @@ def missing_edges(spark, sf_dir):
 
 @query("common_relations", "SELECT l_suppkey::VARCHAR AS point_key FROM lineitem WHERE l_partkey = 5 INTERSECT SELECT l_suppkey::VARCHAR FROM lineitem WHERE l_partkey = 6")
 def common_relations(spark, sf_dir):
-    items = L.table(spark, sf_dir, "lineitem")
-    of = lambda part: items.where(F.col("l_partkey") == part).select(F.col("l_suppkey").cast("string").alias("point_key"))
-    return of(5).intersect(of(6))
+    items = readers.with_edges(L.table(spark, sf_dir, "lineitem"), {"supplier": "l_suppkey"}).where("l_partkey in (5, 6)")
+    # The edges of two polygons, the parts 5 and 6: as many as their suppliers.
+    edges = items.groupBy("l_partkey").agg(F.array_distinct(F.flatten(F.collect_list(readers.alive_edges(F.col("edges"))))).alias("edges"))
+    five, six = (edges.where(F.col("l_partkey") == part).select(F.col("edges").alias(f"e{part}")) for part in (5, 6))
+    return five.join(F.broadcast(six)).select(F.explode(similar.common_relations(F.col("e5"), F.col("e6"))["point_key"]).alias("point_key"))
 
 
 @query("update_points", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_name END AS c_name FROM customer")
@@ -68,8 +72,43 @@ def update_points(spark, sf_dir):
 
 @query("delete_points", "SELECT c_custkey FROM customer WHERE c_nationkey <> 3")
 def delete_points(spark, sf_dir):
-    rows = L.table(spark, sf_dir, "customer")
-    return rows.join(rows.where("c_nationkey = 3").select("c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    own, rows = scratch(spark), L.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    own.write("points", "customers", rows)
+    own.delete("points", "customers", rows.where("c_nationkey = 3").select("c_custkey"), "c_custkey")
+    return own.read("points", "customers").select("c_custkey")
+
+
+@query("append_edges", f"WITH {S.EDGES} SELECT from_key, count(*) AS n FROM edges GROUP BY 1")
+def append_edges(spark, sf_dir):
+    own, edges = scratch(spark), L.hand_overs(spark, sf_dir)
+    own.write("edges", "lines", edges.where("amount < 30000"))
+    own.append("edges", "lines", edges.where("amount >= 30000"))
+    return own.read("edges", "lines").groupBy("from_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("append_geometry", f"WITH {S.CUSTOMER_GEO} SELECT c_custkey, round(delta_rank_pct, 6) AS delta_rank_pct FROM geo")
+def append_geometry(spark, sf_dir):
+    """A population of which a part is written, the rest is appended, and a part is written again."""
+    own, rows = scratch(spark), store.materialise(L.customer_geometry(spark, sf_dir)[0])
+    own.write("geometry", "customers", rows.where("c_custkey % 3 > 0"))
+    own.append_geometry("customers", rows.where("c_custkey % 3 = 0 or c_custkey % 2 = 0"), "c_custkey")
+    return own.read("geometry", "customers").select("c_custkey", F.round("delta_rank_pct", 6).alias("delta_rank_pct"))
+
+
+@query("purge_temporal", "SELECT agent, count(*) AS n FROM (SELECT NULL AS agent, user_id FROM events WHERE user_id % 3 = 0 UNION ALL SELECT 'b', user_id FROM events WHERE user_id % 3 = 2) GROUP BY 1")
+def purge_temporal(spark, sf_dir):
+    """Slices of all and of two agents, of whom one is purged; then few files."""
+    own, rows = scratch(spark), L.table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("slice"))
+    for agent, rest in ((None, 0), ("a", 1), ("b", 2)):
+        own.append_temporal("events", rows.where(F.col("user_id") % 3 == rest), agent)
+    own.purge_temporal("events", "a")
+    own.compact_temporal("events", "user_id")
+    return own.read("temporal", "events").groupBy(F.col("agent_id").alias("agent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scratch(spark) -> store.Store:
+    """A new store in the shared folder."""
+    return store.Store(spark, f"{store.shared_folder(spark)}/orrery-store-{uuid.uuid4().hex}")
 
 
 @query("count_geometry_rows", f"WITH {S.CUSTOMER_GEO} SELECT count(*) AS n FROM geo WHERE is_anomaly AND norm >= 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 import os
 from dataclasses import dataclass, field
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.plans.spec import MissingTable
+from orrery.sources.store import exists, shared_folder
 
 # The types that transforms cast to.
 CASTS = {"string": "string", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "bool": "boolean"}
@@ -77,8 +79,11 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transform(df: DataFrame, transforms: dict[str, dict]) -> DataFrame:
-    """Per column: fill_null first, then cast, which truncates and gives null for what has no value."""
+    """Per column: fill_null first, then cast, which truncates and gives null for what has no value. Columns that the
+    table lacks are skipped."""
     for name, spec in transforms.items():
+        if name not in df.columns:
+            continue
         column = F.col(name)
         if "fill_null" in spec:
             column = F.coalesce(column, F.lit(spec["fill_null"]))
@@ -110,8 +115,23 @@ def load_source(spark: SparkSession, spec: SourceSpec, base: str | None = None)
     return transform(df, spec.transforms)
 
 
-def run_script(spark: SparkSession, path: str) -> DataFrame:
-    """The DataFrame that prepare(spark) of a user's script returns."""
+def run_script(spark: SparkSession, path: str, cache: bool = True) -> DataFrame:
+    """The DataFrame that prepare(spark) of a user's script returns.
+
+    With `cache`, it is written to the shared folder once for each state of the script's file (path, time of change and
+    size), and read from there by later loads of this or another session.
+    """
+    if not cache:
+        return _prepared(spark, path)
+    state = os.stat(path)
+    name = hashlib.sha256(f"{os.path.abspath(path)}:{state.st_mtime_ns}:{state.st_size}".encode()).hexdigest()
+    folder = f"{shared_folder(spark)}/orrery-scripts/{name}"
+    if not exists(spark, f"{folder}/_SUCCESS"):
+        _prepared(spark, path).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _prepared(spark: SparkSession, path: str) -> DataFrame:
     loader = importlib.util.spec_from_file_location("orrery_source_script", path)
     module = importlib.util.module_from_spec(loader)
     loader.loader.exec_module(module)
