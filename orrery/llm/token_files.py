@@ -42,7 +42,7 @@ END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = 2 * BLOCK * LANES
 #: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 TEXT_BYTES = 8 << 20
 ENCODED = 8192
 #: Bytes of the plan's estimate that a range of documents is to have, and groups whose starts are broadcast at most.
@@ -125,7 +125,8 @@ class Models:
         self.coder, self.digits = coder, digits
         self.lane = np.arange(lanes)
         self.base1, self.base2, self.base0 = self.lane * SLOTS, self.lane * (3 * SLOTS), self.lane * COUNTS
-        self.order1, self.order2 = np.zeros(lanes * SLOTS, np.int64), np.zeros(lanes * 3 * SLOTS, np.int64)
+        entries = np.int32 if digits == 1 else np.int64
+        self.order1, self.order2 = np.zeros(lanes * SLOTS, entries), np.zeros(lanes * 3 * SLOTS, entries)
         self.counts = np.zeros(lanes * COUNTS, np.uint8)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.odds = np.tile(START, lanes)
@@ -162,7 +163,7 @@ class Models:
         entry1, entry2 = self.order1.take(slot1), self.order2.take(slot2)
         sure1, sure2 = entry1 & 3, entry2 & 3
         entry = np.where(sure2, entry2, entry1)
-        guess = entry >> 6
+        guess = (entry >> 6).astype(np.int64)
         at = self.parts[:, :active].copy()
         at[0] += sure2
         at[1] += (sure1 << 1) + (entry1 >> 6 == guess)
