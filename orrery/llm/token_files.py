@@ -37,16 +37,16 @@ from orrery.llm.common import materialise, planned_partitions, shipped_file, tex
 
 MAGIC = b"OTF2"
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = 2 * BLOCK * LANES
 #: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
-REMEMBERED = 400_000
-TEXT_BYTES = 8 << 20
+REMEMBERED = 300_000
+TEXT_BYTES = 4 << 20
 ENCODED = 8192
 #: Bytes of the plan's estimate that a range of documents is to have, and groups whose starts are broadcast at most.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 6 << 20
 BROADCAST_GROUPS = 500_000
 
 #: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
@@ -340,9 +340,11 @@ def _records(batches: Iterator[pa.RecordBatch], file, end: int) -> Iterator[pa.R
             total += int(ends[upto - 1]) - before
             done = upto
             if total >= GROUP:
+                pa.default_memory_pool().release_unused()
                 yield record()
                 group, total, doc_ids, counts, parts = group + 1, 0, [], [], []
     if doc_ids:
+        pa.default_memory_pool().release_unused()
         yield record()
 
 
