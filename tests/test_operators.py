@@ -164,7 +164,7 @@ def test_paths_and_influence(spark):
     table = edges(spark, [("A", "B", 0, 1.0), ("B", "C", 1, 1.0), ("A", "D", 1, 1.0)])
     geo = spark.createDataFrame([(k, 1.0, float(i)) for i, k in enumerate("ABCD")], "k string, x double, y double")
     assert [r.path for r in graph.geometric_path(table, geo, "k", ["x", "y"], 1.0, "A", "C").collect()] == [["A", "B", "C"]]
-    depth = {r.key: r.depth for r in graph.propagate_influence(table, geo, "k", ["x", "y"], ["A"]).collect()}
+    depth = {r.key: r.depth for r in graph.propagate_influence(table, geo, "k", ["x", "y"], 1.0, ["A"]).collect()}
     assert depth == {"B": 1, "D": 1, "C": 2}
 
 
