@@ -3,9 +3,10 @@
 Word and word-pair n-grams are hashed to a fixed number of buckets. A bucket's weight is the logarithm of its share
 among the trusted documents over its share in the whole corpus. A document's score is the mean weight of its n-grams,
 so length does not matter, and a document is kept if its score reaches the score that all but a small share of the
-trusted documents reach. Half of the trusted documents, by hash, give the weights and the other half the threshold, so
-that documents are not held against scores of texts which the weights have seen. Those that the base rules reject give
-none: the means of a few n-grams scatter most, and such texts are never decided by their score.
+trusted documents reach. Half of the trusted documents, by hash, are for the weights, which are fitted on a bounded number
+of them, and every one of the other half counts for the threshold, so that documents are not held against scores of texts
+which the weights have seen. Those that the base rules reject give none: the means of a few n-grams scatter most, and
+such texts are never decided by their score.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ WINDOW = 3
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-#: Trusted documents that the target multinomial and the threshold are fitted on, at most; those of the smallest hashes.
-TRUSTED = 20_000
+#: Trusted documents that the target multinomial is fitted on, at most; those of the smallest hashes.
+FIT_DOCUMENTS = 10_000
 #: Share of the held-out trusted documents that pass the base rules whose scores lie below the threshold.
 MISSED = 0.002
 #: Taken off the threshold, so that documents like the trusted ones are not decided by small differences.
 MARGIN = 0.02
+#: Digits of the scores that are counted for the threshold, so their number is bounded.
+COUNTED_DIGITS = 4
 #: Bits for a window's position while hashes are sorted; longer texts, and hash prefixes that collide, take the slow way.
 POSITION_BITS = 24
 
@@ -101,19 +104,16 @@ def gram_buckets(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: bucket(w)), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """__trusted, the doc_id of documents labelled good and not toxic, and __fits, whether it gives weights or the threshold.
-
-    Of more than `most`, those of the smallest hashes.
-    """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return materialise(chosen.select(F.col("doc_id").alias("__trusted"), (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("__fits")))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """__trusted, the doc_id of every document labelled good and not toxic, and __fits: whether it is for weights or the threshold."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__trusted")).distinct()
+    return good.withColumn("__fits", F.xxhash64("__trusted", F.lit("half")) % 2 == 0)
 
 
-def gram_weights(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row with `weights`: an array of BUCKETS log ratios of trusted to corpus shares."""
-    marked = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["__trusted"], "left")
+def gram_weights(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING, most: int = FIT_DOCUMENTS) -> DataFrame:
+    """One row with `weights`: an array of BUCKETS log ratios of shares among `most` trusted documents to corpus shares."""
+    fitted = materialise(trusted.where("__fits").orderBy(F.xxhash64("__trusted"), "__trusted").limit(most))
+    marked = docs.join(F.broadcast(fitted), F.col("doc_id") == F.col("__trusted"), "left")
     grams = marked.select(F.explode(gram_buckets(word_array(F.col("text")))).alias("bucket"), F.col("__trusted").isNotNull().cast("long").alias("good"))
     counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").fillna(0, ["raw", "target"])
@@ -147,22 +147,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
-    """doc_id, the statistics, base_failed, score and kept of every row; `carry` names a struct of the row's own columns.
-
-    A null or empty text has no words and fails the base rules. Without trusted documents the ratio is the same for
-    all texts and only the base rules reject. Rows with equal or null doc_ids are judged one by one; an empty table gives
-    none. The weights (BUCKETS numbers) and the threshold are read as scalar subqueries; trusted ids are TRUSTED at most.
-    """
+def scored(docs: DataFrame, trusted: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, the statistics, base_failed and score of every row; `carry` names a struct of the row's own columns."""
     own = [F.struct(*(docs[c] for c in docs.columns)).alias(carry)] if carry else []
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *own)
-    trusted = trusted_ids(labels)
-    weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted.where("__fits")))
-    target = docs.join(F.broadcast(trusted.where("not __fits")), docs["doc_id"] == F.col("__trusted"), "left_semi")
-    passing = text_statistics(target).where(~base_failed()).withColumn("__weights", weights.scalar())
-    scores = passing.select(gram_score(F.col("__words"), F.col("__weights")).alias("score"))
-    threshold = materialise(scores.agg(F.round(F.coalesce(F.percentile("score", F.lit(MISSED)), F.lit(float("-inf"))) - MARGIN, 6).alias("threshold")))
-    judged = text_statistics(docs).withColumn("__weights", weights.scalar()).select(
+    weights = materialise(gram_weights(docs.select("doc_id", "text"), trusted))
+    return text_statistics(docs).withColumn("__weights", weights.scalar()).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -173,7 +163,34 @@ def judge(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataF
         F.round(gram_score(F.col("__words"), F.col("__weights")), 6).alias("score"),
         *([carry] if carry else []),
     )
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold.scalar(), F.lit(False)))
+
+
+def threshold_of(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """One row with `threshold`, from the scored rows of every held-out trusted document that passes the base rules.
+
+    Equal scores of a doc_id are counted before the join, so a doc_id that many rows share is no hot key.
+    """
+    counts = rows.where("not base_failed and doc_id is not null").groupBy("doc_id", F.round("score", COUNTED_DIGITS).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.join(trusted.where("not __fits"), F.col("doc_id") == F.col("__trusted"), "left_semi").groupBy("score").agg(F.sum("n").alias("n"))
+    return held.agg(F.round(F.coalesce(F.percentile("score", F.lit(MISSED), F.col("n")), F.lit(float("-inf"))) - MARGIN, 6).alias("threshold"))
+
+
+def verdicts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The written scored rows with `kept`."""
+    threshold = materialise(threshold_of(rows, trusted))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold.scalar(), F.lit(False)))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the statistics, base_failed, score and kept of every row.
+
+    A null or empty text has no words and fails the base rules. Without trusted documents the ratio is the same for
+    all texts and only the base rules reject. Rows with equal or null doc_ids are judged one by one; an empty table gives
+    none. The weights (BUCKETS numbers) and the threshold are read as scalar subqueries. The rows are written without
+    their texts once they are scored, and the threshold comes from them.
+    """
+    trusted = materialise(trusted_ids(labels))
+    return verdicts(materialise(scored(docs, trusted)), trusted)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
@@ -184,5 +201,6 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that judge() keeps, columns unchanged, without a join or shuffle of texts."""
-    return judge(docs, labels, carry="__row").where("kept").select("__row.*")
+    """The rows that judge() keeps, columns unchanged, without a join or shuffle of texts; what passes the base rules is written once."""
+    trusted = materialise(trusted_ids(labels))
+    return verdicts(materialise(scored(docs, trusted, carry="__row").where("not base_failed")), trusted).where("kept").select("__row.*")
