@@ -40,9 +40,9 @@ def agent_overlay(spark, sf_dir):
 
 
 @query("contagion_score_batch", f"""WITH {S.SUPPLIER_GEO}, {S.EDGES}, nb AS (SELECT DISTINCT * FROM (SELECT from_key AS key, to_key AS other FROM edges WHERE from_key <> to_key UNION ALL SELECT to_key, from_key FROM edges WHERE from_key <> to_key)),
-c AS (SELECT key, avg(coalesce(is_anomaly, false)::INT) AS r FROM nb LEFT JOIN sgeo ON s_suppkey = other WHERE key <= 20 GROUP BY 1) SELECT count(*) AS n, round(avg(r), 6) AS mean_ratio, round(max(r), 6) AS max_ratio, count(*) FILTER (r >= 0.5) AS high FROM c""")
+c AS (SELECT key, avg(coalesce(is_anomaly, false)::INT) AS r FROM nb LEFT JOIN sgeo ON s_suppkey = other GROUP BY 1) SELECT count(*) AS n, round(avg(r), 6) AS mean_ratio, round(max(r), 6) AS max_ratio, count(*) FILTER (r >= 0.5) AS high FROM c""")
 def contagion_score_batch(spark, sf_dir):
-    stats = G.contagion(L.hand_overs(spark, sf_dir), L.supplier_geometry(spark, sf_dir)[0], "s_suppkey").where("key <= 20")
+    stats = G.contagion(L.hand_overs(spark, sf_dir), L.supplier_geometry(spark, sf_dir)[0], "s_suppkey")
     return stats.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("contagion_ratio"), 6).alias("mean_ratio"), F.round(F.max("contagion_ratio"), 6).alias("max_ratio"), F.count(F.when(F.col("contagion_ratio") >= 0.5, 1)).alias("high"))
 
 
