@@ -534,6 +534,22 @@ def test_quality_threshold_ignores_what_the_base_rules_reject(spark):
     assert kept <= set(range(60)) and len(kept) >= 55
 
 
+def test_quality_threshold_covers_every_held_out_document(spark, data):
+    """Verdicts recomputed in numpy from the scores; a repeated trusted doc_id counts once for each of its rows."""
+    import numpy as np
+
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 5 = 0")).union(docs.selectExpr("cast(null as long)", "text").limit(3))
+    labels = table(spark, data, "labels")
+    rows = quality.judge(docs, labels).collect()
+    held = {r[0] for r in quality.trusted_ids(labels).where("not __fits").select("__trusted").collect()}
+    scores = [round(r.score, quality.COUNTED_DIGITS) for r in rows if r.doc_id in held and not r.base_failed]
+    cut = round(float(np.quantile(scores, quality.MISSED)) - quality.MARGIN, 6)
+    assert len(scores) > 20
+    for r in rows:
+        assert r.kept == (not r.base_failed and r.score >= cut - 1e-9)
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0)):
