@@ -145,13 +145,13 @@ def hop_score(scoring: str, a: list[Column], b: list[Column], theta: list[float]
     raise ValueError(f"unknown scoring: {scoring}")
 
 
-def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, seeds: list, depth: int = 3, decay: float = 0.7, least: float = 0.001, most: int = 10_000) -> DataFrame:
+def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list[str], theta: float, seeds: list, depth: int = 3, decay: float = 0.7, least: float = 0.001, most: int | None = None) -> DataFrame:
     """key, score, depth and tx_count of the entities that seeds influence: the best score over paths of at most `depth`
     steps, and of the path that gives it the length and the events of its last step.
 
     A step multiplies the score by decay, by the geometric hop score (0.01 at least) and by 1 + ln(events between its
     ends). An entity whose score a later path improves is carried on from again; seeds are never reached. Each step is a
-    written table of one row an entity.
+    written table of one row an entity. All reached entities are returned; `most` keeps only those of the best scores.
     """
     pairs = edges.where("from_key <> to_key").select(F.col("from_key").alias("a"), F.col("to_key").alias("b"), "event_key")
     linked = pairs.union(pairs.select("b", "a", "event_key")).groupBy("a", "b").agg(F.count_distinct("event_key").alias("n"))
@@ -173,7 +173,7 @@ def propagate_influence(edges: DataFrame, geo: DataFrame, key: str, deltas: list
             better = materialise(found.join(old, "key", "left").where("old is null or score > old").drop("old"))
             reached = materialise(reached.join(better.select("key"), "key", "left_anti").unionByName(better))
         frontier = better.select(F.col("key").alias("a"), "score")
-    return reached.orderBy(F.desc("score"), "key").limit(most)
+    return reached if most is None else reached.orderBy(F.desc("score"), "key").limit(most)
 
 
 def discover_chains(edges: DataFrame, seeds: list, hops: int = 3, least: int = 2, window_hours: float = 168, direction: str = "forward") -> DataFrame:

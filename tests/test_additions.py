@@ -141,6 +141,15 @@ def test_influence_takes_the_stronger_longer_path(spark):
     assert found["B"].depth == 2 and found["B"].tx_count == 40 and found["D"].depth == 3
 
 
+def test_influence_returns_every_entity_it_reaches(spark):
+    n = 10_050
+    table = spark.range(1, n + 1).selectExpr("0L AS from_key", "id AS to_key", "id AS event_key", "0.0D AS timestamp", "1.0D AS amount")
+    geo = spark.range(n + 1).selectExpr("id AS k", "1.0D AS x", "1.0D AS y")
+    found = graph.propagate_influence(table, geo, "k", ["x", "y"], 1.0, [0])
+    assert found.count() == n and found.where("depth = 1 and round(score, 9) = 0.7").count() == n
+    assert graph.propagate_influence(table, geo, "k", ["x", "y"], 1.0, [0], most=3).count() == 3
+
+
 def test_edge_columns(spark):
     events = spark.createDataFrame([], "a string, b string, c string, day date, price double")
     inferred = {"time": "day", "amount": "price"}
