@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,12 @@ from orrery.sources.store import materialise
 
 #: Rows of the query side that a block of an all-pairs search broadcasts, on average.
 QUERY_ROWS = 2_000
+#: With at most so many dimensions a search goes through trees instead, as boxes hardly prune in more.
+TREE_DIMENSIONS = 8
+#: Queries of a block that is sent to all trees, points of a tree, points of a leaf.
+TREE_QUERIES, TREE_POINTS, LEAF = 100_000, 100_000, 64
+#: Queries, and pairs of a query and a leaf, that a tree works on at a time.
+TREE_BATCH, TREE_PAIRS = 4_096, 8_192
 BM25_K1, BM25_B = 1.2, 0.75
 
 
@@ -47,10 +56,14 @@ def nearest(geo: DataFrame, key: str, deltas: list[str], reference, top: int = 5
 
 
 def neighbours_of(geo: DataFrame, queries: DataFrame, key: str, deltas: list[str], top: int = 5) -> DataFrame:
-    """(query, key, distance, rank): the nearest entities of each query.
+    """(query, key, distance, rank): the nearest entities of each query; ties go to smaller keys.
 
-    Hash blocks of some QUERY_ROWS queries are broadcast one by one; each partition keeps its best before anything is shuffled.
+    Up to TREE_DIMENSIONS dimensions, each part of the points becomes a k-d tree that all queries go through, and
+    entities with a component that is null or not finite take no part. In more, all pairs are measured: hash blocks of
+    some QUERY_ROWS queries are broadcast one by one; each partition keeps its best before anything is shuffled.
     """
+    if len(deltas) <= TREE_DIMENSIONS:
+        return _tree_neighbours(geo, queries, key, deltas, top)
     held = queries.select(F.col(key).alias("query"), *(F.col(d).alias(f"q_{d}") for d in deltas))
     blocks = -(-held.count() // QUERY_ROWS) or 1
     if blocks > 1:
@@ -67,6 +80,136 @@ def neighbours_of(geo: DataFrame, queries: DataFrame, key: str, deltas: list[str
     return reduce(DataFrame.unionByName, (block(held.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)) for i in range(blocks)))
 
 
+def _tree_neighbours(geo: DataFrame, queries: DataFrame, key: str, deltas: list[str], top: int) -> DataFrame:
+    """Of entities at one point, top + 1 of the smallest keys can be among a query's nearest; only these go into trees."""
+    spark = geo.sparkSession
+    finite = reduce(lambda a, b: a & b, (F.abs(F.col(d)) < float("inf") for d in deltas))
+    columns = [F.col(key), *(F.col(d).cast("double").alias(d) for d in deltas)]
+    at_point = Window.partitionBy(*deltas).orderBy(key)
+    points = geo.where(finite).select(*columns).withColumn("__n", F.row_number().over(at_point)).where(F.col("__n") <= top + 1).drop("__n")
+    points, held = materialise(points), materialise(queries.where(finite).select(*columns))
+    points = points.repartition(-(-points.count() // TREE_POINTS) or 1, key)
+    kind = points.schema[key].dataType.simpleString()
+    blocks = -(-held.count() // TREE_QUERIES) or 1
+
+    def block(part: DataFrame) -> DataFrame:
+        sent = spark.sparkContext.broadcast(part.toArrow().combine_chunks())
+        return points.mapInArrow(lambda batches: _nearest_batches(batches, sent.value, top + 1), f"query {kind}, `{key}` {kind}, distance double")
+
+    found = reduce(DataFrame.unionByName, (block(held.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)) for i in range(blocks)))
+    order = Window.partitionBy("query").orderBy("distance", key)
+    return found.where(F.col(key) != F.col("query")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The columns after the first, one row a column."""
+    return np.array([table.column(i).to_numpy() for i in range(1, table.num_columns)])
+
+
+def _nearest_batches(batches: Iterator[pa.RecordBatch], queries: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, components) in any batches to (query, key, distance): the k nearest of each tree, and what ties with the last."""
+    asked, names, waiting, rows = _matrix(queries), None, [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(waiting)
+        keys = table.column(0).combine_chunks()
+        tree = Tree(_matrix(table), k)
+        for start in range(0, queries.num_rows, TREE_BATCH):
+            query, row, distance = tree.nearest(asked[:, start : start + TREE_BATCH])
+            yield pa.RecordBatch.from_arrays([queries.column(0).combine_chunks().take(pa.array(query + start)), keys.take(pa.array(row)), pa.array(distance)], names=["query", names[0], "distance"])
+
+    for batch in batches:
+        names = batch.schema.names
+        if batch.num_rows:
+            waiting.append(batch)
+            rows += batch.num_rows
+        if rows >= 2 * TREE_POINTS:
+            yield from out()
+            waiting, rows = [], 0
+    if waiting:
+        yield from out()
+
+
+class Tree:
+    """A balanced k-d tree of points, one row a dimension, with the box of each node; node i has the children 2i and 2i + 1.
+
+    Distances are summed dimension by dimension in doubles, gaps to boxes likewise; rounding keeps order, so no gap
+    exceeds the distance of a point in the box.
+    """
+
+    def __init__(self, points: np.ndarray, k: int):
+        n, self.k = points.shape[1], k
+        self.levels = max(0, int(n / max(LEAF, 2 * k)).bit_length() - 1)
+        order, bounds = np.arange(n), [0, n]
+        for _ in range(self.levels):
+            split = [0]
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                own, middle = order[start:end], (end - start) // 2
+                widest = int(np.argmax(np.ptp(points[:, own], axis=1)))
+                order[start:end] = own[np.argpartition(points[widest, own], middle)]
+                split += [start + middle, end]
+            bounds = split
+        self.order, self.points = order, points[:, order]
+        self.starts, self.ends = np.array(bounds[:-1]), np.array(bounds[1:])
+        self.width = int((self.ends - self.starts).max())
+        lows, highs = [np.minimum.reduceat(self.points, self.starts, axis=1)], [np.maximum.reduceat(self.points, self.starts, axis=1)]
+        for _ in range(self.levels):
+            lows.insert(0, np.minimum(lows[0][:, ::2], lows[0][:, 1::2]))
+            highs.insert(0, np.maximum(highs[0][:, ::2], highs[0][:, 1::2]))
+        root = np.zeros((len(points), 1))  # there is no node 0
+        self.low, self.high = np.concatenate([root, *lows], axis=1), np.concatenate([root, *highs], axis=1)
+
+    def gap(self, queries: np.ndarray, query: np.ndarray, node: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(query))
+        for q, low, high in zip(queries, self.low, self.high):
+            x = q[query]
+            total += np.maximum(np.maximum(low[node] - x, x - high[node]), 0.0) ** 2
+        return np.sqrt(total)
+
+    def distances(self, queries: np.ndarray, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of a leaf's points, one row a pair; infinite where the leaf has fewer than others."""
+        leaf = node - (1 << self.levels)
+        rows = self.starts[leaf][:, None] + np.arange(self.width)
+        beyond = rows >= self.ends[leaf][:, None]
+        rows[beyond] = 0
+        total = np.zeros(rows.shape)
+        for q, p in zip(queries, self.points):
+            total += (p[rows] - q[query][:, None]) ** 2
+        total[beyond] = np.inf
+        return rows, np.sqrt(total)
+
+    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of each query's k nearest points, and of all that tie with the last of them."""
+        n = queries.shape[1]
+        every, node = np.arange(n), np.ones(n, dtype=np.int64)
+        for _ in range(self.levels):
+            left, right = self.gap(queries, every, 2 * node), self.gap(queries, every, 2 * node + 1)
+            node = 2 * node + (right < left)
+        bound = np.full(n, np.inf)
+        if self.width >= self.k:
+            for start in range(0, n, TREE_PAIRS):
+                part = every[start : start + TREE_PAIRS]
+                bound[part] = np.partition(self.distances(queries, part, node[part])[1], self.k - 1, axis=1)[:, self.k - 1]
+        query, node = every, np.ones(n, dtype=np.int64)
+        for _ in range(self.levels):
+            query, node = np.repeat(query, 2), (2 * node[:, None] + np.arange(2)).ravel()
+            near = self.gap(queries, query, node) <= bound[query]
+            query, node = query[near], node[near]
+        found = []
+        for start in range(0, len(query), TREE_PAIRS):
+            part = query[start : start + TREE_PAIRS]
+            rows, far = self.distances(queries, part, node[start : start + TREE_PAIRS])
+            pair, place = np.nonzero((far <= bound[part][:, None]) & (far < np.inf))
+            found.append((part[pair], rows[pair, place], far[pair, place]))
+        query, row, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        by = np.lexsort((distance, query))
+        query, row, distance = query[by], row[by], distance[by]
+        first = np.searchsorted(query, every)
+        last = np.minimum(first + self.k, np.searchsorted(query, every, "right")) - 1
+        kept = distance <= distance[last[query]] if len(query) else np.empty(0, bool)
+        return query[kept], self.order[row[kept]], distance[kept]
+
+
 def array_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -98,7 +241,6 @@ def centroid_distances(centroids: DataFrame, deltas: list[str], group: str) -> D
 def clusters(geo: DataFrame, key: str, deltas: list[str], k: int = 5, seed: int = 42, cosine: bool = False) -> tuple[DataFrame, DataFrame]:
     """k-means on deltas: (key, cluster, distance) of every entity, and per cluster size, anomaly rate, norms and the
     entity nearest to the centre. Clusters are numbered from the largest on."""
-    import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

@@ -144,6 +144,21 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, similar.neighbours_of(geo, geo, "k", ["x"], 2).collect())) == whole and len(whole) == 24
 
 
+def test_neighbours_by_trees_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LEAF", 8)
+    random = np.random.default_rng(3)
+    points = np.concatenate([random.normal(size=(1500, 3)), random.integers(0, 4, (900, 3)).astype(float), np.zeros((400, 3))])
+    geo = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)] + [(9_999, None, 0.0, 0.0)], "k long, x double, y double, z double")
+    found = similar.neighbours_of(geo, geo.where("k % 5 = 0"), "k", ["x", "y", "z"], 4)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+    expected = set()
+    for q in range(0, len(points), 5):
+        distance = np.sqrt(((points - points[q]) ** 2)[:, 0] + ((points - points[q]) ** 2)[:, 1] + ((points - points[q]) ** 2)[:, 2])
+        best = [i for i in np.lexsort((np.arange(len(points)), distance)).tolist() if i != q][:4]
+        expected |= {(q, i, float(distance[i]), rank) for rank, i in enumerate(best, 1)}
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 def test_chains(spark):
     table = edges(spark, [("A", "B", 0, 1.0), ("B", "C", 3600, 2.0), ("C", "A", 7200, 4.0), ("B", "D", 10**9, 1.0)])
     found = {tuple(r["keys"]): r for r in graph.discover_chains(table, ["A"], hops=3).collect()}
