@@ -61,9 +61,14 @@ def planned_partitions(df: DataFrame, size: int) -> int:
 
 
 def worker_state(key: str, build: Callable[[], object], version: str = ""):
-    """What `build` makes, once per Python worker process; workers are reused between tasks. The last version stays."""
+    """What `build` makes, once per Python worker process; workers are reused between tasks. The last version stays.
+
+    What other operators have left there goes first; keys of one operator begin alike, the shortest being all others' beginning.
+    """
     store = sys.modules.setdefault("_orrery_worker_state", types.ModuleType("_orrery_worker_state")).__dict__
     if store.get(key, (None,))[0] != version:
+        for other in [k for k in store if not (k.startswith("__") or k.startswith(key) or key.startswith(k))]:
+            del store[other]
         store[key] = (version, build())
     return store[key][1]
 

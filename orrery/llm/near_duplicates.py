@@ -203,6 +203,9 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """One row of each component of similar texts, that of the smallest doc_id; columns unchanged.
 
+    Candidates come from the fingerprints' grid and, for pairs further apart than its two bits, from MinHash bands; an
+    exact comparison decides (similar_texts.py).
+
     Of rows that share this doc_id, the one with the least text stays, and of equal texts the least hash of what columns
     can be hashed, so the result does not differ between runs. Rows without a doc_id all stay.
     """

@@ -1,11 +1,13 @@
 """Near copies of texts: components of links of Jaccard similarity 0.8 or more between sets of five-word shingles.
 
-A text's node is the hash of its shingle set, so texts of equal sets are one node. Candidates are nodes that share all
-ROWS MinHash values of one of BANDS bands: a pair at similarity 0.8 shares none with a chance of 5e-8, and more similar
-pairs with a smaller one. What meets in a band's bucket is compared exactly, by the shingle sets themselves.
-
-First every member of a bucket is compared with the bucket's least node, which is linear and joins most of a group of near
-copies. In what is left, only members of different components are compared: a bucket's largest component against the
+A text's node is the hash of its shingle set, so texts of equal sets are one node. The first candidates come from SimHash:
+each set has a fingerprint, and the grid over segment popcounts of near_duplicates.py brings together fingerprints at an
+exact Hamming distance of two or less. As pairs at similarity 0.8 differ by some 10 bits, other candidates are nodes that
+share all ROWS MinHash values of one of BANDS bands: a pair at similarity 0.8 shares none with a chance of 5e-8, and more
+similar pairs with a smaller one. Candidates of either kind are compared exactly, by the shingle sets themselves.
+
+With the grid's candidates every member of a bucket is compared with the bucket's least node, which is linear and joins
+most of a group of near copies. In what is left, only members of different components are compared: a bucket's largest component against the
 others, and those among each other, in parts of UNIT members. A large group of near copies therefore never makes pairs
 within itself, and buckets of the same members are one.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import materialise, planned_partitions, text_parts, utf8
 from orrery.llm.components import components
-from orrery.llm.near_duplicates import DISTINCT_BYTES, component_ids
+from orrery.llm.near_duplicates import BITS, CHUNK, DISTINCT_BYTES, component_ids, fingerprint_links
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction of whole numbers.
@@ -46,6 +48,14 @@ def shingle_set(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarra
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set: a bit is set if it is set in over half of the hashes; zero without any."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[start : start + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 
@@ -76,12 +86,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     multipliers = _multipliers()
     for batch in text_parts(batches):
-        nodes, keys = [], []
+        nodes, codes, keys = [], [], []
         for text in utf8(batch.column(1)):
             hashes = shingle_set(text or b"")
             nodes.append(_node(hashes))
+            codes.append(set_fingerprint(hashes))
             keys.append(band_keys(hashes, multipliers) if len(hashes) else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists(keys)], names=["doc_id", "fp", "bands"])
+        nodes, codes = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, codes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), nodes, codes, _lists(keys)], names=["doc_id", "fp", "simhash", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +156,25 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def pivot_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): the bucket's least node and each similar member, of all buckets (band, fp)."""
+def grid_pairs(distinct: DataFrame) -> DataFrame:
+    """(u, v): nodes (fp, simhash) whose fingerprints are equal or linked by the grid; they keep the components of all such."""
+    least = materialise(distinct.groupBy("simhash").agg(F.min("fp").alias("least")))
+    links = fingerprint_links(least.select(F.col("simhash").alias("fp")))
+    ends = [least.select(F.col("simhash").alias(code), F.col("least").alias(node)) for code, node in (("u", "a"), ("v", "b"))]
+    across = links.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    within = distinct.join(least, "simhash").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    return across.union(within)
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """(u, v): the bucket's least node and each other member, of all buckets (band, fp)."""
     least = members.groupBy("band").agg(F.min("fp").alias("u"))
-    pairs = members.join(least, "band").where("u <> fp").select("u", F.col("fp").alias("v")).distinct()
-    with_u = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
+    return members.join(least, "band").where("u <> fp").select("u", F.col("fp").alias("v"))
+
+
+def similar_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are similar by their sets (fp, hashes)."""
+    with_u = pairs.distinct().join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
     both = with_u.join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(sum(LEAST) * common >= LEAST[0] * (F.size("a") + F.size("b"))).select("u", "v")
@@ -171,24 +197,26 @@ def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Da
 
 
 def similar_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(u, v): links between nodes (fp, doc_id, bands) that keep the components of all similar pairs."""
+    """(u, v): links between nodes (fp, doc_id, simhash, bands) that keep the components of all similar pairs."""
     dealt = distinct.repartition(planned_partitions(distinct, DISTINCT_BYTES), "fp")
     postings = materialise(dealt.select(F.explode("bands").alias("band"), "fp"))
     buckets = postings.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)))
     buckets = materialise(buckets.where("n > 1").groupBy("n", "s0", "s1").agg(F.min("band").alias("band")).select("band"))
     members = materialise(postings.join(buckets, "band").select("band", "fp"))
-    needed = materialise(distinct.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id"))
+    near = materialise(grid_pairs(distinct.select("fp", "simhash")))
+    met = members.select("fp").union(near.select("u")).union(near.select("v")).distinct()
+    needed = materialise(distinct.join(met, "fp", "left_semi").select("fp", "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.select("doc_id"), "doc_id", "left_semi").select("text")
     # Rows that share a doc_id may have other texts, and the smallest doc_id of two nodes may be the same.
     sets = texts.mapInArrow(_sets, "fp long, hashes array<long>").join(needed.select("fp").distinct(), "fp", "left_semi")
     sets = materialise(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")))
-    first = materialise(pivot_links(members, sets))
+    first = materialise(similar_of(near.union(pivot_pairs(members)), sets))
     return first.union(remaining_links(members, components(first), sets))
 
 
 def similar_text_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of similar texts reach. Texts without words are alike."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, fp long, bands array<long>")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, fp long, simhash long, bands array<long>")
     marked = materialise(marked)
-    smallest = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    smallest = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands")))
     return component_ids(marked.select("doc_id", "fp"), smallest.select("fp", "doc_id"), similar_links(docs, smallest))

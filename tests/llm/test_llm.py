@@ -399,6 +399,49 @@ def test_pipeline_drops_texts_of_jaccard_from_08(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_duplicates.keep_one_of_each_group(frame).collect()) == sorted(set(root.values()))
 
 
+def test_a_worker_keeps_the_state_of_one_operator(monkeypatch):
+    import sys
+
+    from orrery.llm.common import worker_state
+
+    monkeypatch.delitem(sys.modules, "_orrery_worker_state", raising=False)
+    states = [worker_state("coder", object), worker_state("coder_chunks", object)]
+    assert [worker_state("coder", object), worker_state("coder_chunks", object)] == states
+    other = worker_state("language", object, "1")
+    assert worker_state("language", object, "1") is other and worker_state("coder", object) is not states[0]
+    assert worker_state("language", object, "1") is not other
+    monkeypatch.delitem(sys.modules, "_orrery_worker_state")
+
+
+def test_the_grid_of_fingerprints_brings_together_near_copies(spark):
+    """Without any band, texts whose fingerprints differ by two bits or less are linked, and only if they are similar."""
+    from pyspark.sql import functions as F
+
+    from orrery.llm import similar_texts
+
+    words = [f"w{i * i % 9973}" for i in range(3000)]
+    texts = [" ".join(words[:i] + words[i + 1 :]) for i in range(0, 3000, 100)] + ["a b c d e f", "one two three", ""]
+    sets = [similar_texts.shingle_set(t.encode()) for t in texts]
+    codes = [similar_texts.set_fingerprint(s) for s in sets]
+    for s, code in zip(sets[-9:], codes[-9:]):
+        assert code == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    similar = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (codes[a] ^ codes[b]).bit_count() <= 2 and similar(a, b):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert 3 < len(set(root)) < len(texts) - 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = docs.mapInArrow(similar_texts._signatures, "doc_id long, fp long, simhash long, bands array<long>").withColumn("bands", F.array().cast("array<long>")).localCheckpoint()
+    number = {r.fp: r.doc_id for r in nodes.collect()}
+    found = list(range(len(texts)))
+    for u, v in ((number[r.u], number[r.v]) for r in similar_texts.similar_links(docs, nodes).collect()):
+        assert similar(u, v)
+        found = [min(found[u], found[v]) if r in (found[u], found[v]) else r for r in found]
+    assert found == root
+
+
 # 5: secrets
 
 
