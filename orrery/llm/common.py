@@ -73,6 +73,11 @@ def worker_state(key: str, build: Callable[[], object], version: str = ""):
     return store[key][1]
 
 
+def forget_worker_state() -> None:
+    """Drop what operators have left in this Python worker; for operators that remember nothing themselves."""
+    sys.modules.pop("_orrery_worker_state", None)
+
+
 class RecentCache(dict):
     """A dict that computes what is missing and keeps the two latest generations of `half` entries at most."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, planned_partitions, text_parts, utf8
+from orrery.llm.common import forget_worker_state, materialise, planned_partitions, text_parts, utf8
 from orrery.llm.components import components
 from orrery.llm.near_duplicates import BITS, CHUNK, DISTINCT_BYTES, component_ids, fingerprint_links
 
@@ -84,6 +84,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_worker_state()
     multipliers = _multipliers()
     for batch in text_parts(batches):
         nodes, codes, keys = [], [], []

@@ -402,7 +402,7 @@ def test_pipeline_drops_texts_of_jaccard_from_08(spark, monkeypatch):
 def test_a_worker_keeps_the_state_of_one_operator(monkeypatch):
     import sys
 
-    from orrery.llm.common import worker_state
+    from orrery.llm.common import forget_worker_state, worker_state
 
     monkeypatch.delitem(sys.modules, "_orrery_worker_state", raising=False)
     states = [worker_state("coder", object), worker_state("coder_chunks", object)]
@@ -410,7 +410,8 @@ def test_a_worker_keeps_the_state_of_one_operator(monkeypatch):
     other = worker_state("language", object, "1")
     assert worker_state("language", object, "1") is other and worker_state("coder", object) is not states[0]
     assert worker_state("language", object, "1") is not other
-    monkeypatch.delitem(sys.modules, "_orrery_worker_state")
+    forget_worker_state()
+    assert "_orrery_worker_state" not in sys.modules
 
 
 def test_the_grid_of_fingerprints_brings_together_near_copies(spark):
