@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.chunks import ChunkTable, binary, flat_ranges
+from orrery.llm.chunks import ChunkTable, binary, byte_characters, flat_ranges
 from orrery.llm.common import RecentCache, shipped_file, text_parts, tokenizer_path, utf8, worker_state
 
 #: Unicode White_Space, as the content of a character class.
@@ -34,13 +34,6 @@ NONE = 1 << 62
 POSITION = (1 << 32) - 1
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte: itself where printable, else the next from U+0100 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
-
-
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE vocabulary file."""
 

@@ -8,6 +8,7 @@ gather.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -32,6 +33,73 @@ def _classes(members: tuple[int, ...]) -> np.ndarray:
 _BLANK, _OPEN_LEFT, _OPEN_RIGHT = _classes(BLANKS), _classes(BLANKS + LAST_BYTES), _classes(BLANKS + FIRST_BYTES)
 _LETTER, _CLOSING = _classes(LETTERS), _classes(CLOSING)
 
+# Classes of bytes in plain chunks: others, blanks that may stand first, letters (of ASCII, or from U+00C0 to U+00FF), digits, marks.
+OTHER, BLANK, LETTER, DIGIT, MARK = range(5)
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte: itself where printable, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+class PlainPieces:
+    """Pieces of plain chunks by numpy, so that a byte-level BPE library only merges and its regular expression has no work.
+
+    A plain chunk is a blank or none, then letters, digits and marks of few classes without apostrophes and without what a
+    special token begins with. The rule of such vocabularies cuts it where the class changes, and after a first line end;
+    a first space goes with what follows. `file` is the vocabulary's JSON; `fits` says whether it has that rule.
+    """
+
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
+        pre, model, characters = spec.get("pre_tokenizer") or {}, spec["model"], byte_characters()
+        self.fits = (
+            not spec.get("normalizer")
+            and pre.get("type") == "ByteLevel"
+            and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space")
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+            and all(c in model["vocab"] for c in characters)
+        )
+        if not self.fits:
+            return
+        self.points = np.array([ord(c) for c in characters], "<u4")
+        self.sizes = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]), np.int64)
+        for token, i in model["vocab"].items():
+            self.sizes[i] = len(token)
+        self.kinds = np.full(256, OTHER, np.uint8)
+        for kind, members in ((MARK, b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'), (DIGIT, b"0123456789"), (LETTER, LETTERS), (LETTER, (0xC3, *range(0x80, 0xC0))), (BLANK, b" \n")):
+            self.kinds[list(members)] = kind
+        # The multiplication and division signs are no letters; bytes that lead other characters than U+00C0 to U+00FF are OTHER.
+        self.kinds[[0x97, 0xB7, *(t["content"].encode()[0] for t in spec["added_tokens"])]] = OTHER
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which chunks (none empty) are plain."""
+        kinds = self.kinds[data]
+        odd = kinds <= BLANK
+        odd[offsets[:-1]] = kinds[offsets[:-1]] == OTHER
+        return np.diff(np.append(0, np.cumsum(odd))[offsets]) == 0
+
+    def strings(self, data: np.ndarray, offsets: np.ndarray, each: int) -> list[str]:
+        """The pieces of plain chunks in the characters that stand for bytes, a line each, `each` chunks a string."""
+        kinds = self.kinds[data]
+        cut = np.empty(len(data), bool)
+        cut[1:] = (kinds[1:] != kinds[:-1]) & (data[:-1] != 0x20)
+        cut[offsets[:-1]] = True
+        cuts = np.flatnonzero(cut)
+        lines = np.full(len(data) + len(cuts), 0x0A, "<u4")
+        places = np.arange(len(data)) + np.cumsum(cut)
+        lines[places] = self.points[data]
+        ends = np.append(places[offsets[:-1]], len(lines))
+        return [lines[ends[i] : ends[min(i + each, len(offsets) - 1)]].tobytes().decode("utf-32-le") for i in range(0, len(offsets) - 1, each)]
+
+    def counts(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many of the ids each chunk has; ids of byte-level vocabularies stand for all bytes, and none for bytes of two pieces."""
+        return np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), offsets, side="right"))
+
 
 def plain_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, nulls as empty, and the offset of every text and of the end."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.llm.bpe import VOCABULARY
-from orrery.llm.chunks import ChunkTable
+from orrery.llm.chunks import ChunkTable, PlainPieces, plain_strings
 from orrery.llm.common import materialise, planned_partitions, shipped_file, text_parts, tokenizer_path, worker_state
 
 MAGIC = b"OTF2"
@@ -45,6 +45,8 @@ GROUP = 2 * BLOCK * LANES
 REMEMBERED = 300_000
 TEXT_BYTES = 4 << 20
 ENCODED = 8192
+#: Chunks of plain pieces that the library gets as one string.
+JOINED = 512
 #: Bytes of the plan's estimate that a range of documents is to have, and groups whose starts are broadcast at most.
 RANGE_BYTES = 6 << 20
 BROADCAST_GROUPS = 500_000
@@ -301,18 +303,45 @@ def chunk_table(file: bytes, end: int) -> ChunkTable:
     """What the tokenizers library gives for chunks of text; row 0 is the id `end`."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+    def loaded() -> Tokenizer:
+        tokenizer = Tokenizer.from_str(file.decode())
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def library(coder: Tokenizer, texts: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        lengths, codes = [], [np.empty(0, np.uint32)]
+        for start in range(0, len(texts), ENCODED):
+            ids = [e.ids for e in coder.encode_batch_fast(texts[start : start + ENCODED], add_special_tokens=False)]
+            lengths += map(len, ids)
+            codes.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))))
+        return lengths, codes
 
-    tokenizer = Tokenizer.from_str(file.decode())
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    tokenizer, pieces = loaded(), PlainPieces(file)
+    if pieces.fits:
+        merger = loaded()
+        merger.pre_tokenizer = CharDelimiterSplit("\n")
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lengths, codes = [], []
-        for start in range(0, len(chunks), ENCODED):
-            ids = [e.ids for e in tokenizer.encode_batch_fast(chunks[start : start + ENCODED], add_special_tokens=False)]
-            lengths += map(len, ids)
-            codes.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))))
-        return np.array(lengths, np.int64), np.concatenate(codes)
+        if not pieces.fits:
+            lengths, codes = library(tokenizer, chunks)
+            return np.array(lengths, np.int64), np.concatenate(codes)
+        array = pa.array(chunks, pa.large_string())
+        plain = pieces.plain(*plain_strings(array))
+        data, offsets = plain_strings(array.filter(pa.array(plain)))
+        codes = np.concatenate(library(merger, pieces.strings(data, offsets, JOINED))[1])
+        lengths = np.empty(len(chunks), np.int64)
+        lengths[plain] = pieces.counts(codes, offsets)
+        if plain.all():
+            return lengths, codes
+        others = np.flatnonzero(~plain)
+        lengths[others], other_codes = library(tokenizer, [chunks[i] for i in others.tolist()])
+        own = np.repeat(plain, lengths)
+        joined = np.empty(len(own), np.uint32)
+        joined[own], joined[~own] = codes, np.concatenate(other_codes)
+        return lengths, joined
 
     return ChunkTable(encode, "<u2" if max(end + 1, tokenizer.get_vocab_size()) <= 1 << 16 else "<u4", REMEMBERED, (end,))
 

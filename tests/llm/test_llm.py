@@ -683,6 +683,29 @@ def test_chunks_encode_like_whole_texts(library):
         table.most = 100
 
 
+def test_plain_pieces_are_cut_as_by_the_library(library, data):
+    """Pieces of plain chunks need no regular expression, nor other characters than the library's; most chunks are plain."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from orrery.llm.chunks import PlainPieces, chunked, plain_strings
+
+    rng = random.Random(13)
+    letters = "abstreAZÀÖ×ØöÿßéµªŒ÷€ 01²9!?#.,:;)_`~^'<|> \n\t\x1f\x7f"
+    chunks = [rng.choice(" \n\t ") + "".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    words = chunked(pq.read_table(f"{data}/documents.parquet")["text"].combine_chunks())[0]
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as file:
+        spec = file.read()
+    table, pieces = token_files.chunk_table(spec, 2), PlainPieces(spec)
+    for own in (chunks, words, [c for c in chunks if "'" in c], [" abc"], [" ", "\n", "."], ["\x00"]):
+        lengths, ids = table.encode(own)
+        expected = [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+        assert lengths.tolist() == [len(e) for e in expected] and ids.tolist() == list(itertools.chain.from_iterable(expected))
+    assert pieces.plain(*plain_strings(pa.array(words))).mean() > 0.8
+    assert not pieces.plain(*plain_strings(pa.array([" a b", "a\nb", "a'b", "2×3", "a<|endoftext|>", "\tb", "漢", "a "]))).any()
+    assert not PlainPieces(spec.replace(b'"use_regex":true', b'"use_regex":false').replace(b'"use_regex": true', b'"use_regex": false')).fits
+
+
 def test_coder_learns_and_checks():
     ids = np.tile(np.arange(50, dtype="<u2"), 200)
     record = token_files.write_record([None, 2], [4000, 6000], ids)
