@@ -141,8 +141,8 @@ class ByteBPE:
 
 
 def _chunk_table(coder: ByteBPE) -> ChunkTable:
-    def codes(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [coder.encode(chunk) for chunk in chunks]
+    def codes(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [coder.encode(chunk) for chunk in chunks.to_numpy(zero_copy_only=False).tolist()]
         return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
 
     return ChunkTable(codes, "<u4", REMEMBERED)

@@ -24,14 +24,20 @@ LETTERS = (*range(0x41, 0x5B), *range(0x61, 0x7B))
 CLOSING = tuple(b"!\"),.:;?")
 
 
-def _classes(members: tuple[int, ...]) -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[list(members)] = True
-    return table
+# Bits of a byte's class in `chunked`: a blank; after which, or before which, a blank of ASCII may be one of several; and the two above.
+IS_BLANK, OPEN_LEFT, OPEN_RIGHT, IS_CLOSING, IS_LETTER = 1, 2, 4, 8, 16
 
 
-_BLANK, _OPEN_LEFT, _OPEN_RIGHT = _classes(BLANKS), _classes(BLANKS + LAST_BYTES), _classes(BLANKS + FIRST_BYTES)
-_LETTER, _CLOSING = _classes(LETTERS), _classes(CLOSING)
+def _classes() -> bytes:
+    table = np.zeros(256, np.uint8)
+    for bit, members in ((IS_BLANK, BLANKS), (OPEN_LEFT, BLANKS + LAST_BYTES), (OPEN_RIGHT, BLANKS + FIRST_BYTES), (IS_CLOSING, CLOSING), (IS_LETTER, LETTERS)):
+        table[list(members)] |= bit
+    return table.tobytes()
+
+
+_CLASSES = _classes()
+#: Chunks that are looked up at a time, whose arrays stay in the processor's cache.
+PART = 1 << 16
 
 # Classes of bytes in plain chunks: others, blanks that may stand first, letters (of ASCII, or from U+00C0 to U+00FF), digits, marks.
 OTHER, BLANK, LETTER, DIGIT, MARK = range(5)
@@ -103,7 +109,9 @@ class PlainPieces:
 
 def plain_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, nulls as empty, and the offset of every text and of the end."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
@@ -119,78 +127,192 @@ def distinct_slices(data: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.n
     """Distinct strings between neighbouring cuts of UTF-8 bytes, and for each slice the number of its string."""
     array = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(data))
     encoded = array.dictionary_encode()
-    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    return encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded.indices.to_numpy()
 
 
-def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct chunks of a column of texts, the number of each chunk in order, and how many chunks each text has.
+def strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The strings of these ranges of UTF-8 bytes."""
+    offsets = np.append(0, np.cumsum(lengths))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[flat_ranges(starts, lengths)]))
+
+
+def cut_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, where its chunks begin and the last ends, and how many chunks each text has.
 
     A null or empty text has none. A chunk is never longer than its text, and mostly a blank and a word.
     """
     data, offsets = plain_strings(column)
     if not len(data):
-        return [], np.empty(0, np.int32), np.zeros(len(column), np.int64)
-    cut = _BLANK[data]
+        return data, np.zeros(1, np.int64), np.zeros(len(column), np.int64)
+    kinds = np.frombuffer(data.tobytes().translate(_CLASSES), np.uint8)
     closed = np.empty(len(data), bool)  # whether the neighbour on either side is surely no blank
-    closed[:-1] = ~_OPEN_RIGHT[data[1:]]
+    closed[:-1] = kinds[1:] & OPEN_RIGHT == 0
     filled = offsets[:-1] < offsets[1:]
     closed[offsets[1:][filled] - 1] = False
-    closed[1:] |= ~_OPEN_LEFT[data[:-1]]
-    cut &= closed
-    cut[1:] |= _CLOSING[data[1:]] & _LETTER[data[:-1]]
+    closed[1:] |= kinds[:-1] & OPEN_LEFT == 0
+    cut = closed & (kinds & IS_BLANK).view(bool)
+    cut[1:] |= (kinds[1:] & IS_CLOSING != 0) & (kinds[:-1] & IS_LETTER != 0)
     cut[offsets[:-1][filled]] = True
     cuts = np.flatnonzero(cut)
-    counts = np.diff(np.searchsorted(cuts, offsets))
-    distinct, numbers = distinct_slices(data, np.append(cuts, len(data)))
-    return distinct, numbers, counts
+    return data, np.append(cuts, len(data)), np.diff(np.searchsorted(cuts, offsets))
+
+
+def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct chunks of a column of texts, the number of each chunk in order, and how many chunks each text has."""
+    data, cuts, counts = cut_places(column)
+    if not len(data):
+        return [], np.empty(0, np.int32), counts
+    return *distinct_slices(data, cuts), counts
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges start to start + length, one after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    places = np.repeat(starts - (ends - lengths), lengths)
+    places += np.arange(len(places))
+    return places
+
+
+class ShortKeys:
+    """A hash table of byte strings of 1 to SHORT bytes, with a number for each; all steps are on many strings at once.
+
+    A string is two integers, its first 8 bytes, and the others with its length on top. It stands in the first place free
+    or its own from its hash on. There are at least twice as many places as strings.
+    """
+
+    SHORT = 15
+    _FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
+
+    def __init__(self, most: int):
+        self.count, self.bits = 0, max(10, (2 * most).bit_length())
+        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.numbers = np.zeros(1 << self.bits, np.int32)
+
+    @staticmethod
+    def words(data: np.ndarray) -> np.ndarray:
+        """The bytes as integers, with some after the end."""
+        return np.append(data, np.zeros(32 - len(data) % 8, np.uint8)).view("<u8")
+
+    @classmethod
+    def keys(cls, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, shift = starts >> 3, (starts << 3 & 63).astype(np.uint64)
+        rest, one = np.uint64(63) - shift, np.uint64(1)
+        middle = words.take(at + 1)
+        low = (words.take(at) >> shift | middle << one << rest) & cls._FILLED.take(lengths, mode="clip")
+        high = (middle >> shift | words.take(at + 2) << one << rest) & cls._FILLED.take(lengths - 8, mode="clip")
+        return low, high | lengths.astype(np.uint64) << np.uint64(56)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key, or -1, and its place or the free one where it would stand."""
+        mixed = (low ^ low >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        places = (mixed >> np.uint64(64 - self.bits)).view(np.int64)
+        there = self.high.take(places)
+        same = (there == high) & (self.low.take(places) == low)
+        numbers = self.numbers.take(places)
+        numbers[~same] = -1
+        left = np.flatnonzero(~same & (there != 0))
+        while len(left):
+            places[left] = at = places[left] + 1 & len(self.low) - 1
+            there = self.high.take(at)
+            same = (there == high.take(left)) & (self.low.take(at) == low.take(left))
+            numbers[left[same]] = self.numbers.take(at[same])
+            left = left[~same & (there != 0)]
+        return numbers, places
+
+    def add(self, low: np.ndarray, high: np.ndarray, places: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that are not there, with places from `find`, get numbers from `first` on; gives one position of each
+        distinct key, in the order of its number, and the number of every key."""
+        if 2 * (self.count + len(low)) > len(self.low):
+            held = np.flatnonzero(self.high)
+            old = self.low[held], self.high[held], self.numbers[held]
+            self.__init__(self.count + len(low))
+            _, at = self.find(*old[:2])
+            won, _ = self.add(*old[:2], at, 0)
+            self.numbers[at[won]] = old[2][won]
+            _, places = self.find(low, high)
+        left, chosen = np.arange(len(low)), [np.empty(0, np.int64)]
+        while len(left):
+            # Of keys that meet at a free place, one takes it; the others look whether it is theirs, and else go on.
+            own = left[self.high.take(places.take(left)) == 0]
+            at = places.take(own)
+            self.numbers[at] = own
+            own = own[self.numbers.take(at) == own]
+            at = places.take(own)
+            self.low[at], self.high[at] = low.take(own), high.take(own)
+            chosen.append(own)
+            at = places.take(left)
+            left = left[(self.high.take(at) != high.take(left)) | (self.low.take(at) != low.take(left))]
+            places[left] = places.take(left) + 1 & len(self.low) - 1
+        chosen = np.sort(np.concatenate(chosen))
+        self.numbers[places.take(chosen)] = np.arange(first, first + len(chosen))
+        self.count += len(chosen)
+        return chosen, self.numbers.take(places).astype(np.int64)
 
 
 class ChunkTable:
     """What chunks encode to, as ranges of one array; begins anew when it holds more than `most` chunks.
 
-    `encode` gives the lengths and, joined, the codes of a list of chunks. Row 0 holds `first`.
+    `encode` gives the lengths and, joined, the codes of an array of chunks. Row 0 holds `first`.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, most: int, first: tuple[int, ...] = ()):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype, most: int, first: tuple[int, ...] = ()):
         self.encode, self.dtype, self.most, self.first = encode, np.dtype(dtype), most, first
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.short, self.long = ShortKeys(self.most), {}
         self.codes = np.array(self.first, self.dtype)
         self.offsets = np.array([0, len(self.first)], np.int64)
 
-    def rows_of(self, chunks: list[str]) -> np.ndarray:
-        """Rows of the chunks; row i is codes[offsets[i] : offsets[i + 1]]."""
-        new = [c for c in chunks if c not in self.rows]
-        if len(self.rows) + len(new) > self.most:
+    def append(self, chunks: pa.Array) -> None:
+        lengths, codes = self.encode(chunks)
+        self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(lengths))
+        self.codes = np.append(self.codes, codes.astype(self.dtype, copy=False))
+
+    def rows_of(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Rows of the chunks between neighbouring cuts; row i is codes[offsets[i] : offsets[i + 1]]."""
+        if len(self.offsets) > self.most:
             self.clear()
-            new = chunks
-        if new:
-            lengths, codes = self.encode(new)
-            self.rows.update(zip(new, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(new))))
-            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(lengths))
-            self.codes = np.append(self.codes, codes.astype(self.dtype, copy=False))
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+        rows, words = np.empty(len(cuts) - 1, np.int64), ShortKeys.words(data)
+        for start in range(0, len(rows), PART):
+            own = slice(start, start + PART)
+            self.fill(data, words, cuts[start : start + PART + 1], rows[own])
+        return rows
+
+    def fill(self, data: np.ndarray, words: np.ndarray, cuts: np.ndarray, rows: np.ndarray) -> None:
+        starts, lengths = cuts[:-1], np.diff(cuts)
+        long = np.flatnonzero(lengths > ShortKeys.SHORT)
+        # Long ones are looked up by what they begin with, and rightly below.
+        low, high = ShortKeys.keys(words, starts, lengths)
+        numbers, places = self.short.find(low, high)
+        missing = np.flatnonzero((numbers < 0) & (lengths <= ShortKeys.SHORT))
+        rows[:] = numbers
+        if len(missing):
+            first = len(self.offsets) - 1
+            chosen, rows[missing] = self.short.add(low[missing], high[missing], places[missing], first)
+            self.append(strings(data, starts[missing[chosen]], lengths[missing[chosen]]))
+        if len(long):
+            encoded = strings(data, starts[long], lengths[long]).dictionary_encode()
+            distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if new := [c for c in distinct if c not in self.long]:
+                first = len(self.offsets) - 1
+                self.append(pa.array(new, pa.large_string()))
+                self.long.update(zip(new, range(first, first + len(new))))
+            rows[long] = np.fromiter(map(self.long.__getitem__, distinct), np.int64, len(distinct))[encoded.indices.to_numpy()]
 
     def sizes(self, column: pa.Array) -> np.ndarray:
         """How many codes each text has."""
-        distinct, numbers, counts = chunked(column)
-        rows = self.rows_of(distinct) if distinct else np.empty(0, np.int64)
-        lengths = (self.offsets[rows + 1] - self.offsets[rows])[numbers]
+        data, cuts, counts = cut_places(column)
+        rows = self.rows_of(data, cuts)
+        lengths = np.diff(self.offsets).take(rows)
         total, ends = np.append(0, np.cumsum(lengths)), np.cumsum(counts)
         return total[ends] - total[ends - counts]
 
     def texts(self, column: pa.Array, closing: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all texts, joined, and the length of each; with `closing`, row 0 stands at each text's end."""
-        distinct, numbers, counts = chunked(column)
-        rows = self.rows_of(distinct)[numbers] if distinct else np.empty(0, np.int64)
+        data, cuts, counts = cut_places(column)
+        rows = self.rows_of(data, cuts)
         if closing:
             rows, counts = np.insert(rows, np.cumsum(counts), 0), counts + 1
         starts, ends = self.offsets[rows], np.cumsum(counts)

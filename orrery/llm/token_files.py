@@ -10,7 +10,7 @@ by digit. One narrowing of the interval thus codes an id by all three orders. Al
 Blocks do not depend on each other, so up to LANES of them are coded in lockstep, a vector operation doing one step
 of all of them. The working memory is that of LANES models, whatever the input.
 
-File format. A record holds the documents of a group in order: "OTF2", four little-endian uint32 (documents, blocks,
+File format. A record holds the documents of a group in order: "OTF3", four little-endian uint32 (documents, blocks,
 ids, bytes of an id: 2 or 4), per document an int64 doc_id, a uint8 that is 1 where it is null and a uint32 number of
 ids, per block three uint32 (ids, words, CRC-32 of the ids as little-endian integers), then the blocks' words (uint32).
 Records are rows of a table, ordered by shard and group.
@@ -35,14 +35,14 @@ from orrery.llm.bpe import VOCABULARY
 from orrery.llm.chunks import ChunkTable, PlainPieces, plain_strings
 from orrery.llm.common import materialise, planned_partitions, shipped_file, text_parts, tokenizer_path, worker_state
 
-MAGIC = b"OTF2"
+MAGIC = b"OTF3"
 BLOCK = 2048
-LANES = 2048
+LANES = 2560
 END = 2
 #: Ids of a group, after which the next document starts another.
-GROUP = 2 * BLOCK * LANES
+GROUP = 3 * BLOCK * LANES
 #: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 TEXT_BYTES = 4 << 20
 ENCODED = 8192
 #: Chunks of plain pieces that the library gets as one string.
@@ -54,165 +54,213 @@ BROADCAST_GROUPS = 500_000
 #: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
 HISTORY = (24, 48, 112, 224, 448, 896)
 SLOTS = 1 << 10
-COUNTS = 1 << 11
 WIDTH_BITS, SQUASH_BITS, RATE = 20, 12, 4
 ONE = 1 << WIDTH_BITS
-SHIFT, SETTLED, LEAST_RANGE, WIDTH = np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 28), np.uint64(WIDTH_BITS)
+#: Widths of intervals stay between LEAST and 2^63, so that 32 bits and a carry are above the KEPT low ones.
+KEPT_BITS = 31
+LEAST, KEPT, KEPT_SHIFT, WORD, WIDTH = (np.uint64(x) for x in (1 << KEPT_BITS, (1 << KEPT_BITS) - 1, KEPT_BITS, 32, WIDTH_BITS))
+DIGIT, WHOLE, ERROR_SHIFT = (np.uint64(x) for x in (16, ONE, WIDTH_BITS - SQUASH_BITS))
 #: Chance, of ONE, of log odds of 1/256 from -8 to 8. The rest has a part for each slot of the history.
-SQUASH = np.array([round(ONE * max(1 / 1024, min(1 - 1 / 256, 1 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.int64)
+SQUASH = np.array([round(ONE * max(1 / 1024, min(1 - 1 / 256, 1 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.uint64)
 #: Log odds that each lane begins with: by order 2's state (4), order 1's state and whether it agrees (8), the candidate's count (16).
-START = np.array([-200, -100, 200, 400] + [-200, -200, -100, 0, 0, 200, 100, 300] + [-300 + 20 * n for n in range(16)], dtype=np.int64)
+START = np.array([-200, -100, 200, 400] + [-200, -200, -100, 0, 0, 200, 100, 300] + [-300 + 20 * n for n in range(16)], dtype=np.int32)
+#: An id in the history: the id, its count up to MOST, its first slot and its number of slots. Counts in the tables go up to MOST + 1.
+ID_AT, COUNT_AT, START_AT, FIELD, MOST = 32, 26, 16, (1 << 10) - 1, 14
+#: Columns added to tables of blocks, whose rows would else be a power of two apart, all in a few sets of the processor's cache.
+PAD = 32
 
 
-class RangeCoder:
-    """Carry-less range coders with 64-bit intervals and 32-bit words, one a lane; totals are ONE."""
+class Encoder:
+    """Range encoders, one a lane. Words come out with a carry above their 32 bits; `finish` passes the carries on."""
 
-    def __init__(self, lanes: int, words: np.ndarray | None = None):
+    def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.decoding = words is not None
-        self.words = words if self.decoding else np.zeros((lanes, 2 * BLOCK + 8), np.uint32)
-        self.at = np.full(lanes, 2 if self.decoding else 0, np.int64)
-        if self.decoding:
-            self.code = words[:, 0].astype(np.uint64) << SHIFT | words[:, 1]
-
-    def settle(self, lanes, low: np.ndarray, width: np.ndarray) -> None:
-        """Put lanes (a slice or numbers) on new intervals, and move the words whose bits are known."""
-        few = np.flatnonzero(width < SETTLED)
-        if len(few):
-            a, w = low.take(few), width.take(few)
-            settled = (a ^ (a + w)) < SETTLED
-            if not settled.all():
-                short = ~settled & (w < LEAST_RANGE)
-                w = np.where(short, (~a + np.uint64(1)) & (LEAST_RANGE - np.uint64(1)), w)
-                moved = np.flatnonzero(settled | short)
-                few, a, w = few[moved], a[moved], w[moved]
-            own = few if isinstance(lanes, slice) else lanes[few]
-            at = self.at.take(own)
-            if self.decoding:
-                self.code[own] = self.code.take(own) << SHIFT | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
-            else:
-                self.words[own, at] = a >> SHIFT
-            self.at[own] = at + 1
-            low[few] = a << SHIFT
-            width[few] = w << SHIFT
-        self.low[lanes], self.range[lanes] = low, width
-
-    def digits(self, lanes: np.ndarray, token: np.ndarray | None, count: int) -> np.ndarray:
-        """Code ids as `count` digits of 16 bits, all alike; gives the ids."""
-        value = np.zeros(len(lanes), np.int64)
+        self.width = np.full(lanes, 1 << 32, np.uint64)
+        self.lanes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+
+    def narrow(self, part: slice, add: np.ndarray, width: np.ndarray) -> None:
+        """Go to the interval `add` above the one of each of the first lanes."""
+        low = self.low[part]
+        low += add
+        self.width[part] = width
+        few = np.flatnonzero(width < LEAST)
+        self.move(few, low.take(few), width.take(few))
+
+    def move(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """Put lanes on intervals of less than LEAST, and their upper words out."""
+        self.lanes.append(lanes.astype(np.uint16))
+        self.words.append(low >> KEPT_SHIFT)
+        self.low[lanes] = (low & KEPT) << WORD
+        self.width[lanes] = width << WORD
+
+    def digits(self, lanes: np.ndarray, token: np.ndarray, count: int) -> np.ndarray:
+        """Code ids as `count` digits of 16 bits, all alike."""
         for digit in range(count - 1, -1, -1):
-            low, share = self.low[lanes], self.range[lanes] >> np.uint64(16)
-            if token is None:
-                own = np.minimum((self.code[lanes] - low) // share, np.uint64(0xFFFF))
-            else:
-                own = (token >> 16 * digit & 0xFFFF).view(np.uint64)
-            self.settle(lanes, low + share * own, share)
-            value = value << 16 | own.view(np.int64)
-        return value
+            share = self.width.take(lanes) >> DIGIT
+            low = self.low.take(lanes) + share * (token >> 16 * digit & 0xFFFF).view(np.uint64)
+            self.low[lanes], self.width[lanes] = low, share
+            short = np.flatnonzero(share < LEAST)
+            self.move(lanes[short], low[short], share[short])
+        return token
 
     def finish(self) -> list[np.ndarray]:
-        lanes = np.arange(len(self.low))
+        """The words of each lane."""
+        every = np.arange(len(self.low))
         for _ in range(2):
-            self.words[lanes, self.at] = self.low >> SHIFT
-            self.low <<= SHIFT
-            self.at += 1
-        return [row[:n].copy() for row, n in zip(self.words, self.at)]
+            self.move(every, self.low, self.width)
+        lanes = np.concatenate(self.lanes)
+        words = np.concatenate(self.words)[np.argsort(lanes, kind="stable")]
+        # What a lane has coded is less than one, so its first word has no carry.
+        while len(carried := np.flatnonzero(words >> WORD)):
+            words[carried] &= np.uint64((1 << 32) - 1)
+            words[carried - 1] += np.uint64(1)
+        return np.split(words.astype(np.uint32), np.cumsum(np.bincount(lanes, minlength=len(every)))[:-1])
+
+
+class Decoder:
+    """Range decoders, one a lane; `above` is how far the code lies above the interval's lower end."""
+
+    def __init__(self, words: np.ndarray):
+        self.width = np.full(len(words), 1 << 32, np.uint64)
+        self.above = words[:, 0].astype(np.uint64) << KEPT_SHIFT | words[:, 1] >> 1
+        # The words as they come in: KEPT_BITS of the first two are there, so each is a bit of one and the others of the next.
+        self.feed = (words[:, 1:-1] << 31 | words[:, 2:] >> 1).ravel()
+        self.at = np.arange(len(words)) * (words.shape[1] - 2)
+
+    def narrow(self, part: slice, add: np.ndarray, width: np.ndarray) -> None:
+        self.above[part] -= add
+        self.width[part] = width
+        few = np.flatnonzero(width < LEAST)
+        self.move(few, width.take(few))
+
+    def move(self, lanes: np.ndarray, width: np.ndarray) -> None:
+        at = self.at.take(lanes)
+        self.above[lanes] = self.above.take(lanes) << WORD | self.feed.take(at, mode="clip")
+        self.at[lanes] = at + 1
+        self.width[lanes] = width << WORD
+
+    def digits(self, lanes: np.ndarray, token: None, count: int) -> np.ndarray:
+        value = np.zeros(len(lanes), np.int64)
+        for _ in range(count):
+            share, above = self.width.take(lanes) >> DIGIT, self.above.take(lanes)
+            own = np.minimum(above // share, np.uint64(0xFFFF))
+            self.above[lanes], self.width[lanes] = above - share * own, share
+            short = np.flatnonzero(share < LEAST)
+            self.move(lanes[short], share[short])
+            value = value << 16 | own.view(np.int64)
+        return value
 
 
 class Models:
     """The adaptive models of all lanes, and one step of coding."""
 
-    def __init__(self, lanes: int, coder: RangeCoder, digits: int):
+    def __init__(self, lanes: int, coder: Encoder | Decoder, digits: int):
         self.coder, self.digits = coder, digits
+        self.decoding = isinstance(coder, Decoder)
         self.lane = np.arange(lanes)
-        self.base1, self.base2, self.base0 = self.lane * SLOTS, self.lane * (3 * SLOTS), self.lane * COUNTS
-        entries = np.int32 if digits == 1 else np.int64
-        self.order1, self.order2 = np.zeros(lanes * SLOTS, entries), np.zeros(lanes * 3 * SLOTS, entries)
-        self.counts = np.zeros(lanes * COUNTS, np.uint8)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base1, self.base2 = self.lane * SLOTS, self.lane * (3 * SLOTS)
+        self.entries = np.int32 if digits == 1 else np.int64
+        self.order1, self.order2 = np.zeros(lanes * SLOTS, self.entries), np.zeros(lanes * 3 * SLOTS, self.entries)
+        self.last, self.both = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.odds = np.tile(START, lanes)
         self.parts = np.array([[0], [4], [12]]) + self.lane * len(START)
-        self.known, self.bits = 0, 0
 
-    def history(self, ids: np.ndarray, index: bool) -> None:
-        """Take the order-0 counts of the ids so far (lanes x places); `index` finds ids in them, for coding."""
+    def history(self, ids: np.ndarray, after: np.ndarray | None = None) -> None:
+        """Take the order-0 counts of the ids so far (lanes x places): a row of slots a lane for decoding, and for coding
+        what the ids `after` them, up to the next time, have there."""
         lanes, self.known = ids.shape
-        self.bits = self.known.bit_length()
-        ordered = np.sort(ids, axis=1, kind="stable").ravel()
+        self.bits = np.uint64(self.known.bit_length())
+        if self.decoding:
+            # Each of a lane's slots, and one for new ids.
+            self.place = self.lane * (self.known + 1)
+            slots = np.full((lanes, self.known + 1), self.known << START_AT)
+            for start in range(0, lanes if self.known else 0, PAD):
+                slots[start : start + PAD, :-1] = np.repeat(*self.entries_of(ids[start : start + PAD])[1:]).reshape(-1, self.known)
+            self.slots = slots.ravel()
+            return
+        self.coming = np.full(after.shape[::-1], self.known << START_AT, np.int32)
+        if not self.known:
+            return
+        # Some lanes at a time, whose index stays in the processor's cache. Of ids that meet in a cell, the last stays; the others are coded as new ones.
+        cells = 2 << self.known.bit_length()
+        for start in range(0, lanes, PAD):
+            row, entry, _ = self.entries_of(ids[start : start + PAD])
+            index = np.full(min(PAD, lanes - start) * cells, -1)
+            index[row * cells + cell(entry >> ID_AT, cells)] = entry
+            own = after[start : start + PAD].astype(np.int64)
+            kept = index.take(cell(own, cells) + np.arange(0, len(index), cells)[:, None])
+            there = kept >> ID_AT == own
+            self.coming[:, start : start + PAD] = ((kept & (1 << ID_AT) - 1) * there + ~there * (self.known << START_AT)).T
+
+    @staticmethod
+    def entries_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, entry and number of slots of each row's distinct ids, in order."""
+        known = ids.shape[1]
+        ordered = np.sort(ids, axis=1).ravel()
         first = np.empty(len(ordered), bool)
         first[1:] = ordered[1:] != ordered[:-1]
-        first[:: self.known] = True
+        first[::known] = True
         starts = np.flatnonzero(first)
         widths = np.diff(starts, append=len(ordered))
-        entry = ordered[starts].astype(np.int64) << 32 | starts % self.known << 16 | widths
-        self.base = self.lane * self.known
-        if index:
-            # Of ids that meet in a cell, the last stays; the others are coded as new ones.
-            self.cells = 2 << self.bits
-            self.place = self.lane * self.cells
-            self.index = np.full(lanes * self.cells, -1)
-            self.index[starts // self.known * self.cells + cell(ordered[starts].astype(np.int64), self.cells)] = entry
-        else:
-            self.slots = np.repeat(entry, widths)  # id, first slot and number of slots, for each of a lane's slots
+        row = starts // known
+        return row, ordered[starts].astype(np.int64) << ID_AT | np.minimum(widths, MOST) << COUNT_AT | starts - row * known << START_AT | widths, widths
+
+    def step(self, active: int, token: np.ndarray | None, kept: np.ndarray | None = None) -> np.ndarray:
+        """Code the next id of the first `active` lanes: `token`, which has `kept` in the history, or decode it.
 
-    def step(self, active: int, token: np.ndarray | None) -> np.ndarray:
-        """Code the next id of the first `active` lanes; `token` is None when decoding."""
+        Choices are made by arithmetic, as branches on what came would be mispredicted.
+        """
         coder, part = self.coder, slice(0, active)
-        slot1 = self.base1[part] + self.last[part]
-        slot2 = self.base2[part] + self.last[part] + self.before[part]
+        slot1, slot2 = self.base1[part] + self.last[part], self.base2[part] + self.both[part]
         # An entry: the id that came last, its count then, and 0 if there is none yet, else how often it was right, from 1 to 3.
         entry1, entry2 = self.order1.take(slot1), self.order2.take(slot2)
         sure1, sure2 = entry1 & 3, entry2 & 3
-        entry = np.where(sure2, entry2, entry1)
-        guess = (entry >> 6).astype(np.int64)
-        at = self.parts[:, :active].copy()
-        at[0] += sure2
-        at[1] += (sure1 << 1) + (entry1 >> 6 == guess)
-        at[2] += entry >> 2 & 15
+        entry = entry1 + (entry2 - entry1) * (sure2 != 0)
+        last1, last2, guess = entry1 >> 6, entry2 >> 6, entry >> 6
+        count = entry >> 2 & 15
+        at = np.empty((3, active), np.int64)
+        np.add(self.parts[0, part], sure2, out=at[0])
+        np.add(self.parts[1, part], (sure1 << 1) + (last1 == guess), out=at[1])
+        np.add(self.parts[2, part], count, out=at[2])
         odds = self.odds.take(at)
-        chance = SQUASH.take(np.add.reduce(odds, axis=0) + 2048, mode="clip")
+        chance = SQUASH.take(odds[0] + odds[1] + odds[2] + 2048, mode="clip")
 
         # The interval is the candidate's part, then a part for each slot of the history, then that of new ids.
-        low, width = coder.low[part], coder.range[part]
-        share = width >> WIDTH
-        each = ONE - chance >> self.bits
+        share = coder.width[part] >> WIDTH
+        edge = share * chance
+        each = share * (WHOLE - chance >> self.bits)
         if token is None:
-            target = (coder.code[part] - low) // share
-            hit = target < chance.view(np.uint64)
-            slot = (target - chance.view(np.uint64)) // each.view(np.uint64)
-            if self.known:
-                kept = self.slots.take(self.base[part] + np.minimum(slot, np.uint64(self.known - 1)).view(np.int64))
-                new = np.flatnonzero((slot >= self.known) & ~hit)
-            else:
-                kept, new = np.zeros(active, np.int64), np.flatnonzero(~hit)
-            found = np.where(hit, guess, kept >> 32)
+            above = coder.above[part]
+            hit = above < edge
+            kept = self.slots.take(self.place[part] + np.minimum((above - edge) // each, np.uint64(self.known)).view(np.int64))
+            hits = hit.astype(np.int64)
+            found = kept >> ID_AT
+            found += (guess - found) * hits
         else:
-            found, hit = token, token == guess
-            if self.known:
-                kept = self.index.take(self.place[part] + cell(token, self.cells))
-                new = np.flatnonzero((kept >> 32 != token) & ~hit)
-            else:
-                kept, new = np.zeros(active, np.int64), np.flatnonzero(~hit)
-        begin, size = np.where(hit, 0, (kept >> 16 & 0xFFFF) * each + chance), np.where(hit, chance, (kept & 0xFFFF) * each)
-        if len(new):
-            begin[new] = edge = each[new] * self.known + chance[new]
-            size[new] = ONE - edge
-        coder.settle(part, low + share * begin.view(np.uint64), share * size.view(np.uint64))
+            found, hit = token, guess == token
+            hits = hit.astype(np.int64)
+        size = (kept & FIELD).astype(np.uint64) * each
+        size += (edge - size) * hits.view(np.uint64)
+        add = ((kept >> START_AT & FIELD).astype(np.uint64) * each + edge) * (hits ^ 1).view(np.uint64)
+        new = np.flatnonzero(size == 0)
+        size[new] = share[new] * WHOLE - add[new]
+        coder.narrow(part, add, size)
         if len(new):
             digits = coder.digits(new, None if token is None else token[new], self.digits)
             if token is None:
                 found[new] = digits
 
-        self.odds[at] = odds + ((hit << SQUASH_BITS) - (chance >> WIDTH_BITS - SQUASH_BITS) >> RATE)
-        own = self.base0[part] + (found & COUNTS - 1)
-        count = np.minimum(self.counts.take(own) + 1, 15)
-        self.counts[own] = count
-        entry = (found << 4 | count) << 2
-        self.order1[slot1] = entry + np.minimum((entry1 >> 6 == found) * sure1 + 1, 3)
-        self.order2[slot2] = entry + np.minimum((entry2 >> 6 == found) * sure2 + 1, 3)
-        self.before[part] = self.last[part] << 1
-        self.last[part] = cell(found, SLOTS)
+        error = ((hits << SQUASH_BITS) - (chance >> ERROR_SHIFT).view(np.int64) >> RATE).astype(np.int32)
+        self.odds[at.ravel()] = (odds + error).ravel()
+        seen = kept >> COUNT_AT & 15
+        seen = seen + (np.minimum(count, MOST) - seen) * hits
+        entry = ((found << 4) + seen + 1 << 2).astype(self.entries)
+        self.order1[slot1] = entry + np.minimum((last1 == found) * sure1 + 1, 3)
+        self.order2[slot2] = entry + np.minimum((last2 == found) * sure2 + 1, 3)
+        now = cell(found, SLOTS)
+        self.both[part] = (self.last[part] << 1) + now
+        self.last[part] = now
         return found
 
 
@@ -233,17 +281,21 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     starts = range(0, len(ids), BLOCK)
     for part in even_parts(len(starts), LANES):
         blocks = [ids[s : s + BLOCK] for s in starts[part]]  # from long to short, as decoding needs
-        rows = np.zeros((len(blocks), len(blocks[0])), ids.dtype)
+        rows = np.zeros((len(blocks), len(blocks[0]) + PAD), ids.dtype)[:, :-PAD]
         for row, block in zip(rows, blocks):
             row[: len(block)] = block
-        coder = RangeCoder(len(blocks))
+        coder = Encoder(len(blocks))
         models = Models(len(blocks), coder, ids.dtype.itemsize // 2)
-        columns = np.ascontiguousarray(rows.T)
+        columns = rows.T
+        taken = (0, *HISTORY, BLOCK)
         for t in range(len(columns)):
-            if t in HISTORY:
-                models.history(rows[:, :t], index=True)
+            if t in taken:
+                begin = t
+                models.history(rows[:, :t], rows[:, t : taken[taken.index(t) + 1]])
+            if t % PAD == 0:
+                several = columns[t : t + PAD].astype(np.int64, order="C")
             active = len(blocks) if t < len(blocks[-1]) else len(blocks) - 1
-            models.step(active, columns[t, :active].astype(np.int64))
+            models.step(active, several[t % PAD, :active], models.coming[t - begin, :active])
         coded += [(len(b), zlib.crc32(b.astype(b.dtype.newbyteorder("<"), copy=False).tobytes()), w) for b, w in zip(blocks, coder.finish())]
     return coded
 
@@ -252,14 +304,14 @@ def decode_blocks(coded: list[tuple[int, int, np.ndarray]], dtype="<u2") -> np.n
     """The ids of blocks of which only the last is shorter than the others; raises ValueError on a wrong checksum."""
     found = []
     for part in map(coded.__getitem__, even_parts(len(coded), LANES)):
-        words = np.zeros((len(part), max(2, *(len(w) for _, _, w in part))), np.uint32)
+        words = np.zeros((len(part), 3 + max(len(w) for _, _, w in part)), np.uint32)
         for row, (_, _, own) in zip(words, part):
             row[: len(own)] = own
-        models = Models(len(part), RangeCoder(len(part), words), np.dtype(dtype).itemsize // 2)
-        columns = np.zeros((part[0][0], len(part)), dtype)
+        models = Models(len(part), Decoder(words), np.dtype(dtype).itemsize // 2)
+        columns = np.zeros((part[0][0], len(part) + PAD), dtype)[:, :-PAD]
         for t in range(len(columns)):
-            if t in HISTORY:
-                models.history(np.ascontiguousarray(columns[:t].T), index=False)
+            if t == 0 or t in HISTORY:
+                models.history(np.ascontiguousarray(columns[:t].T))
             active = len(part) if t < part[-1][0] else len(part) - 1
             columns[t, :active] = models.step(active, None)
         for (n, crc, _), row in zip(part, columns.T):
@@ -324,20 +376,19 @@ def chunk_table(file: bytes, end: int) -> ChunkTable:
         merger = loaded()
         merger.pre_tokenizer = CharDelimiterSplit("\n")
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not pieces.fits:
-            lengths, codes = library(tokenizer, chunks)
+            lengths, codes = library(tokenizer, chunks.to_pylist())
             return np.array(lengths, np.int64), np.concatenate(codes)
-        array = pa.array(chunks, pa.large_string())
-        plain = pieces.plain(*plain_strings(array))
-        data, offsets = plain_strings(array.filter(pa.array(plain)))
+        plain = pieces.plain(*plain_strings(chunks))
+        data, offsets = plain_strings(chunks.filter(pa.array(plain)))
         codes = np.concatenate(library(merger, pieces.strings(data, offsets, JOINED))[1])
         lengths = np.empty(len(chunks), np.int64)
         lengths[plain] = pieces.counts(codes, offsets)
         if plain.all():
             return lengths, codes
         others = np.flatnonzero(~plain)
-        lengths[others], other_codes = library(tokenizer, [chunks[i] for i in others.tolist()])
+        lengths[others], other_codes = library(tokenizer, chunks.take(pa.array(others)).to_pylist())
         own = np.repeat(plain, lengths)
         joined = np.empty(len(own), np.uint32)
         joined[own], joined[~own] = codes, np.concatenate(other_codes)

@@ -698,7 +698,7 @@ def test_plain_pieces_are_cut_as_by_the_library(library, data):
         spec = file.read()
     table, pieces = token_files.chunk_table(spec, 2), PlainPieces(spec)
     for own in (chunks, words, [c for c in chunks if "'" in c], [" abc"], [" ", "\n", "."], ["\x00"]):
-        lengths, ids = table.encode(own)
+        lengths, ids = table.encode(pa.array(own))
         expected = [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
         assert lengths.tolist() == [len(e) for e in expected] and ids.tolist() == list(itertools.chain.from_iterable(expected))
     assert pieces.plain(*plain_strings(pa.array(words))).mean() > 0.8
