@@ -177,14 +177,14 @@ class ShortKeys:
     """A hash table of byte strings of 1 to SHORT bytes, with a number for each; all steps are on many strings at once.
 
     A string is two integers, its first 8 bytes, and the others with its length on top. It stands in the first place free
-    or its own from its hash on. There are at least twice as many places as strings.
+    or its own from its hash on. At most three quarters of the places are taken.
     """
 
     SHORT = 15
     _FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
 
     def __init__(self, most: int):
-        self.count, self.bits = 0, max(10, (2 * most).bit_length())
+        self.count, self.bits = 0, max(10, (3 * most // 2).bit_length())
         self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
         self.numbers = np.zeros(1 << self.bits, np.int32)
 
@@ -223,7 +223,7 @@ class ShortKeys:
     def add(self, low: np.ndarray, high: np.ndarray, places: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys that are not there, with places from `find`, get numbers from `first` on; gives one position of each
         distinct key, in the order of its number, and the number of every key."""
-        if 2 * (self.count + len(low)) > len(self.low):
+        if 4 * (self.count + len(low)) > 3 * len(self.low):
             held = np.flatnonzero(self.high)
             old = self.low[held], self.high[held], self.numbers[held]
             self.__init__(self.count + len(low))
@@ -262,17 +262,25 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.short, self.long = ShortKeys(self.most), {}
-        self.codes = np.array(self.first, self.dtype)
-        self.offsets = np.array([0, len(self.first)], np.int64)
+        self.count = 1
+        self.codes, self.offsets = np.empty(1 << 16, self.dtype), np.zeros(1 << 16, np.int64)
+        self.codes[: len(self.first)] = self.first
+        self.offsets[1] = len(self.first)
 
     def append(self, chunks: pa.Array) -> None:
         lengths, codes = self.encode(chunks)
-        self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(lengths))
-        self.codes = np.append(self.codes, codes.astype(self.dtype, copy=False))
+        begin, upto = int(self.offsets[self.count]), self.count + len(lengths)
+        if upto >= len(self.offsets):
+            self.offsets = np.append(self.offsets, np.empty(upto, np.int64))
+        if begin + len(codes) > len(self.codes):
+            self.codes = np.append(self.codes, np.empty(begin + len(codes), self.dtype))
+        self.offsets[self.count + 1 : upto + 1] = begin + np.cumsum(lengths)
+        self.codes[begin : begin + len(codes)] = codes
+        self.count = upto
 
     def rows_of(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Rows of the chunks between neighbouring cuts; row i is codes[offsets[i] : offsets[i + 1]]."""
-        if len(self.offsets) > self.most:
+        if self.count > self.most:
             self.clear()
         rows, words = np.empty(len(cuts) - 1, np.int64), ShortKeys.words(data)
         for start in range(0, len(rows), PART):
@@ -289,14 +297,14 @@ class ChunkTable:
         missing = np.flatnonzero((numbers < 0) & (lengths <= ShortKeys.SHORT))
         rows[:] = numbers
         if len(missing):
-            first = len(self.offsets) - 1
+            first = self.count
             chosen, rows[missing] = self.short.add(low[missing], high[missing], places[missing], first)
             self.append(strings(data, starts[missing[chosen]], lengths[missing[chosen]]))
         if len(long):
             encoded = strings(data, starts[long], lengths[long]).dictionary_encode()
             distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if new := [c for c in distinct if c not in self.long]:
-                first = len(self.offsets) - 1
+                first = self.count
                 self.append(pa.array(new, pa.large_string()))
                 self.long.update(zip(new, range(first, first + len(new))))
             rows[long] = np.fromiter(map(self.long.__getitem__, distinct), np.int64, len(distinct))[encoded.indices.to_numpy()]
@@ -305,7 +313,7 @@ class ChunkTable:
         """How many codes each text has."""
         data, cuts, counts = cut_places(column)
         rows = self.rows_of(data, cuts)
-        lengths = np.diff(self.offsets).take(rows)
+        lengths = self.offsets.take(rows + 1) - self.offsets.take(rows)
         total, ends = np.append(0, np.cumsum(lengths)), np.cumsum(counts)
         return total[ends] - total[ends - counts]
 
@@ -315,7 +323,7 @@ class ChunkTable:
         rows = self.rows_of(data, cuts)
         if closing:
             rows, counts = np.insert(rows, np.cumsum(counts), 0), counts + 1
-        starts, ends = self.offsets[rows], np.cumsum(counts)
-        lengths = self.offsets[rows + 1] - starts
+        starts, ends = self.offsets.take(rows), np.cumsum(counts)
+        lengths = self.offsets.take(rows + 1) - starts
         total = np.append(0, np.cumsum(lengths))
-        return self.codes[flat_ranges(starts, lengths)], total[ends] - total[ends - counts]
+        return self.codes.take(flat_ranges(starts, lengths)), total[ends] - total[ends - counts]

@@ -24,7 +24,7 @@ from orrery.llm.token_files import chunk_table
 
 BUCKETS = 16
 BUDGET = 32_768
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 1 << 20
 #: Rows of a bucket that are numbered together.
 CELL_ROWS = 4096
 

@@ -37,13 +37,13 @@ from orrery.llm.common import materialise, planned_partitions, shipped_file, tex
 
 MAGIC = b"OTF3"
 BLOCK = 2048
-LANES = 2560
+LANES = 2048
 END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = 3 * BLOCK * LANES
 #: Distinct chunks that a worker remembers, and bytes of text and chunks that are worked on at a time.
-REMEMBERED = 600_000
-TEXT_BYTES = 4 << 20
+REMEMBERED = 1_200_000
+TEXT_BYTES = 512 << 10
 ENCODED = 8192
 #: Chunks of plain pieces that the library gets as one string.
 JOINED = 512
@@ -53,13 +53,13 @@ BROADCAST_GROUPS = 500_000
 
 #: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
 HISTORY = (24, 48, 112, 224, 448, 896)
-SLOTS = 1 << 10
+SLOTS = 1 << 9
 WIDTH_BITS, SQUASH_BITS, RATE = 20, 12, 4
 ONE = 1 << WIDTH_BITS
 #: Widths of intervals stay between LEAST and 2^63, so that 32 bits and a carry are above the KEPT low ones.
 KEPT_BITS = 31
 LEAST, KEPT, KEPT_SHIFT, WORD, WIDTH = (np.uint64(x) for x in (1 << KEPT_BITS, (1 << KEPT_BITS) - 1, KEPT_BITS, 32, WIDTH_BITS))
-DIGIT, WHOLE, ERROR_SHIFT = (np.uint64(x) for x in (16, ONE, WIDTH_BITS - SQUASH_BITS))
+DIGIT, WHOLE, ERROR_SHIFT, UNIT = (np.uint64(x) for x in (16, ONE, WIDTH_BITS - SQUASH_BITS, 1))
 #: Chance, of ONE, of log odds of 1/256 from -8 to 8. The rest has a part for each slot of the history.
 SQUASH = np.array([round(ONE * max(1 / 1024, min(1 - 1 / 256, 1 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.uint64)
 #: Log odds that each lane begins with: by order 2's state (4), order 1's state and whether it agrees (8), the candidate's count (16).
@@ -76,7 +76,9 @@ class Encoder:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.width = np.full(lanes, 1 << 32, np.uint64)
+        self.counts = np.zeros(lanes, np.uint16)
         self.lanes: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
     def narrow(self, part: slice, add: np.ndarray, width: np.ndarray) -> None:
@@ -89,7 +91,10 @@ class Encoder:
 
     def move(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
         """Put lanes on intervals of less than LEAST, and their upper words out."""
+        places = self.counts.take(lanes)
+        self.counts[lanes] = places + 1
         self.lanes.append(lanes.astype(np.uint16))
+        self.places.append(places)
         self.words.append(low >> KEPT_SHIFT)
         self.low[lanes] = (low & KEPT) << WORD
         self.width[lanes] = width << WORD
@@ -98,10 +103,10 @@ class Encoder:
         """Code ids as `count` digits of 16 bits, all alike."""
         for digit in range(count - 1, -1, -1):
             share = self.width.take(lanes) >> DIGIT
-            low = self.low.take(lanes) + share * (token >> 16 * digit & 0xFFFF).view(np.uint64)
+            low = self.low.take(lanes) + share * (token >> 16 * digit & 0xFFFF).astype(np.uint64)
             self.low[lanes], self.width[lanes] = low, share
             short = np.flatnonzero(share < LEAST)
-            self.move(lanes[short], low[short], share[short])
+            self.move(lanes.take(short), low.take(short), share.take(short))
         return token
 
     def finish(self) -> list[np.ndarray]:
@@ -109,13 +114,14 @@ class Encoder:
         every = np.arange(len(self.low))
         for _ in range(2):
             self.move(every, self.low, self.width)
-        lanes = np.concatenate(self.lanes)
-        words = np.concatenate(self.words)[np.argsort(lanes, kind="stable")]
+        most = int(self.counts.max())
+        words = np.zeros(len(every) * most, np.uint64)
+        words[np.concatenate(self.lanes) * np.int64(most) + np.concatenate(self.places)] = np.concatenate(self.words)
         # What a lane has coded is less than one, so its first word has no carry.
         while len(carried := np.flatnonzero(words >> WORD)):
             words[carried] &= np.uint64((1 << 32) - 1)
             words[carried - 1] += np.uint64(1)
-        return np.split(words.astype(np.uint32), np.cumsum(np.bincount(lanes, minlength=len(every)))[:-1])
+        return [row[:n].astype(np.uint32) for row, n in zip(words.reshape(len(every), -1), self.counts.tolist())]
 
 
 class Decoder:
@@ -147,7 +153,7 @@ class Decoder:
             own = np.minimum(above // share, np.uint64(0xFFFF))
             self.above[lanes], self.width[lanes] = above - share * own, share
             short = np.flatnonzero(share < LEAST)
-            self.move(lanes[short], share[short])
+            self.move(lanes.take(short), share.take(short))
             value = value << 16 | own.view(np.int64)
         return value
 
@@ -215,12 +221,14 @@ class Models:
         slot1, slot2 = self.base1[part] + self.last[part], self.base2[part] + self.both[part]
         # An entry: the id that came last, its count then, and 0 if there is none yet, else how often it was right, from 1 to 3.
         entry1, entry2 = self.order1.take(slot1), self.order2.take(slot2)
-        sure1, sure2 = entry1 & 3, entry2 & 3
-        entry = entry1 + (entry2 - entry1) * (sure2 != 0)
+        sure1 = entry1 & 3
+        entry = entry1 * (entry2 == 0)
+        entry += entry2
         last1, last2, guess = entry1 >> 6, entry2 >> 6, entry >> 6
-        count = entry >> 2 & 15
+        count = entry >> 2
+        count &= 15
         at = np.empty((3, active), np.int64)
-        np.add(self.parts[0, part], sure2, out=at[0])
+        np.add(self.parts[0, part], entry2 & 3, out=at[0])
         np.add(self.parts[1, part], (sure1 << 1) + (last1 == guess), out=at[1])
         np.add(self.parts[2, part], count, out=at[2])
         odds = self.odds.take(at)
@@ -229,37 +237,53 @@ class Models:
         # The interval is the candidate's part, then a part for each slot of the history, then that of new ids.
         share = coder.width[part] >> WIDTH
         edge = share * chance
-        each = share * (WHOLE - chance >> self.bits)
+        each = WHOLE - chance
+        each >>= self.bits
+        each *= share
         if token is None:
             above = coder.above[part]
             hit = above < edge
-            kept = self.slots.take(self.place[part] + np.minimum((above - edge) // each, np.uint64(self.known)).view(np.int64))
-            hits = hit.astype(np.int64)
-            found = kept >> ID_AT
-            found += (guess - found) * hits
+            slot = above - edge
+            slot //= each
+            kept = self.slots.take(self.place[part] + np.minimum(slot, np.uint64(self.known), out=slot).view(np.int64))
+            found, kept = (kept >> ID_AT).astype(self.entries), kept.astype(np.int32)
+            own = hit.astype(np.int32)
+            found += (guess - found) * own
         else:
             found, hit = token, guess == token
-            hits = hit.astype(np.int64)
-        size = (kept & FIELD).astype(np.uint64) * each
-        size += (edge - size) * hits.view(np.uint64)
-        add = ((kept >> START_AT & FIELD).astype(np.uint64) * each + edge) * (hits ^ 1).view(np.uint64)
+            own = hit.astype(np.int32)
+        hits = own.astype(np.uint64)
+        size = (kept & FIELD).astype(np.uint64)
+        size *= each
+        size += (edge - size) * hits
+        add = (kept >> START_AT & FIELD).astype(np.uint64)
+        add *= each
+        add += edge
+        add *= hits ^ UNIT
         new = np.flatnonzero(size == 0)
-        size[new] = share[new] * WHOLE - add[new]
+        size[new] = share.take(new) * WHOLE - add.take(new)
         coder.narrow(part, add, size)
         if len(new):
-            digits = coder.digits(new, None if token is None else token[new], self.digits)
+            digits = coder.digits(new, None if token is None else token.take(new), self.digits)
             if token is None:
                 found[new] = digits
 
-        error = ((hits << SQUASH_BITS) - (chance >> ERROR_SHIFT).view(np.int64) >> RATE).astype(np.int32)
-        self.odds[at.ravel()] = (odds + error).ravel()
-        seen = kept >> COUNT_AT & 15
-        seen = seen + (np.minimum(count, MOST) - seen) * hits
-        entry = ((found << 4) + seen + 1 << 2).astype(self.entries)
+        error = own << SQUASH_BITS
+        error -= (chance >> ERROR_SHIFT).astype(np.int32)
+        error >>= RATE
+        odds += error
+        self.odds[at.ravel()] = odds.ravel()
+        seen = kept >> COUNT_AT
+        seen &= 15
+        seen += (np.minimum(count, MOST) - seen) * own
+        entry = found << 4
+        entry += seen
+        entry += 1
+        entry <<= 2
         self.order1[slot1] = entry + np.minimum((last1 == found) * sure1 + 1, 3)
-        self.order2[slot2] = entry + np.minimum((last2 == found) * sure2 + 1, 3)
-        now = cell(found, SLOTS)
-        self.both[part] = (self.last[part] << 1) + now
+        self.order2[slot2] = entry + np.minimum((last2 == found) * (entry2 & 3) + 1, 3)
+        now = cell(found, SLOTS).astype(np.int64)
+        np.add(self.last[part] << 1, now, out=self.both[part])
         self.last[part] = now
         return found
 
@@ -293,7 +317,7 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
                 begin = t
                 models.history(rows[:, :t], rows[:, t : taken[taken.index(t) + 1]])
             if t % PAD == 0:
-                several = columns[t : t + PAD].astype(np.int64, order="C")
+                several = columns[t : t + PAD].astype(models.entries, order="C")
             active = len(blocks) if t < len(blocks[-1]) else len(blocks) - 1
             models.step(active, several[t % PAD, :active], models.coming[t - begin, :active])
         coded += [(len(b), zlib.crc32(b.astype(b.dtype.newbyteorder("<"), copy=False).tobytes()), w) for b, w in zip(blocks, coder.finish())]
@@ -314,8 +338,11 @@ def decode_blocks(coded: list[tuple[int, int, np.ndarray]], dtype="<u2") -> np.n
                 models.history(np.ascontiguousarray(columns[:t].T))
             active = len(part) if t < part[-1][0] else len(part) - 1
             columns[t, :active] = models.step(active, None)
-        for (n, crc, _), row in zip(part, columns.T):
-            block = row[:n].copy()
+        rows = np.empty(columns.shape[::-1], dtype)
+        for t in range(0, len(columns), PAD):
+            rows[:, t : t + PAD] = columns[t : t + PAD].T
+        for (n, crc, _), row in zip(part, rows):
+            block = row[:n]
             if zlib.crc32(block.tobytes()) != crc:
                 raise ValueError("a block's checksum is wrong")
             found.append(block)
