@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.llm.bpe import VOCABULARY
-from orrery.llm.chunks import ChunkTable, PlainPieces, plain_strings
+from orrery.llm.chunks import ChunkTable, PlainPieces, binary, plain_strings
 from orrery.llm.common import materialise, planned_partitions, shipped_file, text_parts, tokenizer_path, worker_state
 
 MAGIC = b"OTF3"
 BLOCK = 2048
-LANES = 2048
+LANES = 2560
 END = 2
 #: Ids of a group, after which the next document starts another.
 GROUP = 3 * BLOCK * LANES
@@ -53,13 +53,13 @@ BROADCAST_GROUPS = 500_000
 
 #: Places of a block at which the order-0 counts are taken anew; up to the next power of two is left for new ids.
 HISTORY = (24, 48, 112, 224, 448, 896)
-SLOTS = 1 << 9
+SLOT_BITS, WAY_BITS = 9, 2
 WIDTH_BITS, SQUASH_BITS, RATE = 20, 12, 4
 ONE = 1 << WIDTH_BITS
 #: Widths of intervals stay between LEAST and 2^63, so that 32 bits and a carry are above the KEPT low ones.
 KEPT_BITS = 31
 LEAST, KEPT, KEPT_SHIFT, WORD, WIDTH = (np.uint64(x) for x in (1 << KEPT_BITS, (1 << KEPT_BITS) - 1, KEPT_BITS, 32, WIDTH_BITS))
-DIGIT, WHOLE, ERROR_SHIFT, UNIT = (np.uint64(x) for x in (16, ONE, WIDTH_BITS - SQUASH_BITS, 1))
+DIGIT, DIGITS, WHOLE, ERROR_SHIFT, UNIT = (np.uint64(x) for x in (16, 0xFFFF, ONE, WIDTH_BITS - SQUASH_BITS, 1))
 #: Chance, of ONE, of log odds of 1/256 from -8 to 8. The rest has a part for each slot of the history.
 SQUASH = np.array([round(ONE * max(1 / 1024, min(1 - 1 / 256, 1 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.uint64)
 #: Log odds that each lane begins with: by order 2's state (4), order 1's state and whether it agrees (8), the candidate's count (16).
@@ -99,15 +99,13 @@ class Encoder:
         self.low[lanes] = (low & KEPT) << WORD
         self.width[lanes] = width << WORD
 
-    def digits(self, lanes: np.ndarray, token: np.ndarray, count: int) -> np.ndarray:
-        """Code ids as `count` digits of 16 bits, all alike."""
-        for digit in range(count - 1, -1, -1):
-            share = self.width.take(lanes) >> DIGIT
-            low = self.low.take(lanes) + share * (token >> 16 * digit & 0xFFFF).astype(np.uint64)
-            self.low[lanes], self.width[lanes] = low, share
-            short = np.flatnonzero(share < LEAST)
-            self.move(lanes.take(short), low.take(short), share.take(short))
-        return token
+    def digits(self, lanes: np.ndarray, token: np.ndarray) -> None:
+        """Code the last 16 bits of ids, all alike."""
+        share = self.width.take(lanes) >> DIGIT
+        low = self.low.take(lanes) + share * (token & 0xFFFF).astype(np.uint64)
+        self.low[lanes], self.width[lanes] = low, share
+        short = np.flatnonzero(share < LEAST)
+        self.move(lanes.take(short), low.take(short), share.take(short))
 
     def finish(self) -> list[np.ndarray]:
         """The words of each lane."""
@@ -146,16 +144,13 @@ class Decoder:
         self.at[lanes] = at + 1
         self.width[lanes] = width << WORD
 
-    def digits(self, lanes: np.ndarray, token: None, count: int) -> np.ndarray:
-        value = np.zeros(len(lanes), np.int64)
-        for _ in range(count):
-            share, above = self.width.take(lanes) >> DIGIT, self.above.take(lanes)
-            own = np.minimum(above // share, np.uint64(0xFFFF))
-            self.above[lanes], self.width[lanes] = above - share * own, share
-            short = np.flatnonzero(share < LEAST)
-            self.move(lanes.take(short), share.take(short))
-            value = value << 16 | own.view(np.int64)
-        return value
+    def digits(self, lanes: np.ndarray, token: None) -> np.ndarray:
+        share, above = self.width.take(lanes) >> DIGIT, self.above.take(lanes)
+        own = np.minimum(above // share, DIGITS)
+        self.above[lanes], self.width[lanes] = above - share * own, share
+        short = np.flatnonzero(share < LEAST)
+        self.move(lanes.take(short), share.take(short))
+        return own.view(np.int64)
 
 
 class Models:
@@ -165,10 +160,12 @@ class Models:
         self.coder, self.digits = coder, digits
         self.decoding = isinstance(coder, Decoder)
         self.lane = np.arange(lanes)
-        self.base1, self.base2 = self.lane * SLOTS, self.lane * (3 * SLOTS)
         self.entries = np.int32 if digits == 1 else np.int64
-        self.order1, self.order2 = np.zeros(lanes * SLOTS, self.entries), np.zeros(lanes * 3 * SLOTS, self.entries)
-        self.last, self.both = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # The slot of the last id has order 1 first and then order 2 by the id before it, all in one line of the processor's cache.
+        self.orders = np.zeros(lanes << SLOT_BITS + WAY_BITS, self.entries)
+        self.base = self.lane << SLOT_BITS + WAY_BITS
+        self.way = np.ones(lanes, np.int64)
+        self.slot1, self.slot2 = self.base.copy(), self.base + 1
         self.odds = np.tile(START, lanes)
         self.parts = np.array([[0], [4], [12]]) + self.lane * len(START)
 
@@ -218,17 +215,17 @@ class Models:
         Choices are made by arithmetic, as branches on what came would be mispredicted.
         """
         coder, part = self.coder, slice(0, active)
-        slot1, slot2 = self.base1[part] + self.last[part], self.base2[part] + self.both[part]
+        slot1, slot2, way = self.slot1[part], self.slot2[part], self.way[part]
         # An entry: the id that came last, its count then, and 0 if there is none yet, else how often it was right, from 1 to 3.
-        entry1, entry2 = self.order1.take(slot1), self.order2.take(slot2)
-        sure1 = entry1 & 3
+        entry1, entry2 = self.orders.take(slot1), self.orders.take(slot2)
+        sure1, sure2 = entry1 & 3, entry2 & 3
         entry = entry1 * (entry2 == 0)
         entry += entry2
         last1, last2, guess = entry1 >> 6, entry2 >> 6, entry >> 6
         count = entry >> 2
         count &= 15
         at = np.empty((3, active), np.int64)
-        np.add(self.parts[0, part], entry2 & 3, out=at[0])
+        np.add(self.parts[0, part], sure2, out=at[0])
         np.add(self.parts[1, part], (sure1 << 1) + (last1 == guess), out=at[1])
         np.add(self.parts[2, part], count, out=at[2])
         odds = self.odds.take(at)
@@ -261,12 +258,21 @@ class Models:
         add += edge
         add *= hits ^ UNIT
         new = np.flatnonzero(size == 0)
-        size[new] = share.take(new) * WHOLE - add.take(new)
+        if len(new):
+            # The first digit of new ids, all alike, is coded at once: a part of at least 2^20 has room for 2^16.
+            begin = add.take(new)
+            each = share.take(new) * WHOLE - begin >> DIGIT
+            if token is None:
+                top = np.minimum((above.take(new) - begin) // each, DIGITS)
+            else:
+                top = (token.take(new) >> 16 * (self.digits - 1)).astype(np.uint64) & DIGITS
+            add[new], size[new] = begin + each * top, each
         coder.narrow(part, add, size)
         if len(new):
-            digits = coder.digits(new, None if token is None else token.take(new), self.digits)
+            if self.digits > 1:
+                low = coder.digits(new, None if token is None else token.take(new))
             if token is None:
-                found[new] = digits
+                found[new] = top if self.digits == 1 else top.view(np.int64) << 16 | low
 
         error = own << SQUASH_BITS
         error -= (chance >> ERROR_SHIFT).astype(np.int32)
@@ -280,11 +286,14 @@ class Models:
         entry += seen
         entry += 1
         entry <<= 2
-        self.order1[slot1] = entry + np.minimum((last1 == found) * sure1 + 1, 3)
-        self.order2[slot2] = entry + np.minimum((last2 == found) * (entry2 & 3) + 1, 3)
-        now = cell(found, SLOTS).astype(np.int64)
-        np.add(self.last[part] << 1, now, out=self.both[part])
-        self.last[part] = now
+        self.orders[slot1] = entry + np.minimum((last1 == found) * sure1 + 1, 3)
+        self.orders[slot2] = entry + np.minimum((last2 == found) * sure2 + 1, 3)
+        now = cell(found, 1 << SLOT_BITS).astype(np.int64)
+        np.add(self.base[part], now << WAY_BITS, out=slot1)
+        np.add(slot1, way, out=slot2)
+        now *= (1 << WAY_BITS) - 1
+        now >>= SLOT_BITS
+        np.add(now, 1, out=way)
         return found
 
 
@@ -478,8 +487,9 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(counts, dtype=np.int64)
             starts = batch.column(0)[i].as_py() + ends - counts
             for a in range(0, len(doc_ids), 256):
-                wide = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends[a : a + 256].tolist(), counts[a : a + 256].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 256], pa.int64()), pa.array(starts[a : a + 256]), pa.array(wide, pa.binary())], names=["doc_id", "start", "ids"])
+                own, upto = slice(a, a + 256), min(a + 256, len(doc_ids))
+                wide = ids[ends[a] - counts[a] : ends[upto - 1]].astype("<u4").view(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[own], pa.int64()), pa.array(starts[own]), binary(wide, 4 * counts[own].astype(np.int64))], names=["doc_id", "start", "ids"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
