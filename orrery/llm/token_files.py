@@ -2,10 +2,9 @@
 
 A block of BLOCK ids starts from an empty model, has its own length and CRC-32 and can be read alone. For each id the
 order-2 context, or else the order-1 context, names a candidate. Three models give the log odds that it comes: order 2
-and order 1 by how often their contexts were right of late, order 0 by the candidate's count in the block. Their sum is
-the mixed prediction, and all three learn from its error at every id. The rest of the range is shared by the ids that
-the block held up to the last of the places in HISTORY, by their order-0 counts, and by new ids, which are coded digit
-by digit. One narrowing of the interval thus codes an id by all three orders. All arithmetic is on integers.
+and order 1 by how often their contexts were right of late, order 0 by the candidate's count in the block, as of the last of
+the places in HISTORY and with its hits since. Their sum is the mixed prediction, and all three learn from its error at every id. The rest of the range is shared by the ids that
+the block held up to that place, by their order-0 counts, and by new ids, which are coded digit by digit. One narrowing of the interval thus codes an id by all three orders. All arithmetic is on integers.
 
 Blocks do not depend on each other, so up to LANES of them are coded in lockstep, a vector operation doing one step
 of all of them. The working memory is that of LANES models, whatever the input.

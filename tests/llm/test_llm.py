@@ -706,6 +706,44 @@ def test_plain_pieces_are_cut_as_by_the_library(library, data):
     assert not PlainPieces(spec.replace(b'"use_regex":true', b'"use_regex":false').replace(b'"use_regex": true', b'"use_regex": false')).fits
 
 
+def test_short_keys_are_numbered_like_a_dictionary():
+    """Strings of 1 to 15 bytes in several parts, with repeats, equal beginnings and zero bytes; the table grows on the way."""
+    from orrery.llm.chunks import ShortKeys
+
+    rng = random.Random(14)
+    keys, expected = ShortKeys(8), {}
+    for _ in range(12):
+        own = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice((1, 2, 3, 7, 8, 9, 15)))) for _ in range(3000)]
+        lengths = np.array(list(map(len, own)))
+        low, high = keys.keys(keys.words(np.frombuffer(b"".join(own), np.uint8)), np.cumsum(lengths) - lengths, lengths)
+        numbers, places = keys.find(low, high)
+        assert numbers.tolist() == [expected.get(k, -1) for k in own]
+        missing = np.flatnonzero(numbers < 0)
+        chosen, numbers = keys.add(low[missing], high[missing], places[missing], len(expected))
+        new = [own[missing[i]] for i in chosen]
+        assert len(set(new)) == len(new) and not expected.keys() & set(new)
+        expected.update(zip(new, range(len(expected), len(expected) + len(new))))
+        assert numbers.tolist() == [expected[own[i]] for i in missing]
+        found, _ = keys.find(low, high)
+        assert found.tolist() == [expected[k] for k in own]
+
+
+def test_carries_reach_all_words():
+    """The words are the digits of the exact lower end, also where a carry passes several words of ones."""
+    rng = random.Random(15)
+    coder, exact, carried = token_files.Encoder(1), 0, False
+    for _ in range(20_000):
+        share = int(coder.width[0]) >> token_files.WIDTH_BITS
+        begin, size = rng.choice(((0, 1), (token_files.ONE - 1, 1), (token_files.ONE // 2 - 1, 2), (rng.randrange(token_files.ONE // 2), token_files.ONE // 2)))
+        moves = len(coder.words)
+        exact += share * begin
+        coder.narrow(slice(0, 1), np.array([share * begin], np.uint64), np.array([share * size], np.uint64))
+        exact <<= 32 * sum(map(len, coder.words[moves:]))
+    carried = any(int(w[0]) >> 32 for w in coder.words if len(w))
+    words = coder.finish()[0].tolist()
+    assert carried and sum(w << 32 * i for i, w in enumerate(reversed(words))) == exact << 64 >> 63
+
+
 def test_coder_learns_and_checks():
     ids = np.tile(np.arange(50, dtype="<u2"), 200)
     record = token_files.write_record([None, 2], [4000, 6000], ids)
